@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from slatework.llm import packing
-from slatework.llm.queries import _tokenizer
+from slatework.llm.common import discard, materialize
+from slatework.llm.queries import tokenizer_path
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in training sequences; the last stage."""
-    return packing.pack(docs, _tokenizer("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 STAGES = [("packing", packed)]
 
 #: None of the stages' models and hashes can be written as SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Each stage's rows are written once as Parquet and reread."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        docs, before = kept, kept
+    return docs
