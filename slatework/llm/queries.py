@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import media, packing
+from slatework.llm import langid, media, packing, quality, warc
+from slatework.llm.common import materialize
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,10 +33,54 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.decode_media(stored))
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the documents that are not held out, at most about 400 of each language."""
+    return langid.train(langid.sample(docs.filter(~held_out()), per_lang=400))
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language by the words' posteriors."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record, as read back from the archives."""
+    archives = materialize(warc.write_archives(warc.resolve(_table(spark, sf_dir, "pages"))), "warc")
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
+FROM m
+"""
+
+#: Production parameters of the quality operator: documents with a log weight of at least LEAST_WEIGHT
+#: set how many are kept; the noise moves only those next to the cut.
+LEAST_WEIGHT, TEMPERATURE = -6.0, 0.1
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight and whether Gumbel top-k keeps it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratio = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    keyed = materialize(quality.perturb(quality.score(docs, ratio).drop("text"), TEMPERATURE), "weights")
+    return keyed.withColumn("kept", F.col("gumbel_key") >= quality.threshold(keyed, LEAST_WEIGHT))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_packing, op4_media]
+    found = [op3_packing, op4_media, op7_language_id, op9_warc, op10_quality]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}
