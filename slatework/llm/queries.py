@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import langid, media, packing, quality, warc
+from slatework.llm import langid, media, neardup, packing, quality, substrings, warc
 from slatework.llm.common import materialize
 
 
@@ -21,6 +21,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of near copies by three-word shingles and Jaccard 0.85."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every packed document, with the checksum of its ids."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -33,6 +38,12 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.decode_media(stored))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages each document lost, and a checksum of what is left of it."""
+    cleaned = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_sentences", "n_removed", "removed_spans", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     """Learned from the documents that are not held out, at most about 400 of each language."""
     return langid.train(langid.sample(docs.filter(~held_out()), per_lang=400))
@@ -78,7 +89,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_packing, op4_media, op7_language_id, op9_warc, op10_quality]
+    found = [op1_minhash, op3_packing, op4_media, op5_substrings, op7_language_id, op9_warc, op10_quality]
     return {f.__name__: f for f in found}
 
 
