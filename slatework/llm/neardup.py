@@ -59,7 +59,8 @@ class Shingler:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, listed, sketch): set_key is a 128-bit hash of the whole set,
+    """(doc_id, text_key, n_shingles, set_key, listed, sketch): text_key is a hash of the text, set_key is
+    a 128-bit hash of the whole set,
     null if it is empty; listed and sketch are its smallest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,11 +69,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingler.of(t.as_py()) for t in batch.column(1)]
             low = [(s[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for s in sets]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            arrays = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array([s[:LISTED].astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(low, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "set_key", "listed", "sketch"])
+            arrays = [batch.column(0), batch.column(2), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array([s[:LISTED].astype(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n_shingles", "set_key", "listed", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, listed array<long>, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, listed array<long>, sketch binary")
 
 
 def close_pairs(blobs: list[bytes], dtype: str, sizes: np.ndarray, chunk: np.ndarray, ratio: Fraction, need, rows: int = 256, strip: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -242,7 +243,7 @@ def verified(docs: DataFrame, clusters: DataFrame, width: int, ratio: Fraction,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row per document.
+    """(doc_id, n_shingles, component_id, kept, text_key), a row per document.
 
     Words are runs of characters other than blank and control white space, with A-Z lower-cased. A
     document's set holds its distinct shingles of ``width`` words, or all its words as one
@@ -271,6 +272,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "component").select("set_key", "least")
     own = classes.select("set_key", F.col("doc_id").alias("first_id")).join(named, "set_key", "left").select("set_key", F.coalesce("least", "first_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left")
+    out = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(own, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, one of each group: rows are told by
+    doc_id and text, so of equal rows one stays. All columns pass through."""
+    keys = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    rows = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
+    found = rows.join(keys, rows["_own"].eqNullSafe(keys["_id"]) & (rows["_text"] == keys["_key"]), "left_semi")
+    return found.dropDuplicates(["_own", "_text"]).drop("_own", "_text")

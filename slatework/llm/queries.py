@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slatework.llm import langid, media, neardup, packing, quality, substrings, warc
+from slatework.llm import edits, langid, media, neardup, packing, pieces, quality, substrings, vectors, warc
 from slatework.llm.common import materialize
 
 
@@ -26,6 +27,26 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def made_edits() -> Column:
+    """Three edits of a document, from hashes of its doc_id: a place, a length and some of its own text."""
+    n = F.length(F.coalesce("text", F.lit("")))
+
+    def draw(k: int, below: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(k), "doc_id"), below)
+
+    one = [F.struct(draw(3 * k, n + 1).alias("start"), draw(3 * k + 1, F.lit(60)).alias("length"), F.substring("text", draw(3 * k + 2, n + 1).cast("int") + 1, F.lit(50)).alias("replacement")) for k in range(3)]
+    return F.array(*one)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token count before and after edits, and the characters encoded anew."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", made_edits())
+    path = tokenizer_path("byte_bpe_50k.json")
+    trees = edits.build_trees(docs, path).withColumn("n_tokens_before", F.col("n_tokens"))
+    done = edits.apply_edits(trees, path)
+    return done.select("doc_id", "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"), F.col("tree_chars")[1].alias("n_chars_after"), "chars_reencoded", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every packed document, with the checksum of its ids."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -44,6 +65,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_sentences", "n_removed", "removed_spans", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links at cosine 0.95 and its component."""
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     """Learned from the documents that are not held out, at most about 400 of each language."""
     return langid.train(langid.sample(docs.filter(~held_out()), per_lang=400))
@@ -59,6 +85,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces under merge-dropout: their number, a hash, and whether they decode to
+    the document."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pieces.decode(pieces.encode(docs, path), path)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's record, as read back from the archives."""
     archives = materialize(warc.write_archives(warc.resolve(_table(spark, sf_dir, "pages"))), "warc")
@@ -84,12 +119,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's importance weight and whether Gumbel top-k keeps it."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ratio = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    keyed = materialize(quality.perturb(quality.score(docs, ratio).drop("text"), TEMPERATURE), "weights")
-    return keyed.withColumn("kept", F.col("gumbel_key") >= quality.threshold(keyed, LEAST_WEIGHT))
+    keyed, least = weights(docs, ratio)
+    return keyed.withColumn("kept", F.col("gumbel_key") >= least)
+
+
+def weights(docs: DataFrame, ratio: np.ndarray) -> tuple[DataFrame, float]:
+    """(doc_id, log_weight, n_grams, gumbel_key) of all documents, and the smallest key kept."""
+    keyed = quality.perturb(quality.score(docs.select("doc_id", "text"), ratio).drop("text"), TEMPERATURE)
+    keyed = materialize(keyed, "weights")
+    return keyed, quality.threshold(keyed, LEAST_WEIGHT)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_minhash, op3_packing, op4_media, op5_substrings, op7_language_id, op9_warc, op10_quality]
+    found = [op1_minhash, op2_token_counts, op3_packing, op4_media, op5_substrings, op6_embeddings, op7_language_id, op8_pieces, op9_warc, op10_quality]
     return {f.__name__: f for f in found}
 
 

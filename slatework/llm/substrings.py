@@ -15,53 +15,76 @@ from pyspark.sql import types as T
 from slatework.llm.common import materialize
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\"')\]]*\s*|$)")
-WORDS = re.compile(r"\S+")
-
-
-def sentences(text: str | None) -> list[str]:
-    """Consecutive parts of the text: up to and with end marks or line ends and the white space
-    after them. Joined again they are the text."""
-    return [s for s in SENTENCE.findall(text) if s] if text else []
-
-
-def spans(text: str | None, run: int, least_words: int) -> list[int | None]:
-    """For each start of ``run`` consecutive sentences, a hash of their words; None for a span of
-    fewer than ``least_words`` words, and sentences without words are not counted."""
-    words = [s.split() for s in sentences(text)]
-    full = [w for w in words if w]
-    hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in full], dtype=np.uint64)
-    n = len(full) - run + 1
-    if n < 1:
-        return []
-    mixed = np.zeros(n, dtype=np.uint64)
-    for i in range(run):
-        mixed = (mixed ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    total = np.convolve([len(w) for w in full], np.ones(run, dtype=int), "valid")
-    return [h if t >= least_words else None for h, t in zip(mixed.astype(np.int64).tolist(), total.tolist(), strict=True)]
-
-
-def cut(text: str | None, starts: list[int] | None, run: int) -> str | None:
-    """The text without the sentences that spans starting at ``starts`` cover."""
-    if not text or starts is None or not len(starts):
-        return text
-    gone = {s + i for s in starts for i in range(run)}
+
+
+def sentences(text: str | None, most_words: int = 25) -> list[tuple[str, list[str]]]:
+    """(part, words) of consecutive parts of the text: up to and with end marks or line ends and
+    the white space after them, longer sentences in pieces of ``most_words`` words. Joined again
+    the parts are the text."""
+    out = []
+    for s in SENTENCE.findall(text) if text else []:
+        words = s.split()
+        if len(words) <= most_words:
+            out.append((s, words))
+            continue
+        for piece in re.findall(rf"(?:\s*\S+){{1,{most_words}}}\s*", s):
+            out.append((piece, piece.split()))
+    return [x for x in out if x[0]]
+
+
+def run_lengths(counts: np.ndarray, run: int, least_words: int) -> np.ndarray:
+    """For each sentence the shortest run from it of at least ``run`` sentences and
+    ``least_words`` words, cut off where the text ends before; counts are the sentences' words."""
+    total = np.append(0, np.cumsum(counts))
+    ends = np.searchsorted(total, total[:-1] + least_words, "left")
+    lengths = np.maximum(ends - np.arange(len(counts)), run)
+    return lengths[np.arange(len(counts)) + lengths <= len(counts)]
+
+
+def spans(text: str | None, run: int, least_words: int) -> np.ndarray:
+    """A hash of the words of the run from each sentence that has words, as far as runs are whole."""
+    words = [w for _, w in sentences(text) if w]
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    lengths = run_lengths(np.array([len(w) for w in words]), run, least_words)
+    hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], dtype=np.uint64)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    power = np.cumprod(np.full(len(words) + 1, base, dtype=np.uint64)) * np.uint64(pow(int(base), -1, 1 << 64))
+    # sum of hash[i] * base**i over the run, times base**-start
+    prefix = np.append(np.uint64(0), np.cumsum(hashes * power[:-1]))
+    start = np.arange(len(lengths))
+    inverse = np.cumprod(np.full(len(words) + 1, pow(int(base), -1, 1 << 64), dtype=np.uint64)) * base
+    mixed = (prefix[start + lengths] - prefix[start]) * inverse[start]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * (lengths.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+    return mixed.view(np.int64)
+
+
+def cut(text: str | None, starts: list[int] | None, run: int, least_words: int) -> tuple[str | None, int, int]:
+    """The text without the sentences that the runs at ``starts`` cover, the number of its
+    sentences with words, and of those removed."""
+    parts = sentences(text)
+    counts = np.array([len(w) for _, w in parts if w], dtype=np.int64)
+    if not starts:
+        return text, len(counts), 0
+    lengths = run_lengths(counts, run, least_words)
+    gone = np.zeros(len(counts), bool)
+    for s in starts:
+        gone[s : s + int(lengths[s])] = True
     out, at = [], -1
-    for s in sentences(text):
-        wordy = bool(s.split())
-        at += wordy
-        if not (wordy and at in gone):
-            out.append(s)
-    return "".join(out)
+    for part, words in parts:
+        at += bool(words)
+        if not (words and gone[at]):
+            out.append(part)
+    return "".join(out), len(counts), int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, run: int = 3, least_words: int = 12) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and the columns ``n_sentences``,
     ``n_removed`` (sentences) and ``removed_spans`` (starts); columns of these names are replaced,
     all others pass through unchanged.
 
-    Every run of ``run`` consecutive sentences with at least ``least_words`` words is hashed. The
-    first occurrence of a hash is that with the smallest (doc_id, position); sentences in any other
+    From every sentence the shortest run of at least ``run`` consecutive sentences and
+    ``least_words`` words is hashed; sentences of over 25 words count as several. The first occurrence of a hash is that with the smallest (doc_id, position); sentences in any other
     occurrence go, whether it is in the same document or another. White space is not compared.
 
     Hashes meet in a global aggregate (count and first place, summed before the shuffle), then only
@@ -79,11 +102,10 @@ def remove_repeats(docs: DataFrame, run: int = 3, least_words: int = 12) -> Data
                 part = batch.slice(start, 500)
                 found = [spans(t.as_py(), run, least_words) for t in part.column(2)]
                 counts = np.array([len(f) for f in found])
-                hashes = pa.array([h for f in found for h in f], pa.int64())
-                at = pa.array(np.concatenate([np.arange(n) for n in counts]) if counts.any() else np.zeros(0, dtype=np.int64), pa.int32())
                 rows = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                out = pa.RecordBatch.from_arrays([hashes, part.column(0).take(rows), part.column(1).take(rows), at], ["span", "_id", "_text", "at"])
-                yield out.filter(hashes.is_valid())
+                at = np.concatenate([np.arange(n) for n in counts])
+                arrays = [pa.array(np.concatenate(found), pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, ["span", "_id", "_text", "at"])
 
     found = keyed.select("_id", "_text", "text").mapInArrow(places, "span long, _id long, _text long, at int")
     found = materialize(found, "spans")
@@ -100,11 +122,10 @@ def remove_repeats(docs: DataFrame, run: int = 3, least_words: int = 12) -> Data
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts, cuts = part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-                counts = [sum(bool(s.split()) for s in sentences(t)) if c or t else 0 for t, c in zip(texts, cuts, strict=True)]
-                gone = [len({s + i for s in c for i in range(run)}) if c else 0 for c in cuts]
+                new = [cut(t, c, run, least_words) for t, c in zip(texts, cuts, strict=True)]
                 arrays = list(part.columns[:-1])
-                arrays[text] = pa.array([cut(t, c, run) for t, c in zip(texts, cuts, strict=True)], pa.string())
-                arrays += [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array([sorted(c or []) for c in cuts], pa.list_(pa.int32()))]
+                arrays[text] = pa.array([x[0] for x in new], pa.string())
+                arrays += [pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.int64()), pa.array([sorted(c or []) for c in cuts], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
 
     return joined.mapInArrow(rewrite, schema)
