@@ -3,10 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slatework.llm import packing
+from slatework.llm import langid, neardup, packing, quality, substrings
 from slatework.llm.common import discard, materialize
-from slatework.llm.queries import tokenizer_path
+from slatework.llm.queries import TEMPERATURE, language_model, tokenizer_path, weights
+
+#: The mean posterior that a document's language must reach.
+LEAST_SCORE = 0.5
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling keeps. Texts of no words have weight 0 and stay."""
+    ratio = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    keyed, least = weights(docs, ratio)
+    out = quality.perturb(quality.score(docs, ratio), TEMPERATURE).filter(F.col("gumbel_key") >= least).select(*docs.columns)
+    discard(keyed)
+    return out
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose words are mostly of one language. Texts without a letter go."""
+    found = langid.predict(docs, language_model(docs))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, Jaccard 0.8."""
+    return neardup.first_of_each(docs, neardup.near_duplicates(docs, width=5, percent=80)).select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that occurred before; n_chars is that of what is left. A
+    document of nothing else goes."""
+    found = substrings.remove_repeats(docs)
+    left = found.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [("quality", good), ("language", in_a_language), ("near_duplicates", distinct), ("substrings", without_repeats), ("packing", packed)]
 
 #: None of the stages' models and hashes can be written as SQL.
 ORACLE_SQL = None
