@@ -55,7 +55,7 @@ def period_label(c: Column, period: str) -> Column:
     """The year, the month, or the Monday-to-Sunday week of a time, as text."""
     if period == "week":
         monday = F.to_date(F.date_trunc("week", c))
-        return F.concat_ws("/", F.when(c.isNotNull(), monday.cast("string")), F.date_add(monday, 6).cast("string"))
+        return F.concat(monday.cast("string"), F.lit("/"), F.date_add(monday, 6).cast("string"))
     return F.date_format(c, "yyyy" if period == "year" else "yyyy-MM")
 
 
