@@ -44,19 +44,19 @@ class Model:
     first: np.ndarray
 
 
-def forward_backward(emit: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: np.ndarray, block: int = 256) -> np.ndarray:
-    """Posterior label probabilities of a run of texts, (words x labels).
+def forward_backward(emit: np.ndarray, starts: np.ndarray, moves: np.ndarray, first: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior, forward) label probabilities of a run of texts, each (words x labels).
 
     ``starts`` marks each text's first word. All texts form one chain, in which a first word's
     transition does not depend on what precedes it. The chain is cut into blocks: products of the
     steps of all blocks at once, then a short pass over the blocks, then the steps again."""
     n, k = emit.shape
     if n == 0:
-        return emit.copy()
+        return emit.copy(), emit.copy()
     count = -(-n // block)
     psi = np.ones((count * block, k))
     psi[:n] = np.exp(emit - emit.max(axis=1, keepdims=True))
-    new = np.zeros(count * block, bool)
+    new = np.ones(count * block, bool)  # what fills up the last block has no say in what precedes
     new[:n] = starts
     psi, new = psi.reshape(count, block, k), new.reshape(count, block)
     a, pi = np.exp(moves - moves.max()), np.exp(first - first.max())
@@ -87,7 +87,7 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, moves: np.ndarray, fi
         x = (step(s) @ x[:, :, None])[:, :, 0]
         x = x / x.sum(axis=1, keepdims=True)
     out = out.reshape(-1, k)[:n]
-    return out / out.sum(axis=1, keepdims=True)
+    return out / out.sum(axis=1, keepdims=True), alpha.reshape(-1, k)[:n]
 
 
 def sample(docs: DataFrame, per_lang: int, most_langs: int = 200) -> list[tuple[str, str]]:
@@ -121,7 +121,6 @@ def train(pairs: list[tuple[str, str]], steps: int = 400, sequences: int = 64, l
     at = {w: i for i, w in enumerate(seen)}
     table = np.full((len(at), WIDTH), ROWS)
     for w, i in at.items():
-        # a rare word's own lexicon entry must not be learned from itself alone
         f = features(w, lexicon)
         table[i, : len(f)] = f
     coded = [(np.array([at[x] for x in w]), y) for w, y in texts]
@@ -148,15 +147,14 @@ def train(pairs: list[tuple[str, str]], steps: int = 400, sequences: int = 64, l
         ids, y, new = np.concatenate(words), np.concatenate(gold), np.array(starts)
         rows = table[ids]
         emit = weights[rows].sum(axis=1)
-        # exact pair posteriors from one forward-backward in blocks as long as the run
-        gamma = forward_backward(emit, new, moves, first, block=64)
+        gamma, alpha = forward_backward(emit, new, moves, first, block=64)
         delta = np.eye(k)[y] - gamma
         grad = np.zeros_like(weights)
         np.add.at(grad, rows.reshape(-1), np.repeat(delta, WIDTH, axis=0))
         inner = np.flatnonzero(~new)
-        left, right = gamma[inner - 1], gamma[inner]
+        # a pair's posterior: the later label's, shared among earlier ones by forward and transition
+        left, right = alpha[inner - 1], gamma[inner]
         pair = left[:, :, None] * np.exp(moves)[None] * (right / (left @ np.exp(moves)))[:, None, :]
-        pair = pair / pair.sum(axis=(1, 2), keepdims=True)
         moved = np.zeros((k, k))
         np.add.at(moved, (y[inner - 1], y[inner]), 1)
         steps_of = (grad / sequences - 1e-4 * weights, (moved - pair.sum(axis=0)) / sequences, delta[new].sum(axis=0) / sequences)
@@ -233,7 +231,7 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, part_bytes: int
                 ends = np.cumsum(counts)
                 new = np.zeros(len(emit), bool)
                 new[(ends - counts)[counts > 0]] = True
-                gamma = forward_backward(emit, new, model.moves, model.first)
+                gamma, _ = forward_backward(emit, new, model.moves, model.first)
                 owner = np.repeat(np.arange(len(part)), counts)
                 mean = np.stack([np.bincount(owner, gamma[:, j], minlength=len(part)) for j in range(k)], axis=1) / np.maximum(counts, 1)[:, None]
                 best = mean.argmax(axis=1)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.common import block_grid, by_cell, materialize, whole_groups
+from slatework.llm.common import block_grid, by_cell, materialize, unused, whole_groups
 from slatework.llm.components import components
 
 #: Lower-cases A-Z only.
@@ -280,7 +280,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, one of each group: rows are told by
     doc_id and text, so of equal rows one stays. All columns pass through."""
-    keys = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    rows = docs.withColumns({"_own": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")})
-    found = rows.join(keys, rows["_own"].eqNullSafe(keys["_id"]) & (rows["_text"] == keys["_key"]), "left_semi")
-    return found.dropDuplicates(["_own", "_text"]).drop("_own", "_text")
+    own, key, kept_id, kept_key = unused(docs, "own_id", "text_key", "kept_id", "kept_key")
+    keys = groups.filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).distinct()
+    rows = docs.withColumns({own: F.col("doc_id").cast("long"), key: F.xxhash64("text")})
+    found = rows.join(keys, rows[own].eqNullSafe(keys[kept_id]) & rows[key].eqNullSafe(keys[kept_key]), "left_semi")
+    return found.dropDuplicates([own, key]).drop(own, key)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slatework.llm.common import unused
 from slatework.llm.media import _sizes, _slices
 
 #: The mark that stands for a blank in pieces.
@@ -200,7 +201,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, va
     none. A column named ids is replaced; others pass through."""
     docs = docs.drop("ids")
     text = docs.columns.index("text")
-    rows = docs.withColumn("_variant", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(variants)).cast("int"))
+    rows = docs.withColumn(*unused(docs, "variant"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(variants)).cast("int"))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

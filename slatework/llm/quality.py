@@ -82,13 +82,13 @@ def _sizes(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelled: int = 20_000, smoothing: float = 0.5) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelled: int = 20_000, prior: float = 100.0) -> np.ndarray:
     """The log ratio of target to raw probability of each gram bucket.
 
     The raw model counts the grams of all documents. The target model counts those of documents
     labelled quality 1: of at most ``most_labelled`` of them, those with the smallest hashed ids,
-    so that their ids may be broadcast. Each task sums its counts before the shuffle, and the
-    driver gets one row per bucket. Without labelled documents every ratio is 0."""
+    so that their ids may be broadcast; it is smoothed by ``prior`` grams of the raw model. Each task sums its counts before the shuffle, and the
+    driver gets one row per bucket. Buckets without grams have ratio 0, and without labelled documents all have."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).withColumn("_good", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("_good"))
@@ -110,8 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelle
         counts[:, bucket] = raw, target
     if not counts[1].any():
         return np.zeros(buckets)
-    p = (counts + smoothing) / (counts + smoothing).sum(axis=1, keepdims=True)
-    return np.log(p[1]) - np.log(p[0])
+    raw = counts[0] / counts[0].sum()
+    target = (counts[1] + prior * raw) / (counts[1].sum() + prior)
+    return np.where(raw > 0, np.log(np.where(raw > 0, target / np.where(raw > 0, raw, 1), 1)), 0.0)
 
 
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatework.llm.common import materialize
+from slatework.llm.common import materialize, unused
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\"')\]]*\s*|$)")
 
@@ -94,7 +94,8 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> Data
     Null and empty texts stay. A null doc_id is after all others. Documents that are equal in doc_id
     and text are one document: equal rows get equal results. An empty table gives an empty table."""
     docs = docs.drop("n_sentences", "n_removed", "removed_spans")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_text": F.xxhash64("text")})
+    own, key = unused(docs, "own_id", "text_key")
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: F.xxhash64("text")})
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,13 +108,13 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> Data
                 arrays = [pa.array(np.concatenate(found), pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, ["span", "_id", "_text", "at"])
 
-    found = keyed.select("_id", "_text", "text").mapInArrow(places, "span long, _id long, _text long, at int")
+    found = keyed.select(F.col(own).alias("_id"), F.col(key).alias("_text"), "text").mapInArrow(places, "span long, _id long, _text long, at int")
     found = materialize(found, "spans")
     place = F.struct("_id", "at", "_text")
     repeated = found.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("span", "first")
     again = found.join(repeated, "span").filter(~(place == F.col("first")))
     starts = again.select("_id", "_text", "at").distinct().groupBy("_id", "_text").agg(F.collect_list("at").alias("removed_spans"))
-    joined = keyed.join(starts, ["_id", "_text"], "left").select(*docs.columns, "removed_spans")
+    joined = keyed.join(starts, (keyed[own] == starts["_id"]) & (keyed[key] == starts["_text"]), "left").select(*[keyed[c] for c in docs.columns], starts["removed_spans"])
     text = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.IntegerType()))])
 
