@@ -10,7 +10,7 @@ from slatework.llm.common import discard, materialize
 from slatework.llm.queries import TEMPERATURE, language_model, tokenizer_path, weights
 
 #: The mean posterior that a document's language must reach.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
