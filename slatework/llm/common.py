@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,24 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a text or binary column, 0 for null."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def slices(batch: pa.RecordBatch, weights: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``most`` total weight (or one row), so that what a task makes of them
+    stays small however large the batch is."""
+    start, total = 0, 0
+    for i, weight in enumerate(weights.tolist()):
+        if total and total + weight > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += weight
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores in front of those that columns of ``df`` have already."""
     taken, out = {c.lower() for c in df.columns}, []

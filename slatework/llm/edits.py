@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from slatework.llm.media import _sizes, _slices
+from slatework.llm.common import sizes, slices
 from slatework.llm.tokenize import encoder
 
 #: A blank or line end after other text always starts a new pre-token, whatever follows.
@@ -95,7 +95,7 @@ def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in _slices(batch, _sizes(batch.column(text)), 4 << 20):
+            for part in slices(batch, sizes(batch.column(text)), 4 << 20):
                 trees = [Tree.build(t or "", lambda x: len(enc.ids(x))) for t in part.column(text).to_pylist()]
                 arrays = [pa.array([t.chars for t in trees], _LISTS), pa.array([t.tokens for t in trees], _LISTS), pa.array([int(t.tokens[1]) for t in trees], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [f.name for f in schema.fields])
@@ -119,7 +119,7 @@ def apply_edits(trees: DataFrame, tokenizer: str, edits: str = "edits") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for part in _slices(batch, _sizes(batch.column(text)), 4 << 20):
+            for part in slices(batch, sizes(batch.column(text)), 4 << 20):
                 out: list[list] = [[], [], [], [], []]
                 cols = [part.column(k) for k in (chars, tokens)]
                 for k, (old, todo) in enumerate(zip(part.column(text).to_pylist(), part.column(how).to_pylist(), strict=True)):

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from slatework.llm.common import sizes, slices
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Features are hashed into so many rows of weights; a word has at most so many.
 ROWS, WIDTH = 1 << 15, 24
@@ -220,20 +222,17 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, part_bytes: int
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + [T.StructField("lang_spans", kind)] * spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from slatework.llm.quality import _parts
-
         model = held.value
         emitter, k = _Emitter(model), len(model.langs)
         for batch in batches:
-            start = 0
-            for part in _parts(batch.column(text), part_bytes):
-                emit, counts = emitter.of(part.to_pylist())
+            for part in slices(batch, sizes(batch.column(text)), part_bytes):
+                emit, counts = emitter.of(part.column(text).to_pylist())
                 ends = np.cumsum(counts)
                 new = np.zeros(len(emit), bool)
                 new[(ends - counts)[counts > 0]] = True
                 gamma, _ = forward_backward(emit, new, model.moves, model.first)
-                owner = np.repeat(np.arange(len(part)), counts)
-                mean = np.stack([np.bincount(owner, gamma[:, j], minlength=len(part)) for j in range(k)], axis=1) / np.maximum(counts, 1)[:, None]
+                owner = np.repeat(np.arange(part.num_rows), counts)
+                mean = np.stack([np.bincount(owner, gamma[:, j], minlength=part.num_rows) for j in range(k)], axis=1) / np.maximum(counts, 1)[:, None]
                 best = mean.argmax(axis=1)
                 pred = [model.langs[b] if c else "und" for b, c in zip(best.tolist(), counts.tolist(), strict=True)]
                 arrays = [pa.array(pred), pa.array(np.clip(np.where(counts > 0, mean.max(axis=1), 0.0), 0, 1))]
@@ -243,8 +242,6 @@ def predict(docs: DataFrame, model: Model, spans: bool = False, part_bytes: int
                         cuts = np.r_[s, s + 1 + np.flatnonzero(np.diff(label[s:e])), e] if e > s else []
                         rows.append([{"first_word": int(x - s), "words": int(y - x), "lang": model.langs[label[x]]} for x, y in zip(cuts[:-1], cuts[1:], strict=True)] if e > s else [])
                     arrays.append(pa.array(rows, pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))))
-                rows = batch.slice(start, len(part))
-                start += len(part)
-                yield pa.RecordBatch.from_arrays([*rows.columns, *arrays], [f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)

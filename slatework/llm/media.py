@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slatework.llm.common import sizes, slices
+
 #: WAVE format tags; bytes of samples in an ADPCM block, and of its head.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 BLOCK, HEAD = 192, 4
@@ -116,24 +118,6 @@ def describe(codec: str, pcm: np.ndarray) -> str:
     return f"{codec};samples={len(x)};peak={int(np.abs(x).max(initial=0))};rms={power:.3f};crossings={crossings}"
 
 
-def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of at most ``most`` bytes (or one row)."""
-    start, total = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if total and total + size > most:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += size
-    if batch.num_rows > start:
-        yield batch.slice(start)
-
-
-def _sizes(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-
-
 def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text", codecs: tuple[str, ...] = ("mulaw", "alaw", "adpcm"), slice_bytes: int = 2 << 20) -> DataFrame:
     """(key, n_bytes, media): each whole text's UTF-8 bytes, padded with blanks to a positive
     multiple of 192, as the samples of a WAVE file.
@@ -147,7 +131,7 @@ def encode_media(docs: DataFrame, key: str = "doc_id", text: str = "text", codec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, _sizes(batch.column(1)), slice_bytes):
+            for part in slices(batch, sizes(batch.column(1)), slice_bytes):
                 raw = [(t or "").encode() for t in part.column(1).to_pylist()]
                 payloads = [b + b" " * (max(1, -(-len(b) // BLOCK)) * BLOCK - len(b)) for b in raw]
                 media = [to_container(p, codecs[zlib.crc32(p) % len(codecs)]) for p in payloads]
@@ -166,7 +150,7 @@ def decode_media(media: DataFrame, key: str = "doc_id", rate: int = 16000, slice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, _sizes(batch.column(2)), slice_bytes):
+            for part in slices(batch, sizes(batch.column(2)), slice_bytes):
                 files = [m and from_container(m) for m in part.column(2).to_pylist()]
                 blocks = [np.frombuffer(f[2], dtype=np.uint8).reshape(-1, HEAD + BLOCK) for f in files if f and f[0] == "adpcm"]
                 decoded = iter(np.split(decode_adpcm(np.concatenate(blocks)), np.cumsum([len(b) for b in blocks])[:-1]) if blocks else [])

@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatework.llm.common import unused
-from slatework.llm.media import _sizes, _slices
+from slatework.llm.common import sizes, slices, unused
 
 #: The mark that stands for a blank in pieces.
 BLANK = "▁"
@@ -210,7 +209,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, va
         mark = np.array([bpe.byte_ids[b] for b in BLANK.encode()], dtype="<i4").tobytes()
         known: list[dict[str, bytes]] = [{"": mark} for _ in seeds]
         for batch in batches:
-            for part in _slices(batch, _sizes(batch.column(text)), 4 << 20):
+            for part in slices(batch, sizes(batch.column(text)), 4 << 20):
                 texts, variant = part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist()
                 split = [_segments(t or "") for t in texts]
                 if sum(map(len, known)) > REMEMBERED:
@@ -240,7 +239,7 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             column = batch.column(at)
             counts = np.array([len(x.values) if x.is_valid else 0 for x in column], dtype=np.int64)
-            for part in _slices(batch, counts, 1 << 20):
+            for part in slices(batch, counts, 1 << 20):
                 some = part.column(at)
                 n = np.array([len(x.values) if x.is_valid else 0 for x in some], dtype=np.int64)
                 out = bpe.decode(some.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(n))

@@ -10,10 +10,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from slatework.llm.common import sizes, slices
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: The most distinct tokens that a worker remembers.
 REMEMBERED = 400_000
+#: Bytes of text that are taken at once.
+PART = 4 << 20
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -64,24 +69,6 @@ class Grams:
         return grams.astype(np.int64), owner
 
 
-def _parts(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
-    """Runs of texts of about ``most`` bytes."""
-    start, held = 0, 0
-    for i, size in enumerate(_sizes(column)):
-        held += size
-        if held >= most:
-            yield column.slice(start, i + 1 - start)
-            start, held = i + 1, 0
-    if start < len(column):
-        yield column.slice(start)
-
-
-def _sizes(column: pa.Array) -> list[int]:
-    import pyarrow.compute as pc
-
-    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
-
-
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelled: int = 20_000, prior: float = 100.0) -> np.ndarray:
     """The log ratio of target to raw probability of each gram bucket.
 
@@ -96,12 +83,11 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelle
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = Grams(buckets), np.zeros((2, buckets), dtype=np.int64)
         for batch in batches:
-            flags, start = batch.column(1).to_numpy(zero_copy_only=False), 0
-            for part in _parts(batch.column(0)):
-                found, owner = grams.of(part.to_pylist())
+            for part in slices(batch, sizes(batch.column(0)), PART):
+                found, owner = grams.of(part.column(0).to_pylist())
                 counts[0] += np.bincount(found, minlength=buckets)
-                counts[1] += np.bincount(found[flags[start : start + len(part)][owner]], minlength=buckets)
-                start += len(part)
+                flags = part.column(1).to_numpy(zero_copy_only=False)
+                counts[1] += np.bincount(found[flags[owner]], minlength=buckets)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(counts[0]), pa.array(counts[1])], ["bucket", "raw", "target"])
 
     sums = rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
@@ -120,7 +106,6 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     probability) and ``n_grams``; columns of these names are replaced. Null and empty texts have
     no grams and weight 0. All other columns pass through. The model is one array of a fixed size."""
     docs = docs.drop("log_weight", "n_grams")
-    cast = docs.select(*docs.columns)
     text = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -128,19 +113,14 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         ratio = held.value
         grams = Grams(len(ratio))
         for batch in batches:
-            start = 0
-            for part in _parts(batch.column(text)):
-                found, owner = grams.of(part.to_pylist())
-                weight = np.bincount(owner, ratio[found], minlength=len(part))
-                n = np.bincount(owner, minlength=len(part))
-                rows = batch.slice(start, len(part))
-                start += len(part)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(weight, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, "log_weight", "n_grams"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*cast.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("n_grams", T.LongType())])
-    return cast.mapInArrow(run, schema)
+            for part in slices(batch, sizes(batch.column(text)), PART):
+                found, owner = grams.of(part.column(text).to_pylist())
+                weight = np.bincount(owner, ratio[found], minlength=part.num_rows)
+                n = np.bincount(owner, minlength=part.num_rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, "log_weight", "n_grams"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("n_grams", T.LongType())])
+    return docs.mapInArrow(run, schema)
 
 
 def perturb(scored: DataFrame, temperature: float, seed: int = 42) -> DataFrame:
