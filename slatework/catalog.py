@@ -12,6 +12,7 @@ from slatework.functions.text import display_value
 from slatework.operators import aggregate, clean, drill, profile, report
 from slatework.operators.filters import apply_filters
 from slatework.plans import Filter, QuerySpec
+from slatework.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -480,6 +481,38 @@ def simple_impute(spark, sf_dir):
     return clean.simple_impute(_gaps(spark, sf_dir).select("l_orderkey", "l_tax", flag.alias("l_returnflag")))
 
 
+# Whole ingestion
+
+
+@query("""SELECT o_orderkey, round(o_totalprice, 2) AS total_price, strftime(o_orderdate, '%Y-%m-%d') AS ordered,
+coalesce(CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 5 END, -1) AS status_code FROM orders""")
+def csv_ingest(spark, sf_dir):
+    code = F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_custkey") % 5).cast("string")).otherwise("N/A")
+    price, day = F.concat(F.lit("$"), F.format_number("o_totalprice", 2)), F.date_format("o_orderdate", "yyyy/M/d")
+    path = tables.scratch(spark, "orders.csv")
+    dirty = table(spark, sf_dir, "orders").select("o_orderkey", price, day, code).toDF("O_OrderKey", " Total Price ", "Ordered", "Status Code")
+    dirty.write.csv(path, header=True)
+    done = tables.ingest(spark, path).df
+    return done.select("o_orderkey", F.round("total_price", 2).alias("total_price"), F.date_format("ordered", "yyyy-MM-dd").alias("ordered"), F.col("status_code").cast("long").alias("status_code"))
+
+
+@query("""SELECT CAST(0 AS BIGINT) AS seq, NULL AS "column", 'Normalized 1 column headers' AS action, CAST(1 AS BIGINT) AS affected
+UNION ALL SELECT 1, 'price', 'Converted price from currency text to numbers', count(*) FROM orders
+UNION ALL SELECT 2, 'share', 'Converted share from percent text to fractions', count(*) FILTER (WHERE o_orderkey % 9 <> 0) FROM orders
+UNION ALL SELECT 3, 'share', 'Filled ' || count(*) FILTER (WHERE o_orderkey % 9 = 0) || ' missing share values with the mode (bounded)', count(*) FILTER (WHERE o_orderkey % 9 = 0) FROM orders""")
+def cleaning_log(spark, sf_dir):
+    share = F.when(F.col("o_orderkey") % 9 != 0, F.concat((F.col("o_custkey") % 100).cast("string"), F.lit("%")))
+    text = table(spark, sf_dir, "orders").select(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price"), share.alias("Share"))
+    return rounded(clean.clean(text).cleaning_log())
+
+
+@query("""SELECT 'Others' AS p_brand, round(sum(p_retailprice), 2) AS p_retailprice FROM part
+WHERE p_brand NOT IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, p_brand LIMIT 4)""")
+def others_last(spark, sf_dir):
+    result = aggregate.run_query(table(spark, sf_dir, "part"), QuerySpec("p_brand", "p_retailprice", limit=5, group_others=True))
+    return rounded(aggregate.page(result.df, [F.col("p_brand") == "Others", "p_brand"], 4, 1))
+
+
 # Headers, reports, display, statistics
 
 

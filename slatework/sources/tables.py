@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,12 @@ def ingest(spark: SparkSession, path: str, rename: Mapping[str, str] | None = No
     return clean(raw, rename, semantic_hints)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``, or in a temporary one if that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slatework-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table with NaN as null."""
     return nan_to_null(spark.read.parquet(path))
