@@ -55,6 +55,10 @@ class Pieces:
         pairs = sorted((self.at[p[:k]] * n + self.at[p[k:]], rank[i], i) for p, i in self.at.items() for k in range(1, len(p)) if p[:k] in self.at and p[k:] in self.at)
         self.pair, self.rank, self.merged = (np.array(x, dtype=t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True))
         self.n = n
+        self.of_char = np.full(0x110000, -1, dtype=np.int32)
+        for p, i in self.at.items():
+            if len(p) == 1:
+                self.of_char[ord(p)] = i
         out = [b""] * n
         for p, i in self.at.items():
             out[i] = p.replace(BLANK, " ").encode()
@@ -108,54 +112,67 @@ class Pieces:
         return self._finish(segment, [ids[k] for k in kept], kept)
 
     def many(self, segments: list[str], seed: int, dropout: float) -> list[bytes]:
-        """The same for many short segments of one length, a merge of each in every round."""
-        n, size = len(segments), len(segments[0])
-        ids = np.array([self.at.get(c, -1) for s in segments for c in s], dtype=np.int64).reshape(n, size)
-        start = np.tile(np.arange(size), (n, 1))
+        """The same for many short segments at once, the best merge of each in every round. Rows are
+        segments, columns places; pieces are linked to their neighbours, dead places are -2 and
+        those behind a segment's end -3."""
+        n, lengths = len(segments), np.array([len(s) for s in segments])
+        size = int(lengths.max())
+        ids = np.full((n, size + 1), -3, dtype=np.int32)
+        inside = np.arange(size + 1)[None, :] < lengths[:, None]
+        ids[inside] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le"), dtype="<u4")]
         key = np.array([seed ^ xxhash.xxh3_64_intdigest(s) for s in segments], dtype=np.uint64)
-        live = np.full(n, size)
-
-        def ranks(a: np.ndarray, b: np.ndarray, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            rank, new = self.look(a, b)
+        after = np.tile(np.arange(1, size + 2, dtype=np.int32), (n, 1))
+        before = np.tile(np.arange(-1, size, dtype=np.int32), (n, 1))
+        rank = np.full((n, size + 1), NONE, dtype=np.int32)
+        new = np.zeros((n, size + 1), dtype=np.int32)
+
+        def offer(r: np.ndarray, p: np.ndarray) -> None:
+            """Set the candidate merge of each place with the piece after it."""
+            left, right = ids[r, p], ids[r, np.minimum(after[r, p], size)]
+            found, made = self.look(left, right)
             if dropout:
-                rank = np.where(skipped(key[rows], at, a, b, dropout), NONE, rank)
-            return rank, new
-
-        rows = np.repeat(np.arange(n), size - 1)
-        rank, new = (x.reshape(n, size - 1) for x in ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel(), rows, start[:, :-1].ravel()))
-        rank, new = rank.copy(), new.copy()
-        active = np.arange(n)
-        while len(active) and size > 1:
-            best = rank[active].argmin(axis=1)
-            go = rank[active, best] != NONE
-            active, best = active[go], best[go]
-            if not len(active):
-                break
-            ids[active, best] = new[active, best]
-            place = np.arange(size)[None, :]
-            source = np.minimum(place + (place > best[:, None]), size - 1)
-            for m in (ids, start):
-                m[active] = np.take_along_axis(m[active], source, axis=1)
-            inner = np.minimum(np.arange(size - 1)[None, :] + (np.arange(size - 1)[None, :] >= best[:, None]), size - 2)
-            for m in (rank, new):
-                m[active] = np.take_along_axis(m[active], inner, axis=1)
-            live[active] -= 1
-            rank[active, live[active] - 1] = NONE
-            for shift in (-1, 0):
-                at = best + shift
-                ok = (at >= 0) & (at + 1 < live[active])
-                r, p = active[ok], at[ok]
-                rank[r, p], new[r, p] = ranks(ids[r, p], ids[r, p + 1], r, start[r, p])
-        return [self._finish(s, i[:k].tolist(), b[:k].tolist()) for s, i, b, k in zip(segments, ids, start, live.tolist(), strict=True)]
+                hit = np.flatnonzero(found != NONE)
+                out = skipped(key[r[hit]], p[hit], left[hit], right[hit], dropout)
+                found[hit[out]] = NONE
+            rank[r, p], new[r, p] = found, made
+
+        r, p = np.nonzero(inside[:, 1:])
+        offer(r, p)
+        rows = np.arange(n)
+        while len(rows):
+            p = rank[rows].argmin(axis=1)
+            go = rank[rows, p] != NONE
+            rows, p = rows[go], p[go]
+            q = after[rows, p]
+            ids[rows, p], ids[rows, q] = new[rows, p], -2
+            rank[rows, q] = NONE
+            end = after[rows, q]
+            after[rows, p] = end
+            before[rows, np.minimum(end, size)] = p
+            offer(rows, p)
+            back = before[rows, p]
+            ok = back >= 0
+            offer(rows[ok], back[ok])
+        alive = ids[:, :size] > -2
+        ends = np.cumsum(alive.sum(axis=1)).tolist()
+        flat = ids[:, :size][alive]
+        blob = flat.astype("<i4").tobytes()
+        out = [blob[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for k in np.flatnonzero((ids == -1).any(axis=1)).tolist():
+            places = np.flatnonzero(alive[k]).tolist()
+            out[k] = self._finish(segments[k], ids[k, places].tolist(), places)
+        return out
 
     def encode_segments(self, segments: list[str], seed: int, dropout: float) -> dict[str, bytes]:
-        out, by_size = {}, {}
+        out: dict[str, bytes] = {}
+        short: list[str] = []
+        middle: list[str] = []
         for s in segments:
             if len(s) > ARRAYS:
                 out[s] = self.one(s, seed, dropout)
             else:
-                by_size.setdefault(len(s), []).append(s)
-        for group in by_size.values():
+                (short if len(s) <= 12 else middle).append(s)
+        for group in (short, middle):
             for k in range(0, len(group), 20_000):
                 some = group[k : k + 20_000]
                 out.update(zip(some, self.many(some, seed, dropout), strict=True))
