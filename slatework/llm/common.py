@@ -110,6 +110,12 @@ def fixed_matrix(column: pa.ChunkedArray, dtype: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), width)
 
 
+def rekeyed(counts: DataFrame, n: str, *keys: str) -> DataFrame:
+    """The keys of a grouped table with positive counts ``n``, as columns that Spark takes as new: a
+    join on them shuffles both sides anew, so that Spark may split a crowded key's rows."""
+    return counts.select(*[F.when(F.col(n) > 0, F.col(k)).alias(k) for k in keys], *[c for c in counts.columns if c not in (n, *keys)])
+
+
 def block_grid(df: DataFrame, keys: list[str], member: str, weight: str, limit: int) -> DataFrame:
     """Cut the groups of ``keys`` into chunks of about ``limit`` total ``weight`` and lay every
     pair of chunks on a cell of its own, so that all pairs of a group meet in some cell while no
@@ -120,7 +126,8 @@ def block_grid(df: DataFrame, keys: list[str], member: str, weight: str, limit:
     are sized by a partial aggregate; only oversized ones enter the join, whose strategy is left
     to Spark, which splits its skewed side."""
     big = df.groupBy(*keys).agg(F.sum(F.col(weight).cast("long")).alias("_w"), F.count(F.lit(1)).alias("_n"))
-    big = big.filter((F.col("_w") > limit) & (F.col("_n") > 1)).select(*keys, F.ceil(F.col("_w") / limit).cast("int").alias("_g"))
+    big = big.filter((F.col("_w") > limit) & (F.col("_n") > 1)).withColumn("_g", F.ceil(F.col("_w") / limit).cast("int"))
+    big = rekeyed(big.drop("_w"), "_n", *keys)
     out = df.join(big, keys, "left").withColumn("chunk", F.pmod(F.xxhash64(member), F.coalesce("_g", F.lit(1))).cast("int"))
     other = F.sequence(F.lit(0), F.coalesce("_g", F.lit(1)) - 1)
     out = out.withColumn("_o", F.explode(other))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatework.llm.common import materialize, unused
+from slatework.llm.common import materialize, rekeyed, unused
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\"')\]]*\s*|$)")
 
@@ -41,9 +41,8 @@ def run_lengths(counts: np.ndarray, run: int, least_words: int) -> np.ndarray:
     return lengths[np.arange(len(counts)) + lengths <= len(counts)]
 
 
-def spans(text: str | None, run: int, least_words: int) -> np.ndarray:
-    """A hash of the words of the run from each sentence that has words, as far as runs are whole."""
-    words = [w for _, w in sentences(text) if w]
+def spans(words: list[list[str]], run: int, least_words: int) -> np.ndarray:
+    """A hash of the words of the run from each sentence, as far as runs are whole."""
     if not words:
         return np.zeros(0, dtype=np.int64)
     lengths = run_lengths(np.array([len(w) for w in words]), run, least_words)
@@ -59,23 +58,36 @@ def spans(text: str | None, run: int, least_words: int) -> np.ndarray:
     return mixed.view(np.int64)
 
 
-def cut(text: str | None, starts: list[int] | None, run: int, least_words: int) -> tuple[str | None, int, int]:
-    """The text without the sentences that the runs at ``starts`` cover, the number of its
-    sentences with words, and of those removed."""
+def first_places(hashes: np.ndarray) -> np.ndarray:
+    """Places of each hash's first occurrence in its document."""
+    return np.sort(np.unique(hashes, return_index=True)[1])
+
+
+def cut(text: str | None, starts: list[int] | None, run: int, least_words: int) -> tuple[str | None, int, int, list[int]]:
+    """(the text without repeats, the number of its sentences with words, of those removed, the
+    starts of runs that go): those at ``starts``, and those that the document itself has before."""
     parts = sentences(text)
-    counts = np.array([len(w) for _, w in parts if w], dtype=np.int64)
+    words = [w for _, w in parts if w]
+    hashes = spans(words, run, least_words)
+    own = np.setdiff1d(np.arange(len(hashes)), first_places(hashes), assume_unique=True)
+    starts = np.union1d(own, np.array(starts or [], dtype=np.int64)).tolist()
     if not starts:
-        return text, len(counts), 0
-    lengths = run_lengths(counts, run, least_words)
-    gone = np.zeros(len(counts), bool)
-    for s in starts:
-        gone[s : s + int(lengths[s])] = True
+        return text, len(words), 0, []
+    gone = removed(run_lengths(np.array([len(w) for w in words]), run, least_words), starts, len(words))
     out, at = [], -1
     for part, words in parts:
         at += bool(words)
         if not (words and gone[at]):
             out.append(part)
-    return "".join(out), len(counts), int(gone.sum())
+    return "".join(out), len(words), int(gone.sum()), starts
+
+
+def removed(lengths: np.ndarray, starts: list[int], n: int) -> np.ndarray:
+    """Which of n sentences the runs at ``starts`` cover."""
+    change = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, np.array(starts) + lengths[starts], -1)
+    return np.cumsum(change)[:n] > 0
 
 
 def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> DataFrame:
@@ -87,7 +99,8 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> Data
     ``least_words`` words is hashed; sentences of over 25 words count as several. The first occurrence of a hash is that with the smallest (doc_id, position); sentences in any other
     occurrence go, whether it is in the same document or another. White space is not compared.
 
-    Hashes meet in a global aggregate (count and first place, summed before the shuffle), then only
+    What a document repeats of itself is known without the others: only the first place of each hash
+    in a document leaves its task. Hashes meet in a global aggregate (count and first place, summed before the shuffle), then only
     repeated ones are joined with the places again; a passage that very many documents share is a
     skewed join key, which Spark splits. Whole texts cross one shuffle.
 
@@ -97,21 +110,23 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> Data
     own, key = unused(docs, "own_id", "text_key")
     keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: F.xxhash64("text")})
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = [spans(t.as_py(), run, least_words) for t in part.column(2)]
-                counts = np.array([len(f) for f in found])
-                rows = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                at = np.concatenate([np.arange(n) for n in counts])
+                hashes = [spans([w for _, w in sentences(t.as_py()) if w], run, least_words) for t in part.column(2)]
+                places = [first_places(h) for h in hashes]
+                found = [h[p] for h, p in zip(hashes, places, strict=True)]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
+                at = np.concatenate(places)
                 arrays = [pa.array(np.concatenate(found), pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32())]
                 yield pa.RecordBatch.from_arrays(arrays, ["span", "_id", "_text", "at"])
 
-    found = keyed.select(F.col(own).alias("_id"), F.col(key).alias("_text"), "text").mapInArrow(places, "span long, _id long, _text long, at int")
+    found = keyed.select(F.col(own).alias("_id"), F.col(key).alias("_text"), "text").mapInArrow(spread, "span long, _id long, _text long, at int")
     found = materialize(found, "spans")
     place = F.struct("_id", "at", "_text")
-    repeated = found.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").select("span", "first")
+    repeated = found.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    repeated = rekeyed(repeated, "n", "span")
     again = found.join(repeated, "span").filter(~(place == F.col("first")))
     starts = again.select("_id", "_text", "at").distinct().groupBy("_id", "_text").agg(F.collect_list("at").alias("removed_spans"))
     joined = keyed.join(starts, (keyed[own] == starts["_id"]) & (keyed[key] == starts["_text"]), "left").select(*[keyed[c] for c in docs.columns], starts["removed_spans"])
@@ -126,7 +141,7 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> Data
                 new = [cut(t, c, run, least_words) for t, c in zip(texts, cuts, strict=True)]
                 arrays = list(part.columns[:-1])
                 arrays[text] = pa.array([x[0] for x in new], pa.string())
-                arrays += [pa.array([x[1] for x in new], pa.int64()), pa.array([x[2] for x in new], pa.int64()), pa.array([sorted(c or []) for c in cuts], pa.list_(pa.int32()))]
+                arrays += [pa.array([x[k] for x in new], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int32())))]
                 yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
 
     return joined.mapInArrow(rewrite, schema)
