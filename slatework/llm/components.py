@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 from slatework.llm.common import discard, materialize
 
 
+def _split(least: DataFrame) -> DataFrame:
+    """The minima under keys that Spark takes as new ones (each is the larger of u and m, which is
+    u): both sides of the join are then shuffled for it, and Spark may split a crowded key's."""
+    return least.select(F.greatest("u", "m").alias("u"), "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(_split(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(_split(least), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
