@@ -76,12 +76,38 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, listed array<long>, sketch binary")
 
 
-def close_pairs(blobs: list[bytes], dtype: str, sizes: np.ndarray, chunk: np.ndarray, ratio: Fraction, need, rows: int = 256, strip: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, overlap) of pairs of sets whose sizes allow ``ratio`` and whose overlap is at least
-    ``need(i, j)``. If two chunks are given, only pairs between them.
-
-    Sets are taken in order of size, so that a block of rows meets only the run of larger sets
-    that can fit. Overlaps are products of membership matrices over the values of the block."""
+class Links:
+    """Rows joined so far: ``root`` is each row's smallest connected row."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        root = self.root.copy()
+        while True:
+            a, b = root[i], root[j]
+            if (a == b).all():
+                break
+            low = np.minimum(a, b)
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            while (root[root] != root).any():
+                root = root[root]
+        self.root = root
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.root[i] != self.root[j]
+
+
+def close_pairs(blobs: list[bytes], dtype: str, sizes: np.ndarray, chunk: np.ndarray, ratio: Fraction, need, links: Links, rows: int = 256, strip: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, overlap) of pairs of sets that ``links`` does not connect yet, whose sizes allow
+    ``ratio`` and whose overlap is at least ``need(i, j)``. If two chunks are given, only pairs
+    between them. The caller joins what it finds before it asks for more.
+
+    Sets are taken in order of size, so that a block of rows meets only the run of larger sets that
+    can fit. Blocks are small at first. Rows of the largest component met so far are compared only
+    with rows outside it, so a group of m near copies costs about m comparisons for each of a few
+    rows, not m x m. Overlaps are products of membership matrices over the values of the block."""
     order = np.lexsort((chunk, sizes))
     sizes, across = sizes[order], len(np.unique(chunk)) > 1
     chunk = chunk[order]
@@ -90,44 +116,59 @@ def close_pairs(blobs: list[bytes], dtype: str, sizes: np.ndarray, chunk: np.nda
     lengths = np.array([len(x) // np.dtype(dtype).itemsize for x in blobs])
     ends = np.cumsum(lengths)
     owner = np.repeat(np.arange(len(blobs)), lengths)
-    for r0 in range(0, len(blobs), rows):
-        r1 = min(r0 + rows, len(blobs))
-        top = int(np.searchsorted(sizes, int(sizes[r1 - 1]) * ratio.denominator // ratio.numerator, "right"))
-        base = int(ends[r0] - lengths[r0])
-        inside, whose = values[base : ends[top - 1]], owner[base : ends[top - 1]] - r0
-        known = np.unique(values[base : ends[r1 - 1]])
+
+    def members(some: np.ndarray, first: int, last: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places among the known values, rows) of some of the rows first to last, by place."""
+        base = int(ends[first] - lengths[first])
+        at = np.full(last - first, -1)
+        at[some] = np.arange(len(some))
+        whose = at[owner[base : ends[last - 1]] - first]
+        inside = values[base : ends[last - 1]][whose >= 0]
+        whose = whose[whose >= 0]
         place = np.minimum(np.searchsorted(known, inside), len(known) - 1)
         held = known[place] == inside
-        place, whose = place[held], whose[held]
-        both = np.zeros((r1 - r0, top - r0), dtype=np.float32)
-        by = np.argsort(place, kind="stable")
-        place, whose = place[by], whose[by]
+        by = np.argsort(place[held], kind="stable")
+        return place[held][by], whose[held][by]
+
+    def compare(mine: np.ndarray, others: np.ndarray, r0: int, r1: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.zeros(r1 - r0, bool)
+        own[mine] = True
+        base = int(ends[r0] - lengths[r0])
+        known = np.unique(values[base : ends[r1 - 1]][own[owner[base : ends[r1 - 1]] - r0]])
+        left, right = members(mine, r0, r1, known), members(others, r0, top, known)
+        both = np.zeros((len(mine), len(others)), dtype=np.float32)
         for start in range(0, len(known), strip):
-            lo, hi = np.searchsorted(place, [start, start + strip])
-            x = np.zeros((top - r0, min(strip, len(known) - start)), dtype=np.float32)
-            x[whose[lo:hi], place[lo:hi] - start] = 1
-            both += x[: r1 - r0] @ x.T
-        i, j = np.nonzero(both)
-        keep = (j > i) & (chunk[i + r0] != chunk[j + r0] if across else True)
-        i, j = i[keep], j[keep]
-        overlap = np.rint(both[i, j]).astype(np.int64)
-        i, j = order[i + r0], order[j + r0]
-        keep = overlap >= need(i, j)
-        yield i[keep], j[keep], overlap[keep]
-
-
-def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Roots after links i-j: each row's smallest connected row."""
-    root = root.copy()
-    while True:
-        a, b = root[i], root[j]
-        if (a == b).all():
-            return root
-        low = np.minimum(a, b)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        while (root[root] != root).any():
-            root = root[root]
+            x = []
+            for (place, whose), n in ((left, len(mine)), (right, len(others))):
+                lo, hi = np.searchsorted(place, [start, start + strip])
+                m = np.zeros((n, min(strip, len(known) - start)), dtype=np.float32)
+                m[whose[lo:hi], place[lo:hi] - start] = 1
+                x.append(m)
+            both += x[0] @ x[1].T
+        a, b = np.nonzero(both)
+        i, j = mine[a] + r0, others[b] + r0
+        keep = (j > i) | ((j < r1) & ~own[np.minimum(j - r0, r1 - r0 - 1)])
+        if across:
+            keep &= chunk[i] != chunk[j]
+        overlap = np.rint(both[a[keep], b[keep]]).astype(np.int64)
+        i, j = order[i[keep]], order[j[keep]]
+        enough = overlap >= need(i, j)
+        return i[enough], j[enough], overlap[enough]
+
+    r0, step = 0, 32
+    while r0 < len(blobs):
+        r1 = min(r0 + step, len(blobs))
+        top = int(np.searchsorted(sizes, int(sizes[r1 - 1]) * ratio.denominator // ratio.numerator, "right"))
+        root, count = np.unique(links.root[order[r0:top]], return_inverse=True)
+        outside = count != np.bincount(count, minlength=len(root)).argmax()
+        mine, rest = np.flatnonzero(outside[: r1 - r0]), np.flatnonzero(~outside[: r1 - r0])
+        if len(mine):
+            yield compare(mine, np.arange(top - r0), r0, r1, top)
+        others = np.flatnonzero(outside)
+        others = others[others >= r1 - r0]
+        if len(rest) and len(others):
+            yield compare(rest, others, r0, r1, top)
+        r0, step = r1, min(2 * step, rows)
 
 
 def union_estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,27 +194,25 @@ def _candidate_roots(rows: pa.Table, ratio: Fraction, slack: float) -> np.ndarra
     table = np.full((n, SKETCH), FILL, dtype="<u4")
     for k, x in enumerate(blobs):
         table[k, : len(x) // 4] = np.frombuffer(x, dtype="<u4")
+    links = Links(n)
     if n == 2:
-        i, j, both = np.array([0]), np.array([1]), np.array([0])
-        if min(sizes) * ratio.denominator < max(sizes) * ratio.numerator:
-            return np.arange(2)
-    else:
-        chunk = rows["chunk"].to_numpy() if rows["cell_i"][0] != rows["cell_j"][0] else np.zeros(n)
-        found = list(close_pairs(blobs, "<u4", sizes, chunk, ratio, lambda i, j: low * np.maximum(held[i], held[j])))
-        i, j, both = (np.concatenate(x) for x in zip(*found, strict=True))
-    by = np.argsort(-both, kind="stable")
-    i, j, root = i[by], j[by], np.arange(n)
-    while len(i):
-        some = slice(0, 20_000)
-        yes = union_estimates(table[i[some]], table[j[some]]) >= low
-        root = merge(root, i[some][yes], j[some][yes])
-        i, j = i[20_000:], j[20_000:]
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-    return root
-
-
-def candidates(classes: DataFrame, ratio: Fraction, list_rows: int = 1024) -> DataFrame:
+        fits = min(sizes) * ratio.denominator >= max(sizes) * ratio.numerator
+        return np.array([0, 0]) if fits and union_estimates(table[:1], table[1:])[0] >= low else links.root
+    chunk = rows["chunk"].to_numpy() if rows["cell_i"][0] != rows["cell_j"][0] else np.zeros(n)
+    for i, j, both in close_pairs(blobs, "<u4", sizes, chunk, ratio, lambda i, j: low * np.maximum(held[i], held[j]), links):
+        by = np.argsort(-both, kind="stable")
+        i, j = i[by], j[by]
+        while len(i):
+            a, b = i[:20_000], j[:20_000]
+            yes = union_estimates(table[a], table[b]) >= low
+            links.join(a[yes], b[yes])
+            i, j = i[20_000:], j[20_000:]
+            apart = links.apart(i, j)
+            i, j = i[apart], j[apart]
+    return links.root
+
+
+def candidates(classes: DataFrame, ratio: Fraction, list_rows: int = 4096) -> DataFrame:
     """(a, b): a forest of candidate links between set_keys, from the inverted lists of the
     listed hashes. A list longer than ``list_rows`` is laid out as a grid of chunk pairs."""
     slack = 5 * float(np.sqrt(float(ratio) * (1 - float(ratio)) / SKETCH))
@@ -206,11 +245,11 @@ def _exact_roots(rows: pa.Table, ratio: Fraction) -> np.ndarray:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return np.array([0, 0]) if both * q >= (len(a) + len(b) - both) * p else np.arange(2)
     chunk = rows["chunk"].to_numpy() if rows["cell_i"][0] != rows["cell_j"][0] else np.zeros(n)
-    root = np.arange(n)
+    links = Links(n)
     # both / (a + b - both) >= p / q, in whole numbers
-    for i, j, _ in close_pairs(blobs, "<u8", sizes, chunk, ratio, lambda i, j: -(-(sizes[i] + sizes[j]) * p // (p + q))):
-        root = merge(root, i, j)
-    return root
+    for i, j, _ in close_pairs(blobs, "<u8", sizes, chunk, ratio, lambda i, j: -(-(sizes[i] + sizes[j]) * p // (p + q)), links):
+        links.join(i, j)
+    return links.root
 
 
 def verified(docs: DataFrame, clusters: DataFrame, width: int, ratio: Fraction, cell_weight: int = 1_500_000) -> DataFrame:
