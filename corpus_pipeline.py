@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from slatework.llm import langid, neardup, packing, quality, substrings
 from slatework.llm.common import discard, materialize
-from slatework.llm.queries import TEMPERATURE, language_model, tokenizer_path, weights
+from slatework.llm.queries import PASSAGES, TEMPERATURE, language_model, tokenizer_path, weights
 
 #: The mean posterior that a document's language must reach.
 LEAST_SCORE = 0.3
@@ -36,7 +36,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that occurred before; n_chars is that of what is left. A
     document of nothing else goes."""
-    found = substrings.remove_repeats(docs)
+    found = substrings.remove_repeats(docs, **PASSAGES)
     left = found.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

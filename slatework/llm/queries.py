@@ -59,9 +59,14 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.decode_media(stored))
 
 
+#: Production parameters of the substring operator: whatever the place of a passage of 50 words or
+#: more, at most 16 words at either end of it stay.
+PASSAGES = {"run": 2, "least_words": 15, "backward": True}
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated passages each document lost, and a checksum of what is left of it."""
-    cleaned = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), **PASSAGES)
     return cleaned.select("doc_id", "n_sentences", "n_removed", "removed_spans", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 

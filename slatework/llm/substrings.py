@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,20 +16,38 @@ from pyspark.sql import types as T
 from slatework.llm.common import materialize, rekeyed, unused
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\"')\]]*\s*|$)")
+WORD = re.compile(r"\s*\S+\s*")
 
 
-def sentences(text: str | None, most_words: int = 25) -> list[tuple[str, list[str]]]:
+def places_to_cut(words: list[str], window: int) -> np.ndarray:
+    """Places of the words of least hash in every ``window`` consecutive words (all of equals). They
+    are at most ``window`` apart. From the first to the last that follow from a passage's own words,
+    which are among its first and last ``window`` words, they are the same wherever the passage is."""
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+    view = np.lib.stride_tricks.sliding_window_view
+    least = np.zeros(len(words) + window - 1, dtype=np.uint64)
+    least[window - 1 : len(words)] = view(hashes, window).min(axis=1)
+    return np.flatnonzero(hashes == view(least, window).max(axis=1))
+
+
+def pieces_of(sentence: str, most_words: int) -> list[str]:
+    """A sentence of more than ``most_words`` words in parts that end at :func:`places_to_cut`."""
+    found = WORD.findall(sentence)
+    ends = [0, *(1 + places_to_cut([w.strip() for w in found], most_words)).tolist(), len(found)]
+    return ["".join(found[a:b]) for a, b in pairwise(ends)]
+
+
+def sentences(text: str | None, most_words: int = 16) -> list[tuple[str, list[str]]]:
     """(part, words) of consecutive parts of the text: up to and with end marks or line ends and
-    the white space after them, longer sentences in pieces of ``most_words`` words. Joined again
-    the parts are the text."""
+    the white space after them; sentences of more than ``most_words`` words in pieces whose bounds
+    follow from the words next to them. Joined again the parts are the text."""
     out = []
     for s in SENTENCE.findall(text) if text else []:
         words = s.split()
         if len(words) <= most_words:
             out.append((s, words))
-            continue
-        for piece in re.findall(rf"(?:\s*\S+){{1,{most_words}}}\s*", s):
-            out.append((piece, piece.split()))
+        else:
+            out += [(piece, piece.split()) for piece in pieces_of(s, most_words)]
     return [x for x in out if x[0]]
 
 
@@ -41,21 +60,32 @@ def run_lengths(counts: np.ndarray, run: int, least_words: int) -> np.ndarray:
     return lengths[np.arange(len(counts)) + lengths <= len(counts)]
 
 
-def spans(words: list[list[str]], run: int, least_words: int) -> np.ndarray:
-    """A hash of the words of the run from each sentence, as far as runs are whole."""
+def runs(counts: np.ndarray, run: int, least_words: int, backward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, lengths) of the shortest runs from every sentence and, if ``backward``, of the
+    shortest that end at every sentence; each once, in the order of their starts."""
+    n, lengths = len(counts), run_lengths(counts, run, least_words)
+    starts = np.arange(len(lengths))
+    if not backward:
+        return starts, lengths
+    back = run_lengths(counts[::-1], run, least_words)
+    found = np.unique(np.append(starts * (n + 1) + lengths, (n - np.arange(len(back)) - back) * (n + 1) + back))
+    return found // (n + 1), found % (n + 1)
+
+
+def spans(words: list[list[str]], run: int, least_words: int, backward: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a hash of the words, start, length) of each of :func:`runs`."""
     if not words:
-        return np.zeros(0, dtype=np.int64)
-    lengths = run_lengths(np.array([len(w) for w in words]), run, least_words)
+        return (np.zeros(0, dtype=np.int64),) * 3
+    start, lengths = runs(np.array([len(w) for w in words]), run, least_words, backward)
     hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], dtype=np.uint64)
     base = np.uint64(0x9E3779B97F4A7C15)
     power = np.cumprod(np.full(len(words) + 1, base, dtype=np.uint64)) * np.uint64(pow(int(base), -1, 1 << 64))
     # sum of hash[i] * base**i over the run, times base**-start
     prefix = np.append(np.uint64(0), np.cumsum(hashes * power[:-1]))
-    start = np.arange(len(lengths))
     inverse = np.cumprod(np.full(len(words) + 1, pow(int(base), -1, 1 << 64), dtype=np.uint64)) * base
     mixed = (prefix[start + lengths] - prefix[start]) * inverse[start]
     mixed = (mixed ^ (mixed >> np.uint64(31))) * (lengths.astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    return mixed.view(np.int64)
+    return mixed.view(np.int64), start, lengths
 
 
 def first_places(hashes: np.ndarray) -> np.ndarray:
@@ -63,41 +93,47 @@ def first_places(hashes: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(hashes, return_index=True)[1])
 
 
-def cut(text: str | None, starts: list[int] | None, run: int, least_words: int) -> tuple[str | None, int, int, list[int]]:
+def cut(text: str | None, found: list[int] | None, run: int, least_words: int, backward: bool = False) -> tuple[str | None, int, int, list[int]]:
     """(the text without repeats, the number of its sentences with words, of those removed, the
-    starts of runs that go): those at ``starts``, and those that the document itself has before."""
+    starts of runs that go): those of numbers ``found``, and those that the document itself has before."""
     parts = sentences(text)
     words = [w for _, w in parts if w]
-    hashes = spans(words, run, least_words)
+    hashes, starts, lengths = spans(words, run, least_words, backward)
     own = np.setdiff1d(np.arange(len(hashes)), first_places(hashes), assume_unique=True)
-    starts = np.union1d(own, np.array(starts or [], dtype=np.int64)).tolist()
-    if not starts:
+    go = np.union1d(own, np.array(found or [], dtype=np.int64))
+    if not len(go):
         return text, len(words), 0, []
-    gone = removed(run_lengths(np.array([len(w) for w in words]), run, least_words), starts, len(words))
+    gone = removed(starts[go], lengths[go], len(words))
     out, at = [], -1
     for part, words in parts:
         at += bool(words)
         if not (words and gone[at]):
             out.append(part)
-    return "".join(out), len(words), int(gone.sum()), starts
+    return "".join(out), len(gone), int(gone.sum()), np.unique(starts[go]).tolist()
 
 
-def removed(lengths: np.ndarray, starts: list[int], n: int) -> np.ndarray:
-    """Which of n sentences the runs at ``starts`` cover."""
+def removed(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+    """Which of n sentences the runs cover."""
     change = np.zeros(n + 1, dtype=np.int64)
     np.add.at(change, starts, 1)
-    np.add.at(change, np.array(starts) + lengths[starts], -1)
+    np.add.at(change, starts + lengths, -1)
     return np.cumsum(change)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30, backward: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and the columns ``n_sentences``,
     ``n_removed`` (sentences) and ``removed_spans`` (starts); columns of these names are replaced,
     all others pass through unchanged.
 
     From every sentence the shortest run of at least ``run`` consecutive sentences and
-    ``least_words`` words is hashed; sentences of over 25 words count as several. The first occurrence of a hash is that with the smallest (doc_id, position); sentences in any other
-    occurrence go, whether it is in the same document or another. White space is not compared.
+    ``least_words`` words is hashed, and if ``backward`` also the shortest that ends at it, so that a
+    passage's last sentences go with it. Sentences of over 16 words count as several, cut where their
+    words say. The first occurrence of a hash is that with the smallest (doc_id, position); sentences in
+    any other occurrence go, whether it is in the same document or another. White space is not compared.
+
+    A passage may begin and end inside sentences: of every one of 50 words or more, all but at most 16
+    words at either end are sentences that other texts with it cut alike, so with ``backward`` and
+    15 words none is missed, and what stays of it is at most those ends.
 
     What a document repeats of itself is known without the others: only the first place of each hash
     in a document leaves its task. Hashes meet in a global aggregate (count and first place, summed before the shuffle), then only
@@ -108,13 +144,15 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> Data
     and text are one document: equal rows get equal results. An empty table gives an empty table."""
     docs = docs.drop("n_sentences", "n_removed", "removed_spans")
     own, key = unused(docs, "own_id", "text_key")
-    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: F.xxhash64("text")})
+    # half a hash, which shuffles less, tells texts of one doc_id apart; those without an id are many
+    told = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.shiftrightunsigned(F.xxhash64("text"), 32))
+    keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: told})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                hashes = [spans([w for _, w in sentences(t.as_py()) if w], run, least_words) for t in part.column(2)]
+                hashes = [spans([w for _, w in sentences(t.as_py()) if w], run, least_words, backward)[0] for t in part.column(2)]
                 places = [first_places(h) for h in hashes]
                 found = [h[p] for h, p in zip(hashes, places, strict=True)]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
@@ -138,7 +176,7 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30) -> Data
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts, cuts = part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-                new = [cut(t, c, run, least_words) for t, c in zip(texts, cuts, strict=True)]
+                new = [cut(t, c, run, least_words, backward) for t, c in zip(texts, cuts, strict=True)]
                 arrays = list(part.columns[:-1])
                 arrays[text] = pa.array([x[0] for x in new], pa.string())
                 arrays += [pa.array([x[k] for x in new], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int32())))]

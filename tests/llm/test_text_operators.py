@@ -189,6 +189,27 @@ def test_repeated_passages_go(spark):
     assert any(x["n_removed"] for x in got) and got[0]["text"] == texts[0]
 
 
+@pytest.mark.parametrize("marks", ["", ".!,"])
+def test_passages_go_wherever_they_begin(spark, tmp_path, marks):
+    from corpus_pipeline import without_repeats as stage
+    from slatework.llm.queries import op5_substrings
+
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randrange(10**9)}" + (r.choice(marks) if marks and r.random() < 0.1 else "") for _ in range(n))
+    passages = [prose(r.choice([50, 55, 80])) for _ in range(40)]
+    texts = [f"{prose(r.randrange(1, 60))} {p} {prose(r.randrange(1, 60))}" for _ in range(2) for p in passages]
+    docs = documents(spark, texts)
+    got = [x["text"] for x in stage(spark, docs, "").orderBy("doc_id").collect()]
+    assert got[:40] == texts[:40]
+    for p, before, after in zip(passages, texts[40:], got[40:], strict=True):
+        p, kept = p.split(), after.split()
+        assert [w for w in before.split() if w not in p] == [w for w in kept if w not in p]
+        left = [k for k, w in enumerate(p) if w in kept]
+        assert all(k < 16 or k >= len(p) - 16 for k in left)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [x["kept_chars"] for x in op5_substrings(spark, str(tmp_path)).orderBy("doc_id").collect()] == [len(t) for t in got]
+
+
 def test_repeats_in_odd_rows(spark):
     docs = odd_documents(spark)
     got = substrings.remove_repeats(docs).collect()
