@@ -111,16 +111,17 @@ class Pieces:
         kept = [k for k in range(len(ids)) if ids[k] != -2]
         return self._finish(segment, [ids[k] for k in kept], kept)
 
-    def many(self, segments: list[str], seed: int, dropout: float) -> list[bytes]:
+    def many(self, segments: list[str], seed: int | np.ndarray, dropout: float, tested: list[tuple[np.ndarray, ...]] | None = None) -> list[bytes]:
         """The same for many short segments at once, the best merge of each in every round. Rows are
         segments, columns places; pieces are linked to their neighbours, dead places are -2 and
-        those behind a segment's end -3."""
+        those behind a segment's end -3. The seed is one for all or each segment's own; ``tested``
+        gets the candidate merges: (rows, places, left pieces, right pieces)."""
         n, lengths = len(segments), np.array([len(s) for s in segments])
         size = int(lengths.max())
         ids = np.full((n, size + 1), -3, dtype=np.int32)
         inside = np.arange(size + 1)[None, :] < lengths[:, None]
         ids[inside] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le"), dtype="<u4")]
-        key = np.array([seed ^ xxhash.xxh3_64_intdigest(s) for s in segments], dtype=np.uint64)
+        key = np.array([xxhash.xxh3_64_intdigest(s) for s in segments], dtype=np.uint64) ^ np.asarray(seed, dtype=np.uint64)
         after = np.tile(np.arange(1, size + 2, dtype=np.int32), (n, 1))
         before = np.tile(np.arange(-1, size, dtype=np.int32), (n, 1))
         rank = np.full((n, size + 1), NONE, dtype=np.int32)
@@ -130,8 +131,10 @@ class Pieces:
             """Set the candidate merge of each place with the piece after it."""
             left, right = ids[r, p], ids[r, np.minimum(after[r, p], size)]
             found, made = self.look(left, right)
+            hit = np.flatnonzero(found != NONE)
+            if tested is not None:
+                tested.append((r[hit], p[hit], left[hit], right[hit]))
             if dropout:
-                hit = np.flatnonzero(found != NONE)
                 out = skipped(key[r[hit]], p[hit], left[hit], right[hit], dropout)
                 found[hit[out]] = NONE
             rank[r, p], new[r, p] = found, made
@@ -163,19 +166,25 @@ class Pieces:
             out[k] = self._finish(segments[k], ids[k, places].tolist(), places)
         return out
 
-    def encode_segments(self, segments: list[str], seed: int, dropout: float) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        short: list[str] = []
-        middle: list[str] = []
-        for s in segments:
+    def encode_segments(self, segments: list[str], seed: int | np.ndarray, dropout: float) -> dict[str, bytes]:
+        """Each of different segments' ids."""
+        return dict(zip(segments, self.encode_each(segments, seed, dropout), strict=True))
+
+    def encode_each(self, segments: list[str], seed: int | np.ndarray, dropout: float) -> list[bytes]:
+        """The ids of each of the segments, which may be equal, by its own seed or one for all."""
+        seeds = np.broadcast_to(np.asarray(seed, dtype=np.uint64), len(segments))
+        out = [b""] * len(segments)
+        groups: tuple[list[int], list[int]] = ([], [])
+        for k, s in enumerate(segments):
             if len(s) > ARRAYS:
-                out[s] = self.one(s, seed, dropout)
+                out[k] = self.one(s, int(seeds[k]), dropout)
             else:
-                (short if len(s) <= 12 else middle).append(s)
-        for group in (short, middle):
-            for k in range(0, len(group), 20_000):
-                some = group[k : k + 20_000]
-                out.update(zip(some, self.many(some, seed, dropout), strict=True))
+                groups[len(s) > 12].append(k)
+        for group in groups:
+            for start in range(0, len(group), 20_000):
+                some = group[start : start + 20_000]
+                for k, coded in zip(some, self.many([segments[k] for k in some], seeds[some], dropout), strict=True):
+                    out[k] = coded
         return out
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -188,6 +197,55 @@ class Pieces:
         return [flat[a + 1 : b] if b > a else b"" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+class Remembered:
+    """Short segments' ids without a skip, and the candidate merges that lead to them: where none of
+    those is skipped, these are the ids."""
+
+    def __init__(self, bpe: Pieces):
+        self.bpe, self.at, self.ids = bpe, {}, []
+        self.hash, self.count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.tested = [np.zeros(0, dtype=np.int32) for _ in range(3)]
+
+    def learn(self, segments: list[str]) -> None:
+        """Adds segments that are not there yet."""
+        segments.sort(key=len)
+        for start in range(0, len(segments), 20_000):
+            some, tested = segments[start : start + 20_000], []
+            self.at.update(zip(some, range(len(self.at), len(self.at) + len(some)), strict=True))
+            self.ids += self.bpe.many(some, 0, 0.0, tested)
+            rows, *found = (np.concatenate(x) for x in zip(*tested, strict=True))
+            order = np.argsort(rows, kind="stable")
+            self.tested = [np.append(old, new[order].astype(np.int32)) for old, new in zip(self.tested, found, strict=True)]
+            self.hash = np.append(self.hash, np.array([xxhash.xxh3_64_intdigest(s) for s in some], dtype=np.uint64))
+            self.count = np.append(self.count, np.bincount(rows, minlength=len(some)))
+
+    def encode(self, segments: list[str], seeds: np.ndarray, dropout: float) -> list[bytes]:
+        """What :meth:`Pieces.encode_each` gives; merged anew are only segments with a skip."""
+        self.learn(list({s for s in segments if s not in self.at and len(s) <= ARRAYS}))
+        which = np.array([self.at.get(s, -1) for s in segments], dtype=np.int64)
+        known = np.flatnonzero(which >= 0)
+        n = self.count[which[known]]
+        whose = np.repeat(known, n)
+        begin = (np.cumsum(self.count) - self.count)[which[known]]
+        place = np.arange(len(whose)) + np.repeat(begin - (np.cumsum(n) - n), n)
+        start, left, right = (x[place].astype(np.int64) for x in self.tested)
+        anew = which < 0
+        anew[whose[skipped(seeds[whose] ^ self.hash[which[whose]], start, left, right, dropout)]] = True
+        out = [b"" if again else self.ids[k] for again, k in zip(anew.tolist(), which.tolist(), strict=True)]
+        again = np.flatnonzero(anew).tolist()
+        for k, coded in zip(again, self.bpe.encode_each([segments[k] for k in again], seeds[again], dropout), strict=True):
+            out[k] = coded
+        return out
+
+
+def occurrence_seeds(doc_seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A seed for each of the ``counts`` segments of each document: a hash of its seed and their place."""
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    x = np.repeat(doc_seeds.astype(np.uint64), counts) ^ ((place.astype(np.uint64) + np.uint64(1)) * _K[1])
+    x = (x ^ (x >> np.uint64(32))) * _K[0]
+    return x ^ (x >> np.uint64(29))
+
+
 @functools.cache
 def pieces(path: str) -> Pieces:
     """One model for each file in a worker process."""
@@ -207,36 +265,41 @@ def _segments(text: str) -> list[str]:
     return out
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42) -> DataFrame:
     """``docs`` with ``ids``: the pieces of whole texts under merge-dropout.
 
-    Each candidate merge is skipped if a hash of (seed, variant, segment, place, pieces) falls
-    below ``dropout``; the others are made best first. A document's variant is a hash of its
-    doc_id, so equal words differ between documents, and a rerun or a retried task gives the same
-    ids. With dropout 0 the ids are the model's own. A null text gives null ids, an empty one
-    none. A column named ids is replaced; others pass through."""
+    Each candidate merge is skipped if a hash of (seed, doc_id, the segment's place in the document,
+    segment, place, pieces) falls below ``dropout``; the others are made best first. So equal words
+    differ within a document and between documents, and a rerun or a retried task gives the same
+    ids. Documents without a doc_id are told apart by their text. With dropout 0 the ids are the
+    model's own. A null text gives null ids, an empty one none. A column named ids is replaced;
+    others pass through."""
     docs = docs.drop("ids")
     text = docs.columns.index("text")
-    rows = docs.withColumn(*unused(docs, "variant"), F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(variants)).cast("int"))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    rows = docs.withColumn(*unused(docs, "doc_seed"), key)
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = pieces(model)
-        seeds = [xxhash.xxh3_64_intdigest(f"{seed} {v}") for v in range(variants)]
         mark = np.array([bpe.byte_ids[b] for b in BLANK.encode()], dtype="<i4").tobytes()
-        known: list[dict[str, bytes]] = [{"": mark} for _ in seeds]
+        known = Remembered(bpe)
         for batch in batches:
-            for part in slices(batch, sizes(batch.column(text)), 4 << 20):
-                texts, variant = part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+            for part in slices(batch, sizes(batch.column(text)), 1 << 20):
+                texts, doc_seeds = part.column(text).to_pylist(), part.column(part.num_columns - 1).to_numpy()
                 split = [_segments(t or "") for t in texts]
-                if sum(map(len, known)) > REMEMBERED:
-                    known = [{"": mark} for _ in seeds]
-                for v, have in enumerate(known):
-                    missing = {s for x, w in zip(split, variant, strict=True) if w == v for s in x if s not in have}
-                    have.update(bpe.encode_segments(sorted(missing), seeds[v], dropout))
-                coded = [b"".join(map(known[v].__getitem__, x)) for x, v in zip(split, variant, strict=True)]
-                offsets = np.append(0, np.cumsum([len(c) // 4 for c in coded])).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
+                if len(known.at) > REMEMBERED:
+                    known = Remembered(bpe)
+                counts = np.array([len(x) for x in split], dtype=np.int64)
+                flat, seeds = [s for x in split for s in x], occurrence_seeds(doc_seeds, counts)
+                real = [k for k, s in enumerate(flat) if s]
+                each = [mark] * len(flat)
+                for k, coded in zip(real, known.encode([flat[k] for k in real], seeds[real], dropout), strict=True):
+                    each[k] = coded
+                ends = np.cumsum(counts).tolist()
+                whole = [b"".join(each[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                offsets = np.append(0, np.cumsum([len(c) // 4 for c in whole])).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(whole), dtype="<i4"))
                 null = pa.array([t is None for t in texts])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), values, mask=null)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [f.name for f in schema.fields])

@@ -241,3 +241,21 @@ def test_arrays_and_agenda_agree():
     words = ["▁" + "".join(random.Random(i).choices("abcdeé日", k=1 + i % 40)) for i in range(300)]
     many = bpe.encode_segments(words, 7, 0.2)
     assert all(bpe.one(w, 7, 0.2) == many[w] for w in words)
+
+
+def test_words_vary_within_documents_and_over_the_corpus(spark):
+    rows = pieces.encode(documents(spark, ["international"] * 200 + [" ".join(["international"] * 200)]), SP).orderBy("doc_id").collect()
+    assert len({tuple(r["ids"]) for r in rows[:200]}) > 4
+    ids = np.array(rows[200]["ids"])
+    ends = np.cumsum(pieces.pieces(SP).size[ids])
+    words = np.split(ids, np.flatnonzero(ends % len(" international") == 0) + 1)[:-1]
+    assert len(words) == 200 and len({tuple(w) for w in words}) > 4
+
+
+def test_remembered_segments_are_those_merged_anew():
+    bpe = pieces.pieces(SP)
+    words = ["▁" + "".join(random.Random(i % 70).choices("abcdeé日", k=1 + i % 70)) for i in range(300)] + ["▁international"] * 300
+    seeds = pieces.occurrence_seeds(np.array([-7, 9]), np.array([400, 200]))
+    known = pieces.Remembered(bpe)
+    known.encode(words[:50], seeds[:50], 0.2)
+    assert known.encode(words, seeds, 0.2) == [bpe.one(w, int(s), 0.2) for w, s in zip(words, seeds, strict=True)]
