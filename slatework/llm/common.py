@@ -13,10 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of the tables that :func:`materialize` wrote in this process and nobody deleted yet.
+MADE: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves a
+    local session, as in tests; on a cluster, where executors could not read it, that is a ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder for intermediate tables")
         base = tempfile.mkdtemp(prefix="slatework-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -28,6 +35,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/slatework-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._slatework_path = path
     return out
@@ -35,9 +43,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._slatework_path)
+    _delete(df.sparkSession, df._slatework_path)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what :func:`materialize` wrote since there were ``since`` tables in MADE. Operators'
+    results read such tables when they are computed, so only whoever has written a result can tell
+    that they are done with."""
+    for path in MADE[since:]:
+        if keep is None or path != keep._slatework_path:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if name in MADE:
+        MADE.remove(name)
 
 
 def sizes(column: pa.Array) -> np.ndarray:

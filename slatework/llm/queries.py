@@ -61,7 +61,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Production parameters of the substring operator: whatever the place of a passage of 50 words or
 #: more, at most 16 words at either end of it stay.
-PASSAGES = {"run": 2, "least_words": 15, "backward": True}
+PASSAGES = {"run": 2, "least_words": 15}
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,132 +13,172 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatework.llm.common import materialize, rekeyed, unused
+from slatework.llm.common import materialize, rekeyed, sizes, slices, unused
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+[\"')\]]*\s*|$)")
 WORD = re.compile(r"\s*\S+\s*")
-
-
-def places_to_cut(words: list[str], window: int) -> np.ndarray:
-    """Places of the words of least hash in every ``window`` consecutive words (all of equals). They
-    are at most ``window`` apart. From the first to the last that follow from a passage's own words,
-    which are among its first and last ``window`` words, they are the same wherever the passage is."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+#: Sentences of more words are cut where their words say.
+MOST_WORDS = 16
+REMEMBERED = 500_000
+#: Bytes of text that are taken at once.
+PART = 2 << 20
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+@dataclass
+class Units:
+    """Sentences of many texts, long ones in pieces: the words' hashes and, of each unit with words,
+    its first word, the word after its last, and its text."""
+
+    parts: list[list[str]]
+    hashes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    doc: np.ndarray
+
+    def of_docs(self) -> np.ndarray:
+        """Bounds of the texts' units."""
+        return np.searchsorted(self.doc, np.arange(len(self.parts) + 1))
+
+
+def places_to_cut(hashes: np.ndarray, sentence: np.ndarray, window: int) -> np.ndarray:
+    """Which words are of least hash in some ``window`` consecutive words of their sentence (all of
+    equals). They are at most ``window`` apart. Between the first and the last that follow from a
+    passage's own words, which are among its first and last ``window`` words, they are the same
+    wherever the passage is."""
     view = np.lib.stride_tricks.sliding_window_view
-    least = np.zeros(len(words) + window - 1, dtype=np.uint64)
-    least[window - 1 : len(words)] = view(hashes, window).min(axis=1)
-    return np.flatnonzero(hashes == view(least, window).max(axis=1))
-
-
-def pieces_of(sentence: str, most_words: int) -> list[str]:
-    """A sentence of more than ``most_words`` words in parts that end at :func:`places_to_cut`."""
-    found = WORD.findall(sentence)
-    ends = [0, *(1 + places_to_cut([w.strip() for w in found], most_words)).tolist(), len(found)]
-    return ["".join(found[a:b]) for a, b in pairwise(ends)]
-
-
-def sentences(text: str | None, most_words: int = 16) -> list[tuple[str, list[str]]]:
-    """(part, words) of consecutive parts of the text: up to and with end marks or line ends and
-    the white space after them; sentences of more than ``most_words`` words in pieces whose bounds
-    follow from the words next to them. Joined again the parts are the text."""
-    out = []
-    for s in SENTENCE.findall(text) if text else []:
-        words = s.split()
-        if len(words) <= most_words:
-            out.append((s, words))
-        else:
-            out += [(piece, piece.split()) for piece in pieces_of(s, most_words)]
-    return [x for x in out if x[0]]
-
-
-def run_lengths(counts: np.ndarray, run: int, least_words: int) -> np.ndarray:
-    """For each sentence the shortest run from it of at least ``run`` sentences and
-    ``least_words`` words, cut off where the text ends before; counts are the sentences' words."""
-    total = np.append(0, np.cumsum(counts))
-    ends = np.searchsorted(total, total[:-1] + least_words, "left")
-    lengths = np.maximum(ends - np.arange(len(counts)), run)
-    return lengths[np.arange(len(counts)) + lengths <= len(counts)]
-
-
-def runs(counts: np.ndarray, run: int, least_words: int, backward: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, lengths) of the shortest runs from every sentence and, if ``backward``, of the
-    shortest that end at every sentence; each once, in the order of their starts."""
-    n, lengths = len(counts), run_lengths(counts, run, least_words)
-    starts = np.arange(len(lengths))
-    if not backward:
-        return starts, lengths
-    back = run_lengths(counts[::-1], run, least_words)
-    found = np.unique(np.append(starts * (n + 1) + lengths, (n - np.arange(len(back)) - back) * (n + 1) + back))
-    return found // (n + 1), found % (n + 1)
-
-
-def spans(words: list[list[str]], run: int, least_words: int, backward: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a hash of the words, start, length) of each of :func:`runs`."""
-    if not words:
-        return (np.zeros(0, dtype=np.int64),) * 3
-    start, lengths = runs(np.array([len(w) for w in words]), run, least_words, backward)
-    hashes = np.array([xxhash.xxh3_64_intdigest(" ".join(w)) for w in words], dtype=np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
-    power = np.cumprod(np.full(len(words) + 1, base, dtype=np.uint64)) * np.uint64(pow(int(base), -1, 1 << 64))
-    # sum of hash[i] * base**i over the run, times base**-start
-    prefix = np.append(np.uint64(0), np.cumsum(hashes * power[:-1]))
-    inverse = np.cumprod(np.full(len(words) + 1, pow(int(base), -1, 1 << 64), dtype=np.uint64)) * base
-    mixed = (prefix[start + lengths] - prefix[start]) * inverse[start]
-    mixed = (mixed ^ (mixed >> np.uint64(31))) * (lengths.astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    return mixed.view(np.int64), start, lengths
-
-
-def first_places(hashes: np.ndarray) -> np.ndarray:
-    """Places of each hash's first occurrence in its document."""
-    return np.sort(np.unique(hashes, return_index=True)[1])
-
-
-def cut(text: str | None, found: list[int] | None, run: int, least_words: int, backward: bool = False) -> tuple[str | None, int, int, list[int]]:
-    """(the text without repeats, the number of its sentences with words, of those removed, the
-    starts of runs that go): those of numbers ``found``, and those that the document itself has before."""
-    parts = sentences(text)
-    words = [w for _, w in parts if w]
-    hashes, starts, lengths = spans(words, run, least_words, backward)
-    own = np.setdiff1d(np.arange(len(hashes)), first_places(hashes), assume_unique=True)
-    go = np.union1d(own, np.array(found or [], dtype=np.int64))
-    if not len(go):
-        return text, len(words), 0, []
-    gone = removed(starts[go], lengths[go], len(words))
-    out, at = [], -1
-    for part, words in parts:
-        at += bool(words)
-        if not (words and gone[at]):
+    least = np.zeros(len(hashes) + window - 1, dtype=np.uint64)
+    least[window - 1 : len(hashes)] = np.where(sentence[: 1 - window] == sentence[window - 1 :], view(hashes, window).min(axis=1), 0)
+    return hashes == view(least, window).max(axis=1)
+
+
+class Reader:
+    """Splits texts into units, and remembers words' hashes."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+
+    def of(self, texts: list[str | None]) -> Units:
+        if len(self.at) > REMEMBERED:
+            self.at.clear()
+        at, words, counts, doc = self.at, [], [], []
+        parts = [[s for s in SENTENCE.findall(t) if s] if t else [] for t in texts]
+        for d, found in enumerate(parts):
+            for s in found:
+                w = s.split()
+                if w:
+                    words += w
+                    counts.append(len(w))
+                    doc.append(d)
+        try:
+            codes = [at[w] for w in words]
+        except KeyError:
+            for w in words:
+                if w not in at:
+                    at[w] = xxhash.xxh3_64_intdigest(w)
+            codes = [at[w] for w in words]
+        hashes, counts = np.array(codes, dtype=np.uint64), np.array(counts, dtype=np.int64)
+        last = np.zeros(len(words), bool)
+        last[np.cumsum(counts) - 1] = True
+        if counts.max(initial=0) > MOST_WORDS:
+            sentence = np.repeat(np.arange(len(counts)), counts)
+            last |= places_to_cut(hashes, sentence, MOST_WORDS) & (counts > MOST_WORDS)[sentence]
+        end = np.flatnonzero(last) + 1
+        begin = np.append(0, end)[: len(end)]
+        of = np.searchsorted(np.cumsum(counts), begin, "right")
+        return Units(parts, hashes, begin, end, np.array(doc, dtype=np.int64)[of])
+
+
+def runs(units: Units, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first units, lengths), each once and in order: from every unit the shortest run of at least
+    ``run`` units and ``least_words`` words, and the shortest such run up to every unit; a text of at
+    least ``run`` units, but fewer words, as a whole. Runs lie within one text."""
+    n, bounds = len(units.doc), units.of_docs()
+    at = np.arange(n)
+    ahead = np.maximum(np.searchsorted(units.end, units.begin + least_words) + 1 - at, run)
+    back = np.maximum(at + 2 - np.searchsorted(units.begin, units.end - least_words, "right"), run)
+    first, last = bounds[:-1][np.diff(bounds) >= run], bounds[1:][np.diff(bounds) >= run]
+    few = units.end[last - 1] - units.begin[first] < least_words
+    ok, back_ok = at + ahead <= bounds[units.doc + 1], at + 1 - back >= bounds[units.doc]
+    starts = np.concatenate([at[ok], (at + 1 - back)[back_ok], first[few]])
+    found = np.unique(starts * (n + 2) + np.concatenate([ahead[ok], back[back_ok], (last - first)[few]]))
+    return found // (n + 2), found % (n + 2)
+
+
+def hashes_of(units: Units, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and a 32-bit hash of each run's words, by two polynomials over the words' hashes."""
+    n, out = len(units.hashes), []
+    begin, end = units.begin[first], units.end[first + lengths - 1]
+    for base in _BASES:
+        inverse = np.uint64(pow(base, -1, 1 << 64))
+        power = np.cumprod(np.append(np.uint64(1), np.full(n, base, dtype=np.uint64)))
+        back = np.cumprod(np.append(np.uint64(1), np.full(n, inverse, dtype=np.uint64)))
+        values = (units.hashes ^ (units.hashes >> np.uint64(32))) * np.uint64(base)
+        prefix = np.append(np.uint64(0), np.cumsum(values * power[:-1]))
+        x = (prefix[end] - prefix[begin]) * back[begin]
+        x = (x ^ (x >> np.uint64(31))) * _MIX * ((end - begin).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        out.append(x ^ (x >> np.uint64(29)))
+    return out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def spans(units: Units, run: int, least_words: int) -> tuple[np.ndarray, ...]:
+    """(text, first unit in it, length, hash, check, whether the text has the same words before) of
+    each run."""
+    first, lengths = runs(units, run, least_words)
+    doc = units.doc[first]
+    span, check = hashes_of(units, first, lengths)
+    order = np.lexsort((first, check, span, doc))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (np.diff(doc[order]) == 0) & (np.diff(span[order]) == 0) & (np.diff(check[order]) == 0)
+    return doc, first - units.of_docs()[doc], lengths, span, check, again
+
+
+def without(units: Units, doc: int, go: list[dict]) -> tuple[str, int]:
+    """(a text without the units that the runs cover, the number of those units)."""
+    a, b = units.of_docs()[[doc, doc + 1]].tolist()
+    change = np.zeros(b - a + 1, dtype=np.int64)
+    np.add.at(change, [x["at"] for x in go], 1)
+    np.add.at(change, [x["at"] + x["length"] for x in go], -1)
+    gone, words = np.cumsum(change)[:-1] > 0, (units.end - units.begin)[a:b]
+    out, at = [], 0
+    for part in units.parts[doc]:
+        left = len(part.split())
+        if not left:
             out.append(part)
-    return "".join(out), len(gone), int(gone.sum()), np.unique(starts[go]).tolist()
-
-
-def removed(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """Which of n sentences the runs cover."""
-    change = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + lengths, -1)
-    return np.cumsum(change)[:n] > 0
+        elif words[at] == left:
+            out.append("" if gone[at] else part)
+            at += 1
+        else:
+            found, k = WORD.findall(part), 0
+            while k < left:
+                n = int(words[at])
+                out.append("" if gone[at] else "".join(found[k : k + n]))
+                at, k = at + 1, k + n
+    return "".join(out), int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30, backward: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 0) -> DataFrame:
     """``docs`` with repeated passages cut from ``text``, and the columns ``n_sentences``,
-    ``n_removed`` (sentences) and ``removed_spans`` (starts); columns of these names are replaced,
-    all others pass through unchanged.
+    ``n_removed`` (sentences) and ``removed_spans`` (their first sentences, by number); columns of
+    these names are replaced, all others pass through unchanged.
 
-    From every sentence the shortest run of at least ``run`` consecutive sentences and
-    ``least_words`` words is hashed, and if ``backward`` also the shortest that ends at it, so that a
-    passage's last sentences go with it. Sentences of over 16 words count as several, cut where their
-    words say. The first occurrence of a hash is that with the smallest (doc_id, position); sentences in
-    any other occurrence go, whether it is in the same document or another. White space is not compared.
+    By default every run of ``run`` consecutive sentences is hashed. With ``least_words`` a run has so
+    many words too: the shortest runs from and up to each sentence are hashed, and a text with fewer
+    words as a whole. The first occurrence of a hash
+    is that with the smallest (doc_id, position); sentences in any other occurrence go, whether it
+    is in the same document or another. White space is not compared.
 
-    A passage may begin and end inside sentences: of every one of 50 words or more, all but at most 16
-    words at either end are sentences that other texts with it cut alike, so with ``backward`` and
-    15 words none is missed, and what stays of it is at most those ends.
+    Sentences of over 16 words count as several, cut where their words say. So a passage may begin
+    and end inside sentences: of every one of 50 words or more, all but at most 16 words at either end
+    are sentences that other texts with it cut alike, so with 15 ``least_words`` none is missed, and
+    what stays of it is at most those ends.
 
     What a document repeats of itself is known without the others: only the first place of each hash
-    in a document leaves its task. Hashes meet in a global aggregate (count and first place, summed before the shuffle), then only
-    repeated ones are joined with the places again; a passage that very many documents share is a
-    skewed join key, which Spark splits. Whole texts cross one shuffle.
+    in a document takes part in the join. Hashes (of 96 bits) meet in a global aggregate (count and
+    first place, summed before the shuffle), then only repeated ones are joined with the places again;
+    a passage that very many documents share is a skewed join key, which Spark splits. Whole texts
+    cross one shuffle, and only texts that lose something are split again.
 
     Null and empty texts stay. A null doc_id is after all others. Documents that are equal in doc_id
     and text are one document: equal rows get equal results. An empty table gives an empty table."""
@@ -149,37 +189,43 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 30, backwar
     keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: told})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                hashes = [spans([w for _, w in sentences(t.as_py()) if w], run, least_words, backward)[0] for t in part.column(2)]
-                places = [first_places(h) for h in hashes]
-                found = [h[p] for h, p in zip(hashes, places, strict=True)]
-                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                at = np.concatenate(places)
-                arrays = [pa.array(np.concatenate(found), pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array(at, pa.int32())]
-                yield pa.RecordBatch.from_arrays(arrays, ["span", "_id", "_text", "at"])
-
-    found = keyed.select(F.col(own).alias("_id"), F.col(key).alias("_text"), "text").mapInArrow(spread, "span long, _id long, _text long, at int")
+            for part in slices(batch, sizes(batch.column(2)), PART):
+                units = reader.of(part.column(2).to_pylist())
+                doc, at, length, span, check, again = spans(units, run, least_words)
+                # each text's number of units, as a row of length 0
+                rows = np.append(doc, np.arange(part.num_rows))
+                at, length = np.append(at, np.diff(units.of_docs())), np.append(length, np.zeros(part.num_rows, dtype=np.int64))
+                none = np.append(again, np.ones(part.num_rows, bool))
+                span, check = (np.append(x, np.zeros(part.num_rows, x.dtype)) for x in (span, check))
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(span, mask=none), pa.array(check, mask=none), part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(length, pa.int32())], ["span", "check", "_id", "_text", "at", "length"])
+
+    found = keyed.select(F.col(own).alias("_id"), F.col(key).alias("_text"), "text").mapInArrow(spread, "span long, check int, _id long, _text long, at int, length int")
     found = materialize(found, "spans")
-    place = F.struct("_id", "at", "_text")
-    repeated = found.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
-    repeated = rekeyed(repeated, "n", "span")
-    again = found.join(repeated, "span").filter(~(place == F.col("first")))
-    starts = again.select("_id", "_text", "at").distinct().groupBy("_id", "_text").agg(F.collect_list("at").alias("removed_spans"))
-    joined = keyed.join(starts, (keyed[own] == starts["_id"]) & (keyed[key] == starts["_text"]), "left").select(*[keyed[c] for c in docs.columns], starts["removed_spans"])
+    place, here = F.struct("_id", "at", "_text"), found.filter("span is not null")
+    repeated = here.groupBy("span", "check").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    repeated = rekeyed(repeated, "n", "span", "check")
+    again = here.join(repeated, ["span", "check"]).filter(~(place == F.col("first"))).select("_id", "_text", "at", "length")
+    known = again.union(found.filter("span is null").select("_id", "_text", "at", "length"))
+    starts = known.groupBy("_id", "_text").agg(F.max(F.when(F.col("length") == 0, F.col("at"))).cast("long").alias("n_sentences"), F.collect_set(F.when(F.col("length") > 0, F.struct("at", "length"))).alias("_go"))
+    joined = keyed.join(starts, (keyed[own] == starts["_id"]) & (keyed[key] == starts["_text"]), "left").select(*[keyed[c] for c in docs.columns], starts["n_sentences"], starts["_go"])
     text = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.IntegerType()))])
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                texts, cuts = part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-                new = [cut(t, c, run, least_words, backward) for t, c in zip(texts, cuts, strict=True)]
+            for part in slices(batch, sizes(batch.column(text)), PART):
+                texts, go = part.column(text).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+                hit = [k for k, x in enumerate(go) if x]
+                units, removed = reader.of([texts[k] for k in hit]), np.zeros(len(go), dtype=np.int64)
+                for d, k in enumerate(hit):
+                    texts[k], removed[k] = without(units, d, go[k])
+                starts = [sorted({x["at"] for x in row or []}) for row in go]
                 arrays = list(part.columns[:-1])
-                arrays[text] = pa.array([x[0] for x in new], pa.string())
-                arrays += [pa.array([x[k] for x in new], kind) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.int32())))]
-                yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
+                arrays[text] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(removed), pa.array(starts, pa.list_(pa.int32()))], [f.name for f in schema.fields])
 
     return joined.mapInArrow(rewrite, schema)

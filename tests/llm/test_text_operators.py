@@ -149,22 +149,45 @@ def test_broken_containers_are_refused():
             media.from_container(bad)
 
 
-def without_repeats(rows, run=2, least=30):
-    """The operator's rule, plainly."""
+def split_plainly(text):
+    """(unit, words): sentences, those of over 16 words cut after words of least hash in 16."""
+    import re
+
+    import xxhash
+
+    units = []
+    for s in re.findall(r"[^.!?\n]*(?:[.!?\n]+[\"')\]]*\s*|$)", text or ""):
+        words = re.findall(r"\s*\S+\s*", s)
+        h = [xxhash.xxh3_64_intdigest(w.strip()) for w in words]
+        ends = {a + k for a in range(len(h) - 15) for k in range(16) if h[a + k] == min(h[a : a + 16])} if len(h) > 16 else set()
+        unit = ""
+        for k, w in enumerate(words):
+            unit += w
+            if k in ends or k == len(words) - 1:
+                units.append((unit, unit.split()))
+                unit = ""
+        if s and not words:
+            units.append((s, []))
+    assert "".join(u for u, _ in units) == (text or "")
+    return units
+
+
+def without_repeats(rows, run=2, least=0):
+    """The operator's rule, plainly: all runs, and those that have a shorter one inside left out."""
     seen, out = set(), []
     for doc_id, text in rows:
-        parts = [(p, w) for p, w in substrings.sentences(text)]
-        assert "".join(p for p, _ in parts) == (text or "")
+        parts = split_plainly(text)
         wordy, gone = [w for _, w in parts if w], set()
-        for a in range(len(wordy)):
-            b = a
-            while b < len(wordy) and (b - a < run or sum(map(len, wordy[a:b])) < least):
-                b += 1
-            if b - a >= run and sum(map(len, wordy[a:b])) >= least:
-                key = tuple(" ".join(w) for w in wordy[a:b])
-                if key in seen:
-                    gone |= set(range(a, b))
-                seen.add(key)
+        size = lambda a, b: sum(map(len, wordy[a:b]))
+        found = {(a, b) for a in range(len(wordy)) for b in range(a + run, len(wordy) + 1) if size(a, b) >= least}
+        shortest = {(a, b) for a, b in found if (a, b - 1) not in found or (a + 1, b) not in found}
+        if len(wordy) >= run and size(0, len(wordy)) < least:
+            shortest = {(0, len(wordy))}
+        for a, b in sorted(shortest):
+            key = tuple(w for unit in wordy[a:b] for w in unit)
+            if key in seen:
+                gone |= set(range(a, b))
+            seen.add(key)
         at, kept = -1, []
         for p, w in parts:
             at += bool(w)
@@ -174,7 +197,8 @@ def without_repeats(rows, run=2, least=30):
     return out
 
 
-def test_repeated_passages_go(spark):
+@pytest.mark.parametrize("run, least", [(2, 0), (3, 0), (2, 15), (2, 30)])
+def test_repeated_passages_go(spark, run, least):
     r = random.Random(4)
 
     def prose(n):
@@ -182,11 +206,10 @@ def test_repeated_passages_go(spark):
 
     shared = [prose(6) for _ in range(3)]
     texts = [prose(r.randrange(6)) + " " + r.choice(shared) + " " + prose(r.randrange(6)) if r.random() < 0.6 else prose(5) for _ in range(60)]
-    texts += [shared[0] + " " + prose(1) + " " + shared[0], texts[0], "no end " * 80]
-    got = substrings.remove_repeats(clashing(documents(spark, texts))).orderBy("doc_id").collect()
-    wanted = without_repeats(list(enumerate(texts)))
-    assert [(x["doc_id"], x["text"], x["n_removed"]) for x in got] == wanted
-    assert any(x["n_removed"] for x in got) and got[0]["text"] == texts[0]
+    texts += [shared[0] + " " + prose(1) + " " + shared[0], texts[0], "no end " * 80, "One. Two. Three.", "One. Two. Three.", "x One. Two. Three. y"]
+    got = substrings.remove_repeats(clashing(documents(spark, texts)), run, least).orderBy("doc_id").collect()
+    assert [(x["doc_id"], x["text"], x["n_removed"]) for x in got] == without_repeats(list(enumerate(texts)), run, least)
+    assert any(x["n_removed"] for x in got) and got[0]["text"] == texts[0] and got[-2]["text"] == "" and got[-1]["text"] == ("x One. Two. Three. y" if least or run > 2 else "x One. y")
 
 
 @pytest.mark.parametrize("marks", ["", ".!,"])
