@@ -55,6 +55,12 @@ class Pieces:
         pairs = sorted((self.at[p[:k]] * n + self.at[p[k:]], rank[i], i) for p, i in self.at.items() for k in range(1, len(p)) if p[:k] in self.at and p[k:] in self.at)
         self.pair, self.rank, self.merged = (np.array(x, dtype=t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32, np.int32), strict=True))
         self.n = n
+        # pairs by a hash; slots of several pairs are -2 and those pairs are searched for
+        self.slot = np.full(1 << 21, -1, dtype=np.int32)
+        at = self._slot(self.pair)
+        self.slot[at] = np.arange(len(at))
+        crowded, times = np.unique(at, return_counts=True)
+        self.slot[crowded[times > 1]] = -2
         self.of_char = np.full(0x110000, -1, dtype=np.int32)
         for p, i in self.at.items():
             if len(p) == 1:
@@ -68,11 +74,19 @@ class Pieces:
         self.begin = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(out), dtype=np.uint8)
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * _K[0] >> np.uint64(43)).astype(np.int64)
+
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, id) of the merges of pairs of pieces; rank NONE where there is none."""
-        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.n + right, -1)
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, self.rank[at], NONE), self.merged[at]
+        key = left.astype(np.int64) * self.n + right
+        at = self.slot[self._slot(key)]
+        crowded = np.flatnonzero(at == -2)
+        at[crowded] = np.searchsorted(self.pair, key[crowded])
+        np.clip(at, 0, len(self.pair) - 1, out=at)
+        ok = (self.pair[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(ok, self.rank[at], NONE), self.merged[at]
 
     def _finish(self, segment: str, ids: list[int], starts: list[int]) -> bytes:
         """Ids as bytes; a character without a piece becomes its UTF-8 bytes' pieces."""
@@ -111,81 +125,69 @@ class Pieces:
         kept = [k for k in range(len(ids)) if ids[k] != -2]
         return self._finish(segment, [ids[k] for k in kept], kept)
 
-    def many(self, segments: list[str], seed: int | np.ndarray, dropout: float, tested: list[tuple[np.ndarray, ...]] | None = None) -> list[bytes]:
-        """The same for many short segments at once, the best merge of each in every round. Rows are
-        segments, columns places; pieces are linked to their neighbours, dead places are -2 and
-        those behind a segment's end -3. The seed is one for all or each segment's own; ``tested``
-        gets the candidate merges: (rows, places, left pieces, right pieces)."""
-        n, lengths = len(segments), np.array([len(s) for s in segments])
-        size = int(lengths.max())
-        ids = np.full((n, size + 1), -3, dtype=np.int32)
+    def many(self, codes: np.ndarray, lengths: np.ndarray, keys: np.ndarray, dropout: float, tested: list[tuple[np.ndarray, ...]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many short segments at once, the best merge of each in every round: (all
+        their ids, the number of each one's). ``codes`` has their characters one after the other,
+        ``keys`` each one's seed with its hash; ``tested`` gets the candidate merges: (segments,
+        places, left pieces, right pieces).
+
+        Columns are segments and rows places; pieces are linked to their neighbours, dead places are
+        -2 and those behind a segment's end -3. A candidate's order is its rank and then its place."""
+        n, size = len(lengths), int(lengths.max())
         inside = np.arange(size + 1)[None, :] < lengths[:, None]
-        ids[inside] = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le"), dtype="<u4")]
-        key = np.array([xxhash.xxh3_64_intdigest(s) for s in segments], dtype=np.uint64) ^ np.asarray(seed, dtype=np.uint64)
-        after = np.tile(np.arange(1, size + 2, dtype=np.int32), (n, 1))
-        before = np.tile(np.arange(-1, size, dtype=np.int32), (n, 1))
-        rank = np.full((n, size + 1), NONE, dtype=np.int32)
-        new = np.zeros((n, size + 1), dtype=np.int32)
+        grid = np.full((n, size + 1), -3, dtype=np.int32)
+        grid[inside] = self.of_char[codes]
+        ids = np.ascontiguousarray(grid.T).reshape(-1)
+        after = np.repeat(np.arange(1, size + 2, dtype=np.int32), n)
+        before = np.repeat(np.arange(-1, size, dtype=np.int32), n)
+        order, new = np.full((size + 1) * n, NONE, dtype=np.int32), np.zeros((size + 1) * n, dtype=np.int32)
 
         def offer(r: np.ndarray, p: np.ndarray) -> None:
             """Set the candidate merge of each place with the piece after it."""
-            left, right = ids[r, p], ids[r, np.minimum(after[r, p], size)]
+            at = p * n + r
+            left, right = ids[at], ids[np.minimum(after[at], size) * n + r]
             found, made = self.look(left, right)
             hit = np.flatnonzero(found != NONE)
             if tested is not None:
                 tested.append((r[hit], p[hit], left[hit], right[hit]))
             if dropout:
-                out = skipped(key[r[hit]], p[hit], left[hit], right[hit], dropout)
-                found[hit[out]] = NONE
-            rank[r, p], new[r, p] = found, made
+                hit = hit[~skipped(keys[r[hit]], p[hit], left[hit], right[hit], dropout)]
+            order[at] = NONE
+            at = at[hit]
+            order[at], new[at] = found[hit] * np.int32(64) + p[hit].astype(np.int32), made[hit]
 
-        r, p = np.nonzero(inside[:, 1:])
+        p, r = np.nonzero(inside[:, 1:].T)
         offer(r, p)
-        rows = np.arange(n)
-        while len(rows):
-            p = rank[rows].argmin(axis=1)
-            go = rank[rows, p] != NONE
-            rows, p = rows[go], p[go]
-            q = after[rows, p]
-            ids[rows, p], ids[rows, q] = new[rows, p], -2
-            rank[rows, q] = NONE
-            end = after[rows, q]
-            after[rows, p] = end
-            before[rows, np.minimum(end, size)] = p
-            offer(rows, p)
-            back = before[rows, p]
+        while True:
+            best = order.reshape(size + 1, n).min(axis=0)
+            rows = np.flatnonzero(best != NONE)
+            if not len(rows):
+                break
+            p = (best[rows] & 63).astype(np.int64)
+            at = p * n + rows
+            gone = after[at] * np.int64(n) + rows
+            ids[at], ids[gone], order[gone] = new[at], -2, NONE
+            end = after[gone]
+            after[at] = end
+            before[np.minimum(end, size) * np.int64(n) + rows] = p
+            back = before[at]
             ok = back >= 0
-            offer(rows[ok], back[ok])
-        alive = ids[:, :size] > -2
-        ends = np.cumsum(alive.sum(axis=1)).tolist()
-        flat = ids[:, :size][alive]
-        blob = flat.astype("<i4").tobytes()
-        out = [blob[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        for k in np.flatnonzero((ids == -1).any(axis=1)).tolist():
-            places = np.flatnonzero(alive[k]).tolist()
-            out[k] = self._finish(segments[k], ids[k, places].tolist(), places)
-        return out
-
-    def encode_segments(self, segments: list[str], seed: int | np.ndarray, dropout: float) -> dict[str, bytes]:
-        """Each of different segments' ids."""
-        return dict(zip(segments, self.encode_each(segments, seed, dropout), strict=True))
-
-    def encode_each(self, segments: list[str], seed: int | np.ndarray, dropout: float) -> list[bytes]:
-        """The ids of each of the segments, which may be equal, by its own seed or one for all."""
-        seeds = np.broadcast_to(np.asarray(seed, dtype=np.uint64), len(segments))
-        out = [b""] * len(segments)
-        groups: tuple[list[int], list[int]] = ([], [])
-        for k, s in enumerate(segments):
-            if len(s) > ARRAYS:
-                out[k] = self.one(s, int(seeds[k]), dropout)
-            else:
-                groups[len(s) > 12].append(k)
-        for group in groups:
-            for start in range(0, len(group), 20_000):
-                some = group[start : start + 20_000]
-                for k, coded in zip(some, self.many([segments[k] for k in some], seeds[some], dropout), strict=True):
-                    out[k] = coded
-        return out
+            offer(np.append(rows, rows[ok]), np.append(p, back[ok]))
+        grid = ids.reshape(size + 1, n)[:size].T
+        alive = grid > -2
+        flat, counts = grid[alive], alive.sum(axis=1)
+        unknown = np.flatnonzero(flat == -1)
+        if len(unknown):
+            # a character without a piece becomes its UTF-8 bytes' pieces
+            whose, place = np.nonzero(alive)
+            at = (np.cumsum(lengths) - lengths)[whose[unknown]] + place[unknown]
+            spelled = [[self.byte_ids[b] for b in chr(c).encode()] for c in codes[at].tolist()]
+            times = np.ones(len(flat), dtype=np.int64)
+            times[unknown] = [len(x) for x in spelled]
+            np.add.at(counts, whose[unknown], times[unknown] - 1)
+            flat = np.repeat(flat, times)
+            flat[flat == -1] = [b for x in spelled for b in x]
+        return flat, counts
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """Texts' bytes from all their ids and the ends of each text's."""
@@ -197,14 +199,27 @@ class Pieces:
         return [flat[a + 1 : b] if b > a else b"" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def pick(values: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``n`` values from ``begin``, one after the other."""
+    return values[np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)]
+
+
 class Remembered:
     """Short segments' ids without a skip, and the candidate merges that lead to them: where none of
     those is skipped, these are the ids."""
 
     def __init__(self, bpe: Pieces):
-        self.bpe, self.at, self.ids = bpe, {}, []
-        self.hash, self.count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.tested = [np.zeros(0, dtype=np.int32) for _ in range(3)]
+        self.bpe, self.at = bpe, {"": 0}
+        self.hash, self.lengths, self.count = np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.codes = np.zeros(0, dtype=np.uint32)
+        #: A literal mark, as its bytes; the segment "" stands for it.
+        self.ids = np.array([bpe.byte_ids[b] for b in BLANK.encode()], dtype=np.int32)
+        self.n_ids = np.array([len(self.ids)])
+        self.tested = [np.zeros(0, dtype=t) for t in (np.uint8, np.int32, np.int32)]
+        self._place()
+
+    def _place(self) -> None:
+        self.of_codes, self.of_ids, self.of_tested = (np.cumsum(n) - n for n in (self.lengths, self.n_ids, self.count))
 
     def learn(self, segments: list[str]) -> None:
         """Adds segments that are not there yet."""
@@ -212,30 +227,58 @@ class Remembered:
         for start in range(0, len(segments), 20_000):
             some, tested = segments[start : start + 20_000], []
             self.at.update(zip(some, range(len(self.at), len(self.at) + len(some)), strict=True))
-            self.ids += self.bpe.many(some, 0, 0.0, tested)
+            codes, lengths = _codes(some)
+            ids, n = self.bpe.many(codes, lengths, np.zeros(len(some), dtype=np.uint64), 0.0, tested)
             rows, *found = (np.concatenate(x) for x in zip(*tested, strict=True))
-            order = np.argsort(rows, kind="stable")
-            self.tested = [np.append(old, new[order].astype(np.int32)) for old, new in zip(self.tested, found, strict=True)]
-            self.hash = np.append(self.hash, np.array([xxhash.xxh3_64_intdigest(s) for s in some], dtype=np.uint64))
-            self.count = np.append(self.count, np.bincount(rows, minlength=len(some)))
-
-    def encode(self, segments: list[str], seeds: np.ndarray, dropout: float) -> list[bytes]:
-        """What :meth:`Pieces.encode_each` gives; merged anew are only segments with a skip."""
-        self.learn(list({s for s in segments if s not in self.at and len(s) <= ARRAYS}))
-        which = np.array([self.at.get(s, -1) for s in segments], dtype=np.int64)
-        known = np.flatnonzero(which >= 0)
-        n = self.count[which[known]]
-        whose = np.repeat(known, n)
-        begin = (np.cumsum(self.count) - self.count)[which[known]]
-        place = np.arange(len(whose)) + np.repeat(begin - (np.cumsum(n) - n), n)
-        start, left, right = (x[place].astype(np.int64) for x in self.tested)
-        anew = which < 0
-        anew[whose[skipped(seeds[whose] ^ self.hash[which[whose]], start, left, right, dropout)]] = True
-        out = [b"" if again else self.ids[k] for again, k in zip(anew.tolist(), which.tolist(), strict=True)]
-        again = np.flatnonzero(anew).tolist()
-        for k, coded in zip(again, self.bpe.encode_each([segments[k] for k in again], seeds[again], dropout), strict=True):
-            out[k] = coded
-        return out
+            by = np.argsort(rows, kind="stable")
+            self.tested = [np.append(old, new[by].astype(old.dtype)) for old, new in zip(self.tested, found, strict=True)]
+            hashes = np.array([xxhash.xxh3_64_intdigest(s) for s in some], dtype=np.uint64)
+            news = (hashes, lengths, np.bincount(rows, minlength=len(some)), codes, ids, n)
+            self.hash, self.lengths, self.count, self.codes, self.ids, self.n_ids = (np.append(old, new) for old, new in zip((self.hash, self.lengths, self.count, self.codes, self.ids, self.n_ids), news, strict=True))
+        if segments:
+            self._place()
+
+    def encode(self, segments: list[str], seeds: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, the number of each segment's) by each segment's own seed. Merged anew are only
+        segments with a skip; what :meth:`Pieces.one` gives is the same."""
+        at = self.at
+        try:
+            which = np.array([at[s] for s in segments], dtype=np.int64)
+        except KeyError:
+            self.learn(list({s for s in segments if s not in at and len(s) <= ARRAYS}))
+            which = np.array([at.get(s, -1) for s in segments], dtype=np.int64)
+        known, long = np.flatnonzero(which >= 0), np.flatnonzero(which < 0)
+        keys = seeds.astype(np.uint64)
+        keys[known] ^= self.hash[which[known]]
+        anew = np.zeros(len(segments), bool)
+        if dropout:
+            n = self.count[which[known]]
+            whose = np.repeat(known, n)
+            start, left, right = (pick(x, self.of_tested[which[known]], n) for x in self.tested)
+            anew[whose[skipped(keys[whose], start, left, right, dropout)]] = True
+        n_ids = np.zeros(len(segments), dtype=np.int64)
+        n_ids[known], begin = self.n_ids[which[known]], np.zeros(len(segments), dtype=np.int64)
+        begin[known] = self.of_ids[which[known]]
+        found, end = [self.ids], len(self.ids)
+        again = np.flatnonzero(anew)
+        again = again[np.argsort(self.lengths[which[again]], kind="stable")]
+        for start in range(0, len(again), 20_000):
+            some = again[start : start + 20_000]
+            lengths = self.lengths[which[some]]
+            ids, n = self.bpe.many(pick(self.codes, self.of_codes[which[some]], lengths), lengths, keys[some], dropout)
+            found.append(ids)
+            n_ids[some], begin[some] = n, end + np.cumsum(n) - n
+            end += len(ids)
+        for k in long.tolist():
+            found.append(np.frombuffer(self.bpe.one(segments[k], int(seeds[k]), dropout), dtype="<i4"))
+            n_ids[k], begin[k] = len(found[-1]), end
+            end += len(found[-1])
+        return pick(np.concatenate(found), begin, n_ids), n_ids
+
+
+def _codes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of all segments, the number of each one's)."""
+    return np.frombuffer("".join(segments).encode("utf-32-le"), dtype="<u4"), np.array([len(s) for s in segments], dtype=np.int64)
 
 
 def occurrence_seeds(doc_seeds: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -282,7 +325,6 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = pieces(model)
-        mark = np.array([bpe.byte_ids[b] for b in BLANK.encode()], dtype="<i4").tobytes()
         known = Remembered(bpe)
         for batch in batches:
             for part in slices(batch, sizes(batch.column(text)), 1 << 20):
@@ -291,17 +333,10 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42) ->
                 if len(known.at) > REMEMBERED:
                     known = Remembered(bpe)
                 counts = np.array([len(x) for x in split], dtype=np.int64)
-                flat, seeds = [s for x in split for s in x], occurrence_seeds(doc_seeds, counts)
-                real = [k for k, s in enumerate(flat) if s]
-                each = [mark] * len(flat)
-                for k, coded in zip(real, known.encode([flat[k] for k in real], seeds[real], dropout), strict=True):
-                    each[k] = coded
-                ends = np.cumsum(counts).tolist()
-                whole = [b"".join(each[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-                offsets = np.append(0, np.cumsum([len(c) // 4 for c in whole])).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(whole), dtype="<i4"))
+                ids, n = known.encode([s for x in split for s in x], occurrence_seeds(doc_seeds, counts), dropout)
+                offsets = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts))].astype(np.int32)
                 null = pa.array([t is None for t in texts])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), values, mask=null)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()), mask=null)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)

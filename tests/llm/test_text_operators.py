@@ -259,13 +259,6 @@ def test_pieces_under_dropout_vary_and_decode(spark):
     assert pieces.decode(pieces.encode(empty_documents(spark), SP), SP).count() == 0
 
 
-def test_arrays_and_agenda_agree():
-    bpe = pieces.pieces(SP)
-    words = ["▁" + "".join(random.Random(i).choices("abcdeé日", k=1 + i % 40)) for i in range(300)]
-    many = bpe.encode_segments(words, 7, 0.2)
-    assert all(bpe.one(w, 7, 0.2) == many[w] for w in words)
-
-
 def test_words_vary_within_documents_and_over_the_corpus(spark):
     rows = pieces.encode(documents(spark, ["international"] * 200 + [" ".join(["international"] * 200)]), SP).orderBy("doc_id").collect()
     assert len({tuple(r["ids"]) for r in rows[:200]}) > 4
@@ -275,10 +268,12 @@ def test_words_vary_within_documents_and_over_the_corpus(spark):
     assert len(words) == 200 and len({tuple(w) for w in words}) > 4
 
 
-def test_remembered_segments_are_those_merged_anew():
+@pytest.mark.parametrize("dropout", [0.0, 0.2, 0.7])
+def test_arrays_and_agenda_agree(dropout):
     bpe = pieces.pieces(SP)
-    words = ["▁" + "".join(random.Random(i % 70).choices("abcdeé日", k=1 + i % 70)) for i in range(300)] + ["▁international"] * 300
+    words = ["▁" + "".join(random.Random(i % 70).choices("abcdeé日\U0001f600", k=1 + i % 70)) for i in range(300)] + ["▁international"] * 300
     seeds = pieces.occurrence_seeds(np.array([-7, 9]), np.array([400, 200]))
     known = pieces.Remembered(bpe)
-    known.encode(words[:50], seeds[:50], 0.2)
-    assert known.encode(words, seeds, 0.2) == [bpe.one(w, int(s), 0.2) for w, s in zip(words, seeds, strict=True)]
+    known.encode(words[:50], seeds[:50], dropout)
+    ids, n = known.encode(words, seeds, dropout)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [np.frombuffer(bpe.one(w, int(s), dropout), "<i4").tolist() for w, s in zip(words, seeds, strict=True)]
