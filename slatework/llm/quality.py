@@ -74,8 +74,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelle
 
     The raw model counts the grams of all documents. The target model counts those of documents
     labelled quality 1: of at most ``most_labelled`` of them, those with the smallest hashed ids,
-    so that their ids may be broadcast; it is smoothed by ``prior`` grams of the raw model. Each task sums its counts before the shuffle, and the
-    driver gets one row per bucket. Buckets without grams have ratio 0, and without labelled documents all have."""
+    so that their ids may be broadcast; it is smoothed by ``prior`` grams of the raw model. Each task
+    sums its counts before the shuffle, and the driver gets one row per bucket. Buckets without grams
+    have ratio 0, and without labelled documents all have; so it is with empty tables. Rows that repeat
+    count as often as they stand there; null and empty texts have no grams."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).withColumn("_good", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("_good", F.lit(False)).alias("_good"))
@@ -101,10 +103,15 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelle
     return np.where(raw > 0, np.log(np.where(raw > 0, target / np.where(raw > 0, raw, 1), 1)), 0.0)
 
 
-def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``docs`` with ``log_weight`` (the sum of its grams' log ratios: log target - log raw
-    probability) and ``n_grams``; columns of these names are replaced. Null and empty texts have
-    no grams and weight 0. All other columns pass through. The model is one array of a fixed size."""
+def score(docs: DataFrame, ratio: np.ndarray, most_grams: int = 32) -> DataFrame:
+    """``docs`` with ``log_weight`` and ``n_grams``; columns of these names are replaced, all others
+    pass through.
+
+    The log weight is log target - log raw probability: the mean log ratio of the text's grams times
+    their number, of which ``most_grams`` count at most. A text's grams depend on each other, so that
+    their plain sum would make any long text's weight boundless, and the noise of the sample nothing.
+    Null and empty texts have no grams and weight 0. Equal rows get equal results, an empty table an
+    empty one. The model is one array of a fixed size."""
     docs = docs.drop("log_weight", "n_grams")
     text = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(ratio)
@@ -115,18 +122,19 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in slices(batch, sizes(batch.column(text)), PART):
                 found, owner = grams.of(part.column(text).to_pylist())
-                weight = np.bincount(owner, ratio[found], minlength=part.num_rows)
                 n = np.bincount(owner, minlength=part.num_rows)
+                weight = np.bincount(owner, ratio[found], minlength=part.num_rows) * np.minimum(most_grams / np.maximum(n, 1), 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, "log_weight", "n_grams"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("n_grams", T.LongType())])
     return docs.mapInArrow(run, schema)
 
 
-def perturb(scored: DataFrame, temperature: float, seed: int = 42) -> DataFrame:
+def perturb(scored: DataFrame, temperature: float = 1.0, seed: int = 42) -> DataFrame:
     """Adds ``gumbel_key``: the log weight plus Gumbel noise of the given temperature, from a hash
-    of the doc_id and the seed, so that a rerun draws the same noise. A null doc_id has its own."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(2**53))
+    of the doc_id, the text and the seed, so that a rerun draws the same noise; equal rows have the
+    same. A column of this name is replaced, all others pass through; an empty table stays empty."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11) + F.lit(0.5)) / F.lit(float(2**53))
     return scored.withColumn("gumbel_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u)))
 
 
@@ -148,9 +156,14 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024) -> float |
     return low
 
 
-def threshold(keyed: DataFrame, least_weight: float) -> float:
-    """The smallest key that Gumbel top-k keeps, k being the number of documents whose log weight
-    is at least ``least_weight``. Ties with that key are kept too. Infinity if k is 0."""
-    k = keyed.filter(F.col("log_weight") >= least_weight).count()
+def accepted(scored: DataFrame, sure: float = -6.0) -> int:
+    """How many documents rejection sampling by the weights is expected to keep, if those with a log
+    weight of ``sure`` or more are always kept, and others in proportion to their weights."""
+    return round(scored.agg(F.coalesce(F.sum(F.exp(F.least(F.col("log_weight") - sure, F.lit(0.0)))), F.lit(0.0))).first()[0])
+
+
+def threshold(keyed: DataFrame, k: int) -> float:
+    """The smallest ``gumbel_key`` that top-k keeps; ties with it are kept too. Minus infinity if
+    there are fewer than k documents, infinity if k is 0."""
     found = kth_largest(keyed, "gumbel_key", k)
-    return float("inf") if found is None else found
+    return found if found is not None else float("inf") if k < 1 else float("-inf")

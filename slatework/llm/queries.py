@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +75,7 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(docs: DataFrame) -> langid.Model:
-    """Learned from the documents that are not held out, at most about 400 of each language."""
+    """Learned from the documents that are not held out, at most 400 of each language."""
     return langid.train(langid.sample(docs.filter(~held_out()), per_lang=400))
 
 
@@ -87,7 +86,7 @@ def held_out() -> Column:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's language by the words' posteriors."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return langid.predict(docs, language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "known")
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,26 +114,20 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-#: Production parameters of the quality operator: documents with a log weight of at least LEAST_WEIGHT
-#: set how many are kept; the noise moves only those next to the cut.
-LEAST_WEIGHT, TEMPERATURE = -6.0, 0.1
+#: Production parameter of the quality operator: the share of the documents that the sample takes.
+SHARE = 0.5
 
 
-def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's importance weight and whether Gumbel top-k keeps it."""
+def op10_quality(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
+    """Every document's importance weight and whether it is in the sample of half of the documents
+    that Gumbel top-k draws by these weights."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ratio = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    keyed, least = weights(docs, ratio)
+    keyed = materialize(quality.perturb(quality.score(docs, ratio), seed=seed).drop("text"), "weights")
+    least = quality.threshold(keyed, round(keyed.count() * SHARE))
     return keyed.withColumn("kept", F.col("gumbel_key") >= least)
 
 
-def weights(docs: DataFrame, ratio: np.ndarray) -> tuple[DataFrame, float]:
-    """(doc_id, log_weight, n_grams, gumbel_key) of all documents, and the smallest key kept."""
-    keyed = quality.perturb(quality.score(docs.select("doc_id", "text"), ratio).drop("text"), TEMPERATURE)
-    keyed = materialize(keyed, "weights")
-    return keyed, quality.threshold(keyed, LEAST_WEIGHT)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_minhash, op2_token_counts, op3_packing, op4_media, op5_substrings, op6_embeddings, op7_language_id, op8_pieces, op9_warc, op10_quality]
     return {f.__name__: f for f in found}

@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 0) -> DataF
     Null and empty texts stay. A null doc_id is after all others. Documents that are equal in doc_id
     and text are one document: equal rows get equal results. An empty table gives an empty table."""
     docs = docs.drop("n_sentences", "n_removed", "removed_spans")
-    own, key = unused(docs, "own_id", "text_key")
+    own, key, mine, told_by, go_by = unused(docs, "own_id", "text_key", "_id", "_text", "_go")
     # half a hash, which shuffles less, tells texts of one doc_id apart; those without an id are many
     told = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.shiftrightunsigned(F.xxhash64("text"), 32))
     keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: told})
@@ -210,7 +210,8 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 0) -> DataF
     again = here.join(repeated, ["span", "check"]).filter(~(place == F.col("first"))).select("_id", "_text", "at", "length")
     known = again.union(found.filter("span is null").select("_id", "_text", "at", "length"))
     starts = known.groupBy("_id", "_text").agg(F.max(F.when(F.col("length") == 0, F.col("at"))).cast("long").alias("n_sentences"), F.collect_set(F.when(F.col("length") > 0, F.struct("at", "length"))).alias("_go"))
-    joined = keyed.join(starts, (keyed[own] == starts["_id"]) & (keyed[key] == starts["_text"]), "left").select(*[keyed[c] for c in docs.columns], starts["n_sentences"], starts["_go"])
+    starts = starts.withColumnsRenamed({"_id": mine, "_text": told_by, "_go": go_by})
+    joined = keyed.join(starts, (F.col(own) == F.col(mine)) & (F.col(key) == F.col(told_by)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "n_sentences", go_by)
     text = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.IntegerType()))])
 

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -20,16 +22,58 @@ def mixed(seed, n):
     return [(" ".join(r.choices(PROSE[k].split(), k=r.randrange(3, 40))), k) for k in itertools.islice(itertools.cycle(PROSE), n)]
 
 
+def plain_grams(text):
+    """Words, word pairs and pairs of shapes."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+
+    def shape(t):
+        if not (t[0].isalnum() or t[0] == "_"):
+            return t
+        return "digits" if t.isdigit() else "upper" if t.isupper() and len(t) > 1 else "title" if t[0].isupper() else "lower"
+
+    pairs = list(itertools.pairwise(tokens))
+    return [("w", t.lower()) for t in tokens] + [("p", "same") if a == b else ("p", a.lower(), b.lower()) for a, b in pairs] + [("s", shape(a), shape(b)) for a, b in pairs]
+
+
 def test_importance_weights_are_log_ratios_and_reject_the_odd(spark):
     good, bad = [t for t, _ in mixed(1, 80)], [" ".join(f"{w.upper()}!!" for w in t.split()) for t, _ in mixed(2, 20)]
     docs = documents(spark, good + bad)
-    ratio = quality.fit(docs, labels(spark, [(i, int(i < 80), 0) for i in range(100)]))
+    ratio = quality.fit(docs, labels(spark, [(i, int(i < 80), 0) for i in range(100)]), buckets=1 << 22)
     rows = quality.score(docs, ratio).orderBy("doc_id").collect()
-    found, owner = quality.Grams(len(ratio)).of([r["text"] for r in rows])
-    assert [r["log_weight"] for r in rows] == pytest.approx(np.bincount(owner, ratio[found]).tolist())
-    keyed = quality.perturb(quality.score(docs, ratio), 0.1)
-    kept = {r["doc_id"] for r in keyed.filter(F.col("gumbel_key") >= quality.threshold(keyed, 0.0)).collect()}
-    assert kept == set(range(80))
+    grams = [plain_grams(t) for t in good + bad]
+    raw, target = Counter(g for x in grams for g in x), Counter(g for x in grams[:80] for g in x)
+    n_raw, n_target = raw.total(), target.total()
+
+    def weight(x):
+        logs = [math.log((target[g] + 100 * raw[g] / n_raw) / (n_target + 100) / (raw[g] / n_raw)) for g in x]
+        return sum(logs) / len(logs) * min(len(logs), 32)
+
+    assert [r["n_grams"] for r in rows] == [len(x) for x in grams]
+    assert [r["log_weight"] for r in rows] == pytest.approx([weight(x) for x in grams], abs=1e-3)
+    keyed = quality.perturb(quality.score(docs, ratio))
+    k = quality.accepted(keyed)
+    assert k == round(sum(min(1, math.exp(r["log_weight"] + 6)) for r in rows))
+    kept = {r["doc_id"] for r in keyed.filter(F.col("gumbel_key") >= quality.threshold(keyed, k)).collect()}
+    assert len(kept) == k and len(kept - set(range(80))) <= 2
+
+
+def test_the_sample_follows_the_seed_and_the_odds(spark, tmp_path):
+    from slatework.llm.queries import op10_quality
+
+    texts = [f"{a} {b}" for (a, _), (b, _) in zip(mixed(1, 900), mixed(9, 900), strict=True)]
+    texts[:300] = [t.replace(" ", " ### ") for t in texts[:300]]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    labels(spark, [(i, int(i % 3 > 0 or i > 400), 0) for i in range(900)]).write.parquet(str(tmp_path / "labels.parquet"))
+    draws = [{r["doc_id"]: r for r in op10_quality(spark, str(tmp_path), seed).collect()} for seed in (1, 2)]
+    kept = [{i for i, r in d.items() if r["kept"]} for d in draws]
+    assert [len(k) for k in kept] == [450, 450] and len(kept[0] & kept[1]) < 440
+    for d in draws:
+        # the chance to be in, given the sample's bar: that of Gumbel noise above the bar less the weight
+        bar = min(r["gumbel_key"] for r in d.values() if r["kept"])
+        by = sorted(d.values(), key=lambda r: r["log_weight"])
+        for part in (by[:300], by[300:600], by[600:]):
+            wanted = sum(1 - math.exp(-math.exp(r["log_weight"] - bar)) for r in part)
+            assert abs(sum(r["kept"] for r in part) - wanted) < 4 * math.sqrt(len(part) / 4)
 
 
 def test_kth_largest_is_exact(spark):
@@ -42,7 +86,7 @@ def test_kth_largest_is_exact(spark):
 
 
 def test_gumbel_noise_samples_in_proportion(spark):
-    df = spark.range(20_000).selectExpr("id as doc_id", "if(id % 2 = 0, ln(3D), 0D) as log_weight")
+    df = spark.range(20_000).selectExpr("id as doc_id", "'' as text", "if(id % 2 = 0, ln(3D), 0D) as log_weight")
     keyed = quality.perturb(df, 1.0)
     least = quality.kth_largest(keyed, "gumbel_key", 200)
     odds = keyed.filter(F.col("gumbel_key") >= least).agg(F.avg((F.col("doc_id") % 2 == 0).cast("int"))).first()[0]
@@ -69,7 +113,7 @@ def chain(emit, moves, first):
     return out / out.sum(axis=1, keepdims=True)
 
 
-def test_forward_backward_is_exact_across_texts_and_blocks():
+def test_forward_backward_is_exact_across_texts():
     rng = np.random.default_rng(1)
     moves, first = rng.normal(size=(3, 3)), rng.normal(size=3)
     sizes = [4, 1, 6, 2, 5]
@@ -77,8 +121,7 @@ def test_forward_backward_is_exact_across_texts_and_blocks():
     starts = np.zeros(len(emit), bool)
     starts[np.cumsum([0, *sizes[:-1]])] = True
     wanted = np.concatenate([chain(e, moves, first) for e in np.split(emit, np.cumsum(sizes)[:-1])])
-    for block in (2, 3, 256):
-        assert np.allclose(langid.forward_backward(emit, starts, moves, first, block)[0], wanted)
+    assert np.allclose(langid.forward_backward(emit, starts, moves, first)[0], wanted)
 
 
 @pytest.fixture(scope="module")
@@ -100,10 +143,28 @@ def test_held_out_accuracy(spark, model):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_words_are_read_whole():
+    long = "".join(random.Random(1).choices("abcdefgh", k=60))
+    base = langid.features(long, {})
+    assert len(base) == 6 + 60 + 2
+    for k in range(60):
+        assert langid.features(long[:k] + "z" + long[k + 1 :], {}) != base
+
+
+def test_samples_are_bounded_whatever_the_ids(spark):
+    same = documents(spark, [f"text {i}" for i in range(1000)], ["en"] * 900 + ["de"] * 100, ids=[None] * 500 + [7] * 500)
+    got = langid.sample(same, 50)
+    assert Counter(lang for _, lang in got) == {"en": 50, "de": 50} and len(set(got)) == 100
+    again = langid.sample(same.union(same).repartition(3), 50)
+    assert again == got
+    assert sum(len(t) for t, _ in langid.sample(same, 50, most_bytes=100)) <= 200
+    assert langid.sample(documents(spark, ["same"] * 100, ids=[1] * 100), 50) == [("same", "en")]
+
+
 def test_languages_of_odd_rows(spark, model):
     rows = langid.predict(clashing(odd_documents(spark)), model, spans=True).collect()
     assert len(rows) == 9
-    assert {(r["lang_pred"], r["score"]) for r in rows if not r["text"] or r["doc_id"] == 6} == {("und", 0.0)}
+    assert {(r["lang_pred"], r["score"], r["n_words"]) for r in rows if not r["text"] or r["doc_id"] == 6} == {("und", 0.0, 0)}
     assert langid.predict(empty_documents(spark), model).count() == 0
     assert langid.train([]).langs == ["und"] and langid.sample(empty_documents(spark), 10) == []
 
@@ -216,20 +277,61 @@ def test_whole_groups_are_never_cut():
     assert out == [[k] * keys.count(k) for k in (1, 2, 3, 4)]
 
 
+NAMES = "ids score kept lang_pred lang_spans n_words known log_weight gumbel_key n_grams n_sentences n_removed removed_spans set_key text_key own_id component_id _id _text at length span check _go sequence_id start payload n_tokens cls".split()
+
+
 def test_pipeline_over_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
     docs = odd_documents(spark).unionByName(documents(spark, [t for t, _ in mixed(7, 40)], [k for _, k in mixed(7, 40)], ids=range(100, 140)))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     labels(spark, [(i, 1, 0) for i in range(100, 140)]).write.parquet(str(tmp_path / "labels.parquet"))
+    made = len(common.MADE)
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in out.collect()} >= set(range(100, 140))
-    before = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert {r["doc_id"] for r in out.collect()} >= set(range(100, 140)) and len(common.MADE) == made + 1
+    more = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in NAMES})
+    before = more
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, before, str(tmp_path))
-        assert after.columns == docs.columns, name
-        before = common.materialize(after, name)
+        after = common.materialize(stage(spark, before, str(tmp_path)), name)
+        assert after.columns == more.columns, name
+        # rows are told by columns that no stage changes
+        keys = [c for c in more.columns if c not in ("text", "n_chars")]
+        assert after.select(keys).exceptAll(before.select(keys)).count() == 0 and after.count() >= 40
+        before = after
+    assert corpus_pipeline.packed(spark, before, "").count() > 0
     (tmp_path / "none").mkdir()
     docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     labels(spark, []).write.parquet(str(tmp_path / "none/labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_the_language_stage_rejects_what_is_of_no_language_or_of_several(spark):
+    import corpus_pipeline
+
+    clean = mixed(11, 150)
+    half = [" ".join((PROSE[a].split() * 3)[:60]) + " " + " ".join((PROSE[b].split() * 3)[:60]) for a, b in itertools.permutations(PROSE, 2)]
+    odd = ["это русский текст для проверки языка и он не похож", "xkqz wvvrt qqpl zzxk jjwq vbnmk hhgfd qwzx plkjh mnbvc", "123 !!", "", None]
+    docs = documents(spark, [t for t, _ in clean] + half + odd, [k for _, k in clean] + [None] * (len(half) + len(odd)))
+    kept = {r["doc_id"] for r in corpus_pipeline.in_a_language(spark, docs, "").collect()}
+    assert len(kept & set(range(150))) >= 148 and not kept - set(range(150))
+    assert corpus_pipeline.in_a_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").count() == docs.count()
+
+
+def test_planted_cases_through_the_pipeline_s_stages(spark, tmp_path):
+    """The stages' rows are those of a plain reading of their rules."""
+    import corpus_pipeline
+
+    r, words = random.Random(12), [w for p in PROSE.values() for w in p.split()]
+    texts = [t + ". " + " ".join(r.choices(words, k=60)) + "." for t, _ in mixed(12, 60)]
+    near = [t + " more" for t in texts[:10]]
+    docs = documents(spark, texts + near + texts[:5])
+    kept = {x["doc_id"] for x in corpus_pipeline.distinct(spark, docs, "").collect()}
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts + near + texts[:5])]
+    groups = list(range(75))
+    for a, b in itertools.combinations(range(75), 2):
+        if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+            low, high = sorted((groups[a], groups[b]))
+            groups = [low if g == high else g for g in groups]
+    assert kept == set(groups) and len(kept) == 60
+    packed = corpus_pipeline.packed(spark, docs, "").collect()
+    assert sum(p["length"] for p in packed) == sum({(p["doc_id"]): p["doc_tokens"] for p in packed}.values())
