@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.common import block_grid, by_cell, materialize, unused, whole_groups
+from slatework.llm.common import by_cell, materialize, rekeyed, unused, whole_groups
 from slatework.llm.components import components
 
 #: Lower-cases A-Z only.
@@ -21,6 +21,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LISTED = 8
 #: Values of the sketches that estimates use, as 32-bit prefixes.
 SKETCH = 48
+#: Standard errors by which an estimate may be too low: of pairs just at the threshold, one in 10**8 or so is lost.
+SLACK = 6.5
 #: Fills up shorter sketches.
 FILL = np.uint32(0xFFFFFFFF)
 REMEMBERED = 500_000
@@ -173,15 +175,40 @@ def _candidate_roots(rows: pa.Table, ratio: Fraction, slack: float) -> np.ndarra
     return root
 
 
+def banded_grid(df: DataFrame, key: str, member: str, size: str, weight: str, limit: int, ratio: Fraction) -> DataFrame:
+    """Lay the sets of each ``key`` out in cells so that all pairs whose sizes allow ``ratio`` meet in
+    some cell, and no cell has much more than twice ``limit`` total ``weight``.
+
+    Adds ``band``, ``cell_i <= cell_j`` and ``chunk`` (the row's own chunk, one of the two). A key within
+    the limit is the single cell (0, 0, 0). The sets of another are told by bands of sizes, so wide that
+    sets that can be linked are in the same or in neighbouring bands; every two neighbours are a group,
+    and a group over the limit is cut into chunks, of which each pair is a cell. Bands are weighed by a
+    partial aggregate; only those of large keys enter the join, whose skewed side Spark splits."""
+    # a little narrower steps than the ratio, so that rounding never puts linked sets two bands apart
+    band = F.floor(F.log(F.col(size)) / float(np.log(float(1 / ratio)) * 1.0001)).cast("int")
+    df = df.withColumn("_band", band)
+    sums = df.groupBy(key, "_band").agg(F.sum(F.col(weight).cast("long")).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    large = sums.groupBy(key).agg(F.sum("_w").alias("_all"), F.sum("_n").alias("_k")).filter((F.col("_all") > limit) & (F.col("_k") > 1))
+    sums = sums.join(rekeyed(large.drop("_all"), "_k", key), key).withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") + 1)))
+    groups = sums.groupBy(key, "band").agg(F.sum("_w").alias("_g"), F.count(F.lit(1)).alias("_k"))
+    groups = rekeyed(groups, "_k", key, "band").select(key, "band", F.greatest(F.ceil(F.col("_g") / limit), F.lit(1)).cast("int").alias("_g"))
+    plan = sums.join(groups, [key, "band"]).groupBy(key, "_band").agg(F.collect_list(F.struct("band", "_g")).alias("_to"), F.count(F.lit(1)).alias("_k"))
+    out = df.join(rekeyed(plan, "_k", key, "_band"), [key, "_band"], "left")
+    out = out.withColumn("_to", F.explode(F.coalesce("_to", F.array(F.struct(F.lit(0).alias("band"), F.lit(1).alias("_g"))))))
+    out = out.select("*", F.col("_to.band").alias("band"), F.col("_to._g").alias("_g")).withColumn("chunk", F.pmod(F.xxhash64(member), F.col("_g")).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    return out.withColumns({"cell_i": F.least("chunk", "_o"), "cell_j": F.greatest("chunk", "_o")}).drop("_g", "_o", "_to", "_band")
+
+
 def candidates(classes: DataFrame, ratio: Fraction, list_rows: int = 1024) -> DataFrame:
     """(a, b): a forest of candidate links between set_keys, from the inverted lists of the
-    listed hashes. A list longer than ``list_rows`` is laid out as a grid of chunk pairs."""
-    slack = 5 * float(np.sqrt(float(ratio) * (1 - float(ratio)) / SKETCH))
+    listed hashes. A list longer than ``list_rows`` is laid out by :func:`banded_grid`."""
+    slack = SLACK * float(np.sqrt(float(ratio) * (1 - float(ratio)) / SKETCH))
     lists = classes.select("set_key", "n_shingles", "sketch", F.explode("listed").alias("value"), F.lit(1).alias("one"))
-    cells = by_cell(block_grid(lists, ["value"], "set_key", "one", list_rows), ["value"])
+    cells = by_cell(banded_grid(lists, "value", "set_key", "n_shingles", "one", list_rows, ratio), ["value", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["value", "cell_i", "cell_j"]):
+        for table, bounds in whole_groups(batches, ["value", "band", "cell_i", "cell_j"]):
             sizes, keys = np.diff(bounds), table["set_key"].combine_chunks()
             left, right = [], []
             for g in np.flatnonzero(sizes > 1).tolist():
@@ -192,7 +219,7 @@ def candidates(classes: DataFrame, ratio: Fraction, list_rows: int = 1024) -> Da
                 ends = [keys.take(pa.array(np.concatenate(x))) for x in (left, right)]
                 yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    cols = cells.select("value", "cell_i", "cell_j", "chunk", "set_key", "n_shingles", "sketch")
+    cols = cells.select("value", "band", "cell_i", "cell_j", "chunk", "set_key", "n_shingles", "sketch")
     return cols.mapInArrow(run, "a binary, b binary")
 
 
@@ -213,25 +240,38 @@ def _exact_roots(rows: pa.Table, ratio: Fraction) -> np.ndarray:
     return root
 
 
+def keyed(docs: DataFrame, own: str = "own_id", key: str = "text_key") -> DataFrame:
+    """Adds what tells rows apart: the doc_id (the largest number for null) and a hash of the text."""
+    return docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: F.xxhash64("text")})
+
+
 def verified(docs: DataFrame, clusters: DataFrame, width: int, ratio: Fraction, cell_weight: int = 1_500_000) -> DataFrame:
-    """(a, b): a forest of exact links. ``clusters`` has (doc_id, set_key, cluster) of one
+    """(a, b): a forest of exact links. ``clusters`` has (own_id, text_key, set_key, cluster) of one
     document of each set. Full sets are made again from whole texts, of these documents only; a
-    cluster of more than ``cell_weight`` values (each set counts 1,000 more) is a grid of chunk pairs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(clusters, "doc_id")
+    cluster of more than ``cell_weight`` values (each set counts 1,000 more) is laid out by
+    :func:`banded_grid`."""
+    texts = keyed(docs.select("doc_id", "text")).join(clusters, ["own_id", "text_key"])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
+        shingler, done = Shingler(width), set()
         for batch in batches:
-            sets = [shingler.of(t.as_py()).astype("<u8").tobytes() for t in batch.column(1)]
-            keep = [xxhash.xxh3_128_digest(s) == k.as_py() for s, k in zip(sets, batch.column(2), strict=True)]
-            rows = pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(sets, pa.binary()), pa.array([1000 + len(s) // 8 for s in sets], pa.int64())], ["set_key", "cluster", "full", "weight"])
-            yield rows.filter(pa.array(keep))
-
-    sets = materialize(texts.select("doc_id", "text", "set_key", "cluster").mapInArrow(full, "set_key binary, cluster binary, full binary, weight long"), "sets")
-    cells = by_cell(block_grid(sets, ["cluster"], "set_key", "weight", cell_weight), ["cluster"])
+            found = []
+            for text, key, cluster in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key in done:  # a row that repeats
+                    continue
+                s = shingler.of(text).astype("<u8").tobytes()
+                if xxhash.xxh3_128_digest(s) == key:
+                    done.add(key)
+                    found.append((key, cluster, s, len(s) // 8, 1000 + len(s) // 8))
+            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+            columns = zip(*found, strict=True) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["set_key", "cluster", "full", "size", "weight"])
+
+    sets = materialize(texts.select("text", "set_key", "cluster").mapInArrow(full, "set_key binary, cluster binary, full binary, size long, weight long"), "sets")
+    cells = by_cell(banded_grid(sets, "cluster", "set_key", "size", "weight", cell_weight, ratio), ["cluster", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, ["cluster", "cell_i", "cell_j"]):
+        for table, bounds in whole_groups(batches, ["cluster", "band", "cell_i", "cell_j"]):
             keys = table["set_key"].combine_chunks()
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if e - s > 1:
@@ -239,7 +279,7 @@ def verified(docs: DataFrame, clusters: DataFrame, width: int, ratio: Fraction,
                     moved = np.flatnonzero(root != np.arange(len(root)))
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(moved + s)), keys.take(pa.array(root[moved] + s))], ["a", "b"])
 
-    return cells.select("cluster", "cell_i", "cell_j", "chunk", "set_key", "full").mapInArrow(run, "a binary, b binary")
+    return cells.select("cluster", "band", "cell_i", "cell_j", "chunk", "set_key", "full").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -254,27 +294,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Method: equal sets are one class. Each class's bottom-k sketch comes from one hash function;
     inverted lists of its smallest values bring classes together, overlaps and union-sketch
     estimates filter them, and clusters of what is left are compared by exact Jaccard on full
-    sets (of 64-bit shingle hashes). Long lists and large clusters are cut into pairs of chunks;
-    tasks return forests of links, never all pairs.
+    sets (of 64-bit shingle hashes). Long lists and large clusters are cut by bands of sizes and then
+    into pairs of chunks; tasks return forests of links, never all pairs.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id
-    are compared each by its own text. A row with a null doc_id is linked by an equal set alone;
-    it takes its component's smallest id, and is kept only if there is none. An empty table gives an empty table; other
-    columns are ignored."""
+    are compared each by its own text. A row with a null doc_id takes part as all others; it is
+    never the smallest and takes its component's smallest id; if there is none, the rows with one of
+    its texts are kept. An empty table gives an empty table; other columns are ignored."""
     ratio = Fraction(percent, 100)
     rows = materialize(sketches(docs, width), "sketches")
-    classes = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("listed").alias("listed"))
+    place = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("own_id"), "text_key")).alias("place")
+    classes = rows.filter("set_key is not null").groupBy("set_key").agg(place, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("listed").alias("listed"))
     classes = materialize(classes, "classes")
-    near = components(candidates(classes.filter("doc_id is not null"), ratio), "a", "b").withColumnsRenamed({"node": "set_key", "root": "cluster"})
-    clusters = classes.select("set_key", "doc_id").join(near, "set_key")
+    near = components(candidates(classes, ratio), "a", "b").withColumnsRenamed({"node": "set_key", "root": "cluster"})
+    clusters = classes.select("set_key", "place.own_id", "place.text_key").join(near, "set_key")
     links = components(verified(docs, clusters, width, ratio), "a", "b").withColumnsRenamed({"node": "set_key", "root": "component"})
-    named = classes.select("set_key", "doc_id").join(links, "set_key")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = named.join(least, "component").select("set_key", "least")
-    own = classes.select("set_key", F.col("doc_id").alias("first_id")).join(named, "set_key", "left").select("set_key", F.coalesce("least", "first_id").alias("component_id"))
+    named = classes.select("set_key", "place").join(links, "set_key")
+    least = named.groupBy("component").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = named.join(rekeyed(least, "n", "component"), "component").select("set_key", "least")
+    own = classes.select("set_key", "place").join(named, "set_key", "left").select("set_key", F.coalesce("least", "place").alias("least"))
     out = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(own, "set_key", "left")
-    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_key")
+    reached = F.when(F.col("least.own_id") < 2**63 - 1, F.col("least.own_id"))
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(reached)
+    nameless = F.col("set_key").isNull() | reached.isNull() & (F.col("text_key") == F.col("least.text_key"))
+    kept = F.when(F.col("doc_id").isNull(), nameless).otherwise(component.eqNullSafe(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_key")
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:

@@ -23,7 +23,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's group of near copies by three-word shingles and Jaccard 0.85."""
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key")
+
+
+#: From links to components, by repeated minima over the links.
+_COMPONENTS = """
+walk(id, reached) AS (SELECT id, id FROM nodes UNION SELECT walk.id, links.b FROM walk JOIN links ON walk.reached = links.a),
+component AS (SELECT id, min(reached) AS component_id FROM walk GROUP BY id)
+"""
+
+OP1_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 2) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM shingles p JOIN shingles q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * common.n >= 85 * (p.n + q.n - common.n)),
+nodes AS (SELECT doc_id AS id FROM documents),{_COMPONENTS}
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN component c ON c.id = d.doc_id
+"""
 
 
 def made_edits() -> Column:
@@ -74,6 +92,15 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+OP6_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.95),
+nodes AS (SELECT vec_id AS id FROM v),{_COMPONENTS}
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, c.component_id, c.component_id = v.vec_id AS kept
+FROM v JOIN component c ON c.id = v.vec_id
+"""
+
+
 def language_model(docs: DataFrame) -> langid.Model:
     """Learned from the documents that are not held out, at most 400 of each language."""
     return langid.train(langid.sample(docs.filter(~held_out()), per_lang=400))
@@ -134,4 +161,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {"op1_minhash": OP1_SQL, "op6_embeddings": OP6_SQL, "op9_warc": OP9_SQL}

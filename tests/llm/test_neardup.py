@@ -59,8 +59,9 @@ def test_long_lists_and_large_clusters_are_cut_in_cells(spark, monkeypatch):
     r = random.Random(3)
     base = r.choices([f"w{i}" for i in range(500)], k=80)
     texts = [" ".join(w if r.random() > 0.015 else "x" for w in base) for _ in range(60)]
-    small = neardup.block_grid
-    monkeypatch.setattr(neardup, "block_grid", lambda df, keys, member, weight, limit: small(df, keys, member, weight, 10 if weight == "one" else 12_000))
+    texts += [" ".join(base[: r.randrange(5, 80)] + [f"y{i}"] * (i % 3)) for i in range(60)]
+    small = neardup.banded_grid
+    monkeypatch.setattr(neardup, "banded_grid", lambda df, key, member, size, weight, limit, ratio: small(df, key, member, size, weight, 10 if weight == "one" else 12_000, ratio))
     found = neardup.near_duplicates(documents(spark, texts), width=3, percent=85)
     assert sorted(tuple(r)[:4] for r in found.collect()) == brute_force(list(enumerate(texts)), 3, 85)
 
@@ -80,3 +81,31 @@ def test_equal_rows_leave_one(spark):
     kept = neardup.first_of_each(docs, neardup.near_duplicates(docs))
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "4", "5", "6", "None"] or kept.count() == 8
+
+
+def test_rows_without_an_id_take_part(spark):
+    base = [f"w{i}" for i in range(300)]
+    near = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in (50, 150, 250)]
+    far = " ".join(reversed(base))
+    rows = [(1, near[0]), (None, near[1]), (None, near[2]), (None, far), (None, far), (None, far + " more"), (2, "else"), (None, None)]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    groups = neardup.near_duplicates(docs)
+    got = sorted((tuple(r)[:4] for r in groups.collect()), key=str)
+    linked = [x for x in got if x[1] == 296]
+    assert sorted((x[2], x[3]) for x in linked if x[0] is None and x[2] == 1) == [(1, False), (1, False)]
+    assert sum(x[3] for x in got if x[0] is None and x[1] and x[2] is None) in (1, 2)
+    kept = [r["text"] for r in neardup.first_of_each(docs, groups).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [near[0], "else", None, *({far, far + " more"} & set(kept))])) and len(kept) == 4
+
+
+def test_the_query_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    from slatework.llm.queries import OP1_SQL, op1_minhash
+
+    docs = documents(spark, corpus(5) + ["", None, "  A\tb\u00a0c ", "a B\u00a0c"])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        wanted = db.execute(OP1_SQL).fetchall()
+    assert sorted(tuple(r) for r in op1_minhash(spark, str(tmp_path)).collect()) == sorted(wanted)
