@@ -93,21 +93,31 @@ def from_container(media: bytes) -> tuple[str, int, bytes]:
 
 
 @functools.cache
-def _filters(up: int, taps: int) -> np.ndarray:
-    """Windowed-sinc weights of the taps around each of ``up`` positions between two samples."""
-    at = np.arange(taps)[None, :] - (taps // 2 - 1) - np.arange(up)[:, None] / up
-    w = np.sinc(at) * np.cos(np.pi * at / (taps + 2)) ** 2
+def _filters(up: int, down: int, taps: int) -> np.ndarray:
+    """Windowed-sinc weights around each of ``up`` positions between two samples, of ``taps`` zero
+    crossings; the cut-off is half of the lower of both rates."""
+    cut = min(1.0, up / down)
+    reach = int(np.ceil(taps / 2 / cut))
+    at = np.arange(1 - reach, reach + 1)[None, :] - np.arange(up)[:, None] / up
+    w = np.where(np.abs(at) <= reach, np.sinc(at * cut) * np.cos(np.pi * at / (2 * reach + 2)) ** 2, 0)
     return (w / w.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def resample(pcm: np.ndarray, up: int, down: int = 1, taps: int = 8) -> np.ndarray:
-    """PCM at up/down times the rate, by a polyphase filter."""
-    x = np.pad(pcm.astype(np.float32), (taps // 2 - 1, taps // 2))
-    out = np.empty((len(pcm), up), dtype=np.int16)
-    for phase, weights in enumerate(_filters(up, taps)):
-        total = sum(w * x[k : k + len(pcm)] for k, w in enumerate(weights) if abs(w) > 1e-7)
-        out[:, phase] = np.clip(np.rint(total), -32768, 32767)
-    return out.reshape(-1)[::down]
+    """PCM at up/down times the rate, by a polyphase low-pass filter. Only the samples that stay are
+    computed: those at multiples of ``down`` of the positions, ``up`` for each sample."""
+    weights = _filters(up, down, taps)
+    reach = weights.shape[1] // 2
+    x = np.pad(pcm.astype(np.float32), (reach - 1, reach))
+    out = np.empty(-(-len(pcm) * up // down), dtype=np.int16)
+    turns = up // np.gcd(up, down)  # after so many samples the phases come again
+    for first in range(min(turns, len(out))):
+        start, phase = divmod(first * down, up)
+        count = len(out[first::turns])
+        step = turns * down // up
+        total = sum(w * x[start + k : start + k + (count - 1) * step + 1 : step] for k, w in enumerate(weights[phase].tolist()) if abs(w) > 1e-7)
+        out[first::turns] = np.clip(np.rint(total), -32768, 32767)
+    return out
 
 
 def describe(codec: str, pcm: np.ndarray) -> str:
@@ -176,6 +186,13 @@ def decode_media(media: DataFrame, key: str = "doc_id", rate: int = 16000, slice
     return media.select(key, "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary, payload binary, feature string, pcm binary")
 
 
+def store_pcm(media: DataFrame, path: str, key: str = "doc_id", rate: int = 16000) -> DataFrame:
+    """Write the resampled PCM of what :func:`encode_media` stored as Parquet, (key, rate, pcm), and
+    read it back. The path is on storage that all executors share. Null files have null PCM."""
+    decode_media(media, key, rate).select(key, F.lit(rate).alias("rate"), "pcm").write.parquet(path)
+    return media.sparkSession.read.parquet(path)
+
+
 def digest(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lengths and checksums of what :func:`decode_media` read back."""
     return decoded.select(

@@ -71,8 +71,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checksums and features of every document stored as telephony audio and read back."""
-    stored = media.encode_media(_table(spark, sf_dir, "documents"))
+    """Checksums and features of every document stored as telephony audio: the files are written, and
+    what is read back is decoded and resampled."""
+    stored = materialize(media.encode_media(_table(spark, sf_dir, "documents")), "media")
     return media.digest(media.decode_media(stored))
 
 

@@ -8,15 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slatework.llm.common import block_grid, by_cell, fixed_matrix, forest, materialize, whole_groups
+from slatework.llm.common import block_grid, by_cell, fixed_matrix, forest, materialize, rekeyed, whole_groups
 from slatework.llm.components import components
 
 #: Rotations whose signs are a vector's stored code, and the standard errors that bounds allow.
 CODES, BOUND = 4, 6.0
-CLASS = "cls long, dim int, n long, unit binary, code binary, factor binary"
+CLASS = "cls binary, dim int, n long, unit binary, code binary, factor binary"
 
 
 @functools.cache
@@ -64,6 +64,11 @@ def _matrices(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return fixed_matrix(rows["unit"], "<f8", dim), fixed_matrix(rows["code"], "u1", -(-CODES * dim // 8)), fixed_matrix(rows["factor"], "<f4", CODES)
 
 
+def class_key(v: Column) -> Column:
+    """96 bits that tell vectors apart."""
+    return F.unhex(F.concat(F.lpad(F.hex(F.xxhash64(v)), 16, "0"), F.lpad(F.hex(F.hash(v)), 16, "0").substr(9, 8)))
+
+
 def classes_of(table: DataFrame, vector: str) -> DataFrame:
     """A row per distinct valid vector: cls, dim, n (rows that have it), unit, code, factor."""
     x = F.col(vector)
@@ -84,7 +89,7 @@ def classes_of(table: DataFrame, vector: str) -> DataFrame:
                 blobs = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (unit.astype("<f8"), code, factor)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.full(len(v), dim), pa.int32()), part.column(2), *blobs], ["cls", "dim", "n", "unit", "code", "factor"])
 
-    return distinct.select(F.xxhash64("v").alias("cls"), "v", "n").mapInArrow(run, CLASS)
+    return distinct.select(class_key(F.col("v")).alias("cls"), "v", "n").mapInArrow(run, CLASS)
 
 
 def bands(n: int, least: float, miss: float) -> tuple[int, int]:
@@ -110,10 +115,10 @@ def candidate_keys(classes: DataFrame, width: int, count: int) -> DataFrame:
                     bits = unit @ rotations(dim, -(-count * width // dim), 2)[:, : count * width] > 0
                     keys = (bits.reshape(len(unit), count, width) * place).sum(axis=2, dtype=np.uint64)
                     keys += np.arange(count, dtype=np.uint64) << np.uint64(48)
-                    cls = pa.array(np.repeat(some.column(0).to_numpy(), count))
+                    cls = some.column(0).take(pa.array(np.repeat(np.arange(some.num_rows), count)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), dim), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)), cls], ["dim", "key", "cls"])
 
-    return classes.select("cls", "dim", "unit").mapInArrow(run, "dim int, key long, cls long")
+    return classes.select("cls", "dim", "unit").mapInArrow(run, "dim int, key long, cls binary")
 
 
 def _forests(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -121,7 +126,7 @@ def _forests(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, [*keys, "cell_i", "cell_j"]):
-            cls, sizes = table["cls"].to_numpy(), np.diff(bounds)
+            cls, sizes = table["cls"].combine_chunks(), np.diff(bounds)
             left, right = [], []
             two = bounds[:-1][sizes == 2]
             for dim in np.unique(table["dim"].to_numpy()[two]).tolist():
@@ -130,16 +135,16 @@ def _forests(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
                 vectors, error = estimator(c, f, dim)
                 a, u, v = (x[np.einsum("ij,ij->i", vectors, v) + BOUND * error >= least] for x in (a, u, v))
                 a = a[np.einsum("ij,ij->i", u, v) >= least]
-                left.append(cls[a]), right.append(cls[a + 1])
+                left.append(a), right.append(a + 1)
             for g in np.flatnonzero(sizes > 2).tolist():
                 s = int(bounds[g])
                 root = forest(links_within(*_matrices(table.slice(s, int(sizes[g]))), least))
                 moved = np.flatnonzero(root != np.arange(len(root)))
-                left.append(cls[s + moved]), right.append(cls[s + root[moved]])
+                left.append(s + moved), right.append(s + root[moved])
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (left, right)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([cls.take(pa.array(np.concatenate(x).astype(np.int64))) for x in (left, right)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 def _link_counts(rows: DataFrame, least: float) -> DataFrame:
@@ -148,15 +153,16 @@ def _link_counts(rows: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["component", "cell_i", "cell_j"]):
-            cls, n, chunk = (table[c].to_numpy() for c in ("cls", "n", "chunk"))
+            cls = table["cls"].combine_chunks()
+            n, chunk = (table[c].to_numpy() for c in ("n", "chunk"))
             i, j = table["cell_i"].to_numpy(), table["cell_j"].to_numpy()
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 linked = links_within(*_matrices(table.slice(s, e - s)), least)
                 if i[s] != j[s]:
                     linked &= chunk[s:e, None] != chunk[None, s:e]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[s:e]), pa.array(linked @ n[s:e], pa.int64())], ["cls", "links"])
+                yield pa.RecordBatch.from_arrays([cls.slice(s, e - s), pa.array(linked @ n[s:e], pa.int64())], ["cls", "links"])
 
-    return rows.mapInArrow(run, "cls long, links long")
+    return rows.mapInArrow(run, "cls binary, links long")
 
 
 def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, miss: float = 1e-5, cell_rows: int = 1024) -> DataFrame:
@@ -175,16 +181,20 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     components are cut into pairs of chunks of about ``cell_rows``; tasks return forests and
     counts, never pairs.
 
+    The bands' signs are those of the vectors as they are. Vectors that all lean to one side agree in
+    most of them: then more candidates are estimated, up to all pairs, and no link is lost.
+
     Null, empty and zero vectors and those with null or non-finite components link with nothing;
     vectors of different lengths are not compared. Rows that repeat a key count as rows. A null key
     is never smallest; such a row is kept only if its component has no key. An empty table gives
     an empty table; other columns are ignored."""
     rows = table.select(F.col(key).cast("long").alias(key), F.col(vector).alias("v"))
-    rows = rows.withColumn("cls", F.xxhash64("v"))
+    rows = rows.withColumn("cls", class_key(F.col("v")))
     classes = materialize(classes_of(rows, "v"), "vectors")
     width, count = bands(classes.count(), least, miss)
-    keys = candidate_keys(classes, width, count)
-    shared = keys.groupBy("dim", "key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("dim", "key")
+    keys = materialize(candidate_keys(classes, width, count), "bands")
+    shared = keys.groupBy("dim", "key").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    shared = rekeyed(shared, "_c", "dim", "key")
     met = keys.join(shared, ["dim", "key"]).select("key", "cls").join(classes.drop("n"), "cls").withColumn("one", F.lit(1))
     cells = by_cell(block_grid(met, ["dim", "key"], "cls", "one", cell_rows), ["dim", "key"])
     found = components(_forests(cells.select("dim", "key", "cell_i", "cell_j", "cls", "unit", "code", "factor"), ["dim", "key"], least), "a", "b")
@@ -196,7 +206,7 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     named = classes.select("cls", "n").join(found, "cls", "left").join(links, "cls", "left")
     named = named.select("cls", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component"))
     out = rows.select(key, "cls").join(named, "cls", "left")
-    least_id = out.filter("component is not null").groupBy("component").agg(F.min(key).alias("_least"))
-    out = out.join(least_id, "component", "left")
+    least_id = out.filter("component is not null").groupBy("component").agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("_c"))
+    out = out.join(rekeyed(least_id, "_c", "component"), "component", "left")
     component = F.when(F.col("component").isNull(), F.col(key)).otherwise(F.col("_least"))
     return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col(key)).alias("kept"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import zstandard
@@ -39,14 +43,17 @@ def resolve(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, date: str) -> bytes:
-    """One record's bytes: WARC head, HTTP head and, in a response, the payload."""
+    """One record's bytes: WARC head, HTTP head and, in a response, the payload. A url that no head
+    line can hold as it is, is also given as JSON."""
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body += payload if kind == "response" else b""
+    target = re.sub(r"[\x00-\x20\x7f-\xa0\s<>]", lambda m: quote(m[0], safe=""), url or "") or "urn:none"
     head = {
         "WARC-Type": kind,
         "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url} {digest}')}>",
         "WARC-Date": date,
-        "WARC-Target-URI": "".join((url or "urn:none").split()),
+        "WARC-Target-URI": target,
+        "WARC-Page-URL": None if target == url else json.dumps(url),
         "WARC-Page-ID": page_id,
         "WARC-Payload-Digest": f"sha256:{digest}",
         "WARC-Payload-Length": len(payload),
@@ -137,31 +144,91 @@ def frame_end(data: memoryview, at: int) -> int:
     return here
 
 
+def head_fields(head: bytes) -> tuple[str, dict[str, str]]:
+    """(first line, fields by lower-case name) of a WARC or HTTP head. Blanks after the colon are
+    optional, and a line that begins with one goes on with the field before; of a field that repeats
+    the first counts."""
+    first, *lines = head.decode("utf-8", "replace").split("\r\n")
+    fields, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name is not None:
+            fields[name] += f" {line.strip()}"
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower()
+        if not colon or not name:
+            raise ValueError(f"no field: {line[:80]!r}")
+        fields.setdefault(name, value.strip())
+    return first, fields
+
+
+def digest_fits(digest: str, data: bytes) -> bool:
+    """Whether a digest field, as algorithm:value in hexadecimal or base 32, is that of the data. One of
+    an unknown algorithm says nothing, so it fits."""
+    algorithm, _, value = digest.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return True
+    found = hashlib.new(algorithm, data)
+    return value.strip().lower() in (found.hexdigest(), base64.b32encode(found.digest()).decode().lower(), base64.b32encode(found.digest()).decode().lower().rstrip("="))
+
+
 def parse_record(record: bytes) -> dict:
-    """The fields of a record; ValueError where a head, length or digest is wrong."""
+    """The fields of a WARC record of any version and type; ValueError where the head, a length or a
+    digest is wrong.
+
+    The payload is what follows the HTTP head in a block of type application/http, and the whole block
+    otherwise; in a revisit it is null, and its length and digest are those that the head names, if any.
+    A chunked payload is left as it is, and its digest is not judged. ``page_id`` and ``refers_to`` are
+    null in records that other programs wrote."""
     head, gap, rest = record.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
-    fields = dict(line.split(": ", 1) for line in lines)
-    if not gap or first not in ("WARC/1.0", "WARC/1.1") or "WARC-Record-ID" not in fields:
+    first, fields = head_fields(head)
+    if not gap or not re.fullmatch(r"WARC/\d+\.\d+", first) or not {"warc-type", "warc-record-id", "content-length"} <= fields.keys():
         raise ValueError("not a WARC head")
     body = rest[:-4]
-    if rest[-4:] != b"\r\n\r\n" or len(body) != int(fields["Content-Length"]):
+    if rest[-4:] != b"\r\n\r\n" or not fields["content-length"].isdigit() or len(body) != int(fields["content-length"]):
         raise ValueError("Content-Length is not the block's length")
-    if fields.get("WARC-Block-Digest", x := f"sha256:{hashlib.sha256(body).hexdigest()}") != x:
+    if not digest_fits(fields.get("warc-block-digest", ""), body):
         raise ValueError("the block's digest is wrong")
-    http, _, payload = body.partition(b"\r\n\r\n")
-    size, digest = int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    kind = fields["WARC-Type"]
-    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError("the payload is not the one that its length or digest names")
-    if kind == "revisit" and (payload or fields.get("WARC-Profile") != SAME_PAYLOAD):
-        raise ValueError("a revisit has a payload or no profile")
+    kind, digest = fields["warc-type"].lower(), fields.get("warc-payload-digest", "")
+    size, payload, chunked = fields.get("warc-payload-length"), body, False
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = body.partition(b"\r\n\r\n")
+        chunked = "transfer-encoding" in head_fields(http)[1]
+    if kind == "revisit":
+        if fields.get("warc-profile") == SAME_PAYLOAD and payload and payload is not body:
+            raise ValueError("a revisit of an identical payload has one of its own")
+        sha = re.fullmatch(r"sha-?256:([0-9a-fA-F]{64})", digest)
+        payload_digest = sha[1].lower() if sha else digest or None
+        payload_bytes, payload = int(size) if size else None, None
+    else:
+        if not chunked and (not digest_fits(digest, payload) or size is not None and int(size) != len(payload)):
+            raise ValueError("the payload is not the one that its length or digest names")
+        payload_bytes, payload_digest = len(payload), hashlib.sha256(payload).hexdigest()
     number = lambda k: int(fields[k]) if k in fields else None
-    return {"page_id": number("WARC-Page-ID"), "url": fields["WARC-Target-URI"], "record_type": kind, "payload": payload if kind == "response" else None, "payload_bytes": size, "payload_digest": digest, "refers_to": number("WARC-Refers-To-Page-ID")}
-
-
-def records_of(content: bytes) -> Iterator[tuple[int, dict]]:
-    """(offset, fields) of every record of an archive."""
+    target = fields.get("warc-target-uri", "")
+    url = json.loads(fields["warc-page-url"]) if "warc-page-url" in fields else target.removeprefix("<").removesuffix(">") or None
+    return {"page_id": number("warc-page-id"), "url": url, "record_type": kind, "payload": payload, "payload_bytes": payload_bytes, "payload_digest": payload_digest, "refers_to": number("warc-refers-to-page-id")}
+
+
+def inflate(unpack: zstandard.ZstdDecompressor, frame: memoryview, most_bytes: int) -> bytes:
+    """A frame's content; ValueError if it has more than ``most_bytes``, before it is in memory."""
+    size = zstandard.frame_content_size(frame)
+    if 0 <= size <= most_bytes:
+        return unpack.decompressobj().decompress(frame)
+    out, held = [], 0
+    with unpack.stream_reader(frame) as source:
+        while size < 0 and held <= most_bytes and (piece := source.read(1 << 20)):
+            out.append(piece)
+            held += len(piece)
+    if max(held, size) > most_bytes:
+        raise ValueError(f"more than {most_bytes} bytes")
+    return b"".join(out)
+
+
+def records_of(content: bytes, most_bytes: int = 1 << 30) -> Iterator[tuple[int, dict]]:
+    """(offset, fields) of every record of an archive, a frame each. ValueError, with the offset, where
+    the archive is broken or a record is of more than ``most_bytes``."""
     data, at, unpack = memoryview(content), 0, zstandard.ZstdDecompressor()
     while at < len(data):
         if at + 8 > len(data):
@@ -173,23 +240,48 @@ def records_of(content: bytes) -> Iterator[tuple[int, dict]]:
             if at == 0 and magic == DICTIONARY:
                 held = bytes(data[8 : 8 + size])
                 if held[:4] == struct.pack("<I", FRAME):
-                    held = zstandard.ZstdDecompressor().decompress(held)
+                    held = inflate(unpack, memoryview(held), most_bytes)
                 unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(held))
             at += 8 + size
             continue
         if magic != FRAME:
             raise ValueError(f"no Zstandard frame at {at}")
         end = frame_end(data, at)
-        yield at, parse_record(unpack.decompressobj().decompress(data[at:end]))
+        try:
+            fields = parse_record(inflate(unpack, data[at:end], most_bytes))
+        except (ValueError, zstandard.ZstdError) as e:
+            raise ValueError(f"the record at {at}: {e}") from e
+        yield at, fields
         at = end
 
 
+def save_archives(archives: DataFrame, folder: str) -> int:
+    """Write the archives of (path, content) as files of these names in a folder that all executors
+    share, given as a URI, and return their number. A file is moved into its place when it is whole, so
+    that a task may run again. Spark's binaryFile source reads them back for :func:`read_archives`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                waiting = f"{base}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(waiting) as out:
+                    out.write(content)
+                store.move(waiting, f"{base}/{path}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    return archives.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row per record of the archives in (path, content), as from the binaryFile source:
     archive, offset, page_id, url, record_type, payload (null in a revisit), payload_bytes,
     payload_digest (both of the full payload) and refers_to. Heads, lengths, checksums and
-    digests are validated; a broken archive raises ValueError with its offset. Null contents
-    have no records."""
+    digests are validated; a broken archive raises ValueError with its offset. Archives of other
+    programs are read too, with records of all types. Null contents have no records."""
     names = [c.split()[0] for c in RECORDS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
@@ -202,7 +294,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows, held = [], 0
                 for offset, x in records_of(content.as_py() or b""):
                     rows.append((path, offset, *(x[n] for n in names[2:])))
-                    held += x["payload_bytes"]
+                    held += len(x["payload"] or b"")
                     if held > 4 << 20:
                         yield batch_of(rows)
                         rows, held = [], 0

@@ -139,7 +139,22 @@ def test_resampling_keeps_a_tone_and_its_samples():
     y = media.resample(x, 2)
     assert len(y) == 1600 and (y[::2] == x).all()
     assert np.abs(y[101:1500:2] - 10_000 * np.sin((np.arange(50, 750) + 0.5) * 0.1)).max() < 60
-    assert len(media.resample(x, 1, 2)) == 400
+    for up, down in ((1, 2), (2, 3), (3, 4), (1, 3)):
+        low, high = (media.resample((10_000 * np.sin(np.arange(1200) * f)).astype(np.int16), up, down, taps=32) for f in (0.1, 2.9))
+        assert len(low) == -(-1200 * up // down)
+        inner = slice(len(low) // 4, 3 * len(low) // 4)
+        assert np.abs(low[inner] - 10_000 * np.sin(np.arange(len(low))[inner] * 0.1 * down / up)).max() < 200
+        # a tone above half of the new rate would come back as another
+        assert np.abs(high[inner].astype(int)).max() < 400
+    assert len(media.resample(x[:0], 2)) == 0
+
+
+def test_pcm_is_stored(spark, tmp_path):
+    stored = media.encode_media(odd_documents(spark))
+    back = media.store_pcm(stored, str(tmp_path / "pcm"))
+    assert back.columns == ["doc_id", "rate", "pcm"] and back.count() == 9
+    want = {(r["doc_id"], bytes(r["pcm"])) for r in media.decode_media(stored).collect()}
+    assert {(r["doc_id"], bytes(r["pcm"])) for r in back.collect()} == want
 
 
 def test_broken_containers_are_refused():
