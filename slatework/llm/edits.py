@@ -19,7 +19,7 @@ SAFE = re.compile(r"\S(?=[ \n])")
 EDITS = "array<struct<start:bigint,length:bigint,replacement:string>>"
 
 
-def leaves(text: str, least: int = 512) -> list[str]:
+def leaves(text: str, least: int = 128) -> list[str]:
     """Consecutive parts of at least ``least`` characters, cut only between pre-tokens."""
     out, start = [], 0
     while len(text) - start > least and (m := SAFE.search(text, start + least - 1)):
@@ -38,15 +38,19 @@ class Tree:
     @classmethod
     def build(cls, text: str, count: Callable[[str], int]) -> Tree:
         parts = leaves(text)
-        half = 1 << max(0, len(parts) - 1).bit_length()
-        tree = cls(np.zeros(2 * half, dtype=np.int64), np.zeros(2 * half, dtype=np.int64))
-        tree.chars[half : half + len(parts)] = [len(x) for x in parts]
-        tree.tokens[half : half + len(parts)] = [count(x) for x in parts]
+        tree = cls(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        tree._plant([len(x) for x in parts], [count(x) for x in parts])
+        return tree
+
+    def _plant(self, chars: list[int], tokens: list[int]) -> None:
+        """All nodes from those of the leaves."""
+        half = 1 << max(0, len(chars) - 1).bit_length()
+        self.chars, self.tokens = np.zeros(2 * half, dtype=np.int64), np.zeros(2 * half, dtype=np.int64)
+        self.chars[half : half + len(chars)], self.tokens[half : half + len(chars)] = chars, tokens
         while half > 1:
             half //= 2
-            for sums in (tree.chars, tree.tokens):
+            for sums in (self.chars, self.tokens):
                 sums[half : 2 * half] = sums[2 * half : 4 * half].reshape(-1, 2).sum(axis=1)
-        return tree
 
     def find(self, at: int) -> tuple[int, int]:
         """(leaf node, characters before it) of the leaf that holds character ``at``."""
@@ -67,8 +71,13 @@ class Tree:
         last, before = self.find(min(end, len(text) - 1)) if text else (first, 0)
         to = before + int(self.chars[last])
         region = text[from_:start] + new + text[end:to]
-        slots, parts = last - first + 1, leaves(region)
-        parts = parts[: slots - 1] + ["".join(parts[slots - 1 :])]
+        slots, parts, half = last - first + 1, leaves(region), len(self.chars) // 2
+        if len(parts) > slots:
+            # leaves keep their size: the others move on, with the counts that they have
+            old = list(zip(self.chars[half:].tolist(), self.tokens[half:].tolist(), strict=True))
+            grown = old[: first - half] + [(len(x), count(x)) for x in parts] + old[last - half + 1 :]
+            self._plant(*zip(*[x for x in grown if x[0]], strict=True))
+            return text[:start] + new + text[end:], len(region)
         for k in range(slots):
             part = parts[k] if k < len(parts) else ""
             self.chars[first + k], self.tokens[first + k] = len(part), count(part) if part else 0

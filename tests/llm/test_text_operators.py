@@ -90,6 +90,33 @@ def test_an_edit_of_a_long_text_encodes_little():
     assert edits.Tree.build(text, count).edit(text, 100_000, 3, "other", count)[1] < 2500
 
 
+def test_leaves_keep_their_size_however_often_a_place_grows():
+    count = lambda s: len(tokenize.encoder(BPE).ids(s))
+    text, tree = "some words in a row. " * 20, edits.Tree.build("some words in a row. " * 20, count)
+    for k in range(200):
+        text, anew = tree.edit(text, 100, 0, f"inserted {k} here ", count)
+        assert anew < 600
+    half = len(tree.chars) // 2
+    assert tree.chars[half:].max() < 300 and tree.tokens[1] == count(text) and tree.chars[1] == len(text)
+
+
+def test_edits_of_odd_tables(spark, library):
+    docs = clashing(odd_documents(spark)).withColumn("tree_chars", F.lit("x"))
+    df = docs.withColumn("edits", F.expr("array(named_struct('start', 1L, 'length', 2L, 'replacement', ' new'))"))
+    rows = edits.apply_edits(edits.build_trees(df, BPE), BPE).collect()
+    assert len(rows) == 9 and all(r["n_tokens"] == len(library(r["text"] or "")) for r in rows)
+    assert [r["_id"] for r in rows] == [r["_id"] for r in docs.collect()]
+    assert edits.apply_edits(edits.build_trees(df.limit(0), BPE), BPE).count() == 0
+
+
+def test_token_ids_of_odd_strings(library):
+    r = random.Random(9)
+    alphabet = ["a", "B", "é", "日", "\U0001f600", " ", "  ", "\n", "\t", "\r", "\u00a0", "\u3000", "'s", "'RE", "1", "½", "_", "!", "\x00", "\u0301", "ß", "İ", "\u2028", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(r.choices(alphabet, k=r.randrange(1, 12)))
+        assert tokenize.encoder(BPE).ids(text).tolist() == library(text), repr(text)
+
+
 def test_edits_of_nothing(spark):
     df = spark.createDataFrame([(1, None, None), (2, None, [(0, 0, "x")])], f"doc_id long, text string, edits {edits.EDITS}")
     rows = edits.apply_edits(edits.build_trees(df, BPE), BPE).orderBy("doc_id").collect()
