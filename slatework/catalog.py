@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatework.functions.text import display_value
+from slatework.functions.text import display_value, title
 from slatework.operators import aggregate, clean, drill, profile, report
 from slatework.operators.filters import apply_filters
 from slatework.plans import Filter, QuerySpec
@@ -321,7 +321,7 @@ UNION ALL SELECT 'c_nationkey', 'identifier', 'identifier', count(DISTINCT c_nat
 UNION ALL SELECT 'c_acctbal', CASE WHEN count(DISTINCT c_acctbal) >= 20 THEN 'metric' ELSE 'categorical' END, 'number', count(DISTINCT c_acctbal) FROM customer
 UNION ALL SELECT 'c_mktsegment', CASE WHEN count(DISTINCT c_mktsegment) < 50 THEN 'categorical' ELSE 'identifier' END, 'general', count(DISTINCT c_mktsegment) FROM customer""")
 def column_profile(spark, sf_dir):
-    return profile.column_profile(table(spark, sf_dir, "customer")).select("name", "semantic_type", "format", "unique_count")
+    return profile.column_profile(table(spark, sf_dir, "customer"), exact=True).select("name", "semantic_type", "format", "unique_count")
 
 
 @query("""SELECT 'p_brand' AS name, string_agg(v, '|' ORDER BY lower(v), v) AS sample FROM (SELECT DISTINCT p_brand AS v FROM part ORDER BY lower(v), v LIMIT 20)
@@ -356,7 +356,7 @@ def default_query(spark, sf_dir):
 
 @query("SELECT 'o_orderstatus' AS name, count(DISTINCT o_orderstatus) AS unique_count FROM orders")
 def filter_candidates(spark, sf_dir):
-    found = profile.column_profile(table(spark, sf_dir, "orders"))
+    found = profile.column_profile(table(spark, sf_dir, "orders"), exact=True)
     return profile.filter_candidates(found, plotted=("o_orderpriority",)).select("name", "unique_count")
 
 
@@ -378,9 +378,8 @@ def missing_report(spark, sf_dir):
 
 @query("""SELECT round(100 - sum((l_orderkey % 7 = 0)::INT + (l_orderkey % 5 = 0)::INT + (l_orderkey % 11 = 0)::INT) / (count(*) * 11.0) * 100, 1) AS quality FROM lineitem""")
 def quality_score(spark, sf_dir):
-    gaps = _gaps(spark, sf_dir)
-    cells = F.lit(100) - F.sum("missing") / F.max(F.lit(gaps.count() * len(gaps.columns))) * 100
-    return clean.missing_counts(gaps).agg(F.round(cells, 1).alias("quality"))
+    done = clean.clean(_gaps(spark, sf_dir))
+    return spark.createDataFrame([(done.quality,)], "quality double")
 
 
 # Type repair
@@ -485,15 +484,18 @@ def simple_impute(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, round(o_totalprice, 2) AS total_price, strftime(o_orderdate, '%Y-%m-%d') AS ordered,
-coalesce(CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 5 END, -1) AS status_code FROM orders""")
+coalesce(CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 5 END, -1) AS status_code,
+CASE WHEN o_orderkey % 3 = 0 THEN 'say ""' || o_orderpriority || '"", ok' WHEN o_orderkey % 3 = 1 THEN 'two' || chr(10) || 'lines, "' ELSE o_orderstatus || ' ' END AS note FROM orders""")
 def csv_ingest(spark, sf_dir):
     code = F.when(F.col("o_orderkey") % 11 != 0, (F.col("o_custkey") % 5).cast("string")).otherwise("N/A")
     price, day = F.concat(F.lit("$"), F.format_number("o_totalprice", 2)), F.date_format("o_orderdate", "yyyy/M/d")
+    third = F.col("o_orderkey") % 3
+    note = F.when(third == 0, F.concat(F.lit('say ""'), "o_orderpriority", F.lit('"", ok'))).when(third == 1, F.lit('two\nlines, "')).otherwise(F.concat("o_orderstatus", F.lit(" ")))
     path = tables.scratch(spark, "orders.csv")
-    dirty = table(spark, sf_dir, "orders").select("o_orderkey", price, day, code).toDF("O_OrderKey", " Total Price ", "Ordered", "Status Code")
-    dirty.write.csv(path, header=True)
+    dirty = table(spark, sf_dir, "orders").select("o_orderkey", price, day, code, note).toDF("O_OrderKey", " Total Price ", "Ordered", "Status Code", "note")
+    dirty.write.csv(path, header=True, quote='"', escape='"', ignoreTrailingWhiteSpace=False)
     done = tables.ingest(spark, path).df
-    return done.select("o_orderkey", F.round("total_price", 2).alias("total_price"), F.date_format("ordered", "yyyy-MM-dd").alias("ordered"), F.col("status_code").cast("long").alias("status_code"))
+    return done.select("o_orderkey", F.round("total_price", 2).alias("total_price"), F.date_format("ordered", "yyyy-MM-dd").alias("ordered"), F.col("status_code").cast("long").alias("status_code"), "note")
 
 
 @query("""SELECT CAST(0 AS BIGINT) AS seq, NULL AS "column", 'Normalized 1 column headers' AS action, CAST(1 AS BIGINT) AS affected
@@ -506,11 +508,13 @@ def cleaning_log(spark, sf_dir):
     return rounded(clean.clean(text).cleaning_log())
 
 
-@query("""SELECT 'Others' AS p_brand, round(sum(p_retailprice), 2) AS p_retailprice FROM part
-WHERE p_brand NOT IN (SELECT p_brand FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, p_brand LIMIT 4)""")
+@query("""WITH t AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY sum(p_retailprice) DESC, p_brand LIMIT 4),
+r AS (SELECT CASE WHEN p_brand IN (SELECT p_brand FROM t) THEN p_brand ELSE 'Others' END AS p_brand, round(sum(p_retailprice), 2) AS p_retailprice FROM part GROUP BY 1)
+SELECT row_number() OVER (ORDER BY p_brand = 'Others', p_brand) AS place, * FROM r""")
 def others_last(spark, sf_dir):
     result = aggregate.run_query(table(spark, sf_dir, "part"), QuerySpec("p_brand", "p_retailprice", limit=5, group_others=True))
-    return rounded(aggregate.page(result.df, [F.col("p_brand") == "Others", "p_brand"], 4, 1))
+    rows = [(i, *r) for i, r in enumerate(rounded(aggregate.others_last(result)).collect(), 1)]
+    return spark.createDataFrame(rows, "place long, p_brand string, p_retailprice double")
 
 
 # Headers, reports, display, statistics
@@ -542,3 +546,176 @@ def display_values(spark, sf_dir):
 round(corr(l_quantity, l_extendedprice), 6) AS corr_l_quantity_l_extendedprice FROM lineitem GROUP BY 1""")
 def summary_stats(spark, sf_dir):
     return rounded(aggregate.summary_stats(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag"), 6)
+
+
+# Requests: checks, merging, limits, notes
+
+
+def _told(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A few facts about results, each with what was counted over the table."""
+    return spark.createDataFrame(rows, schema)
+
+
+def _refusal(work: Callable[[], object]) -> str:
+    try:
+        work()
+    except (ValueError, KeyError) as e:
+        return type(e).__name__
+    return "none"
+
+
+@query("""SELECT event_id FROM events WHERE event_id % 7 <> 0 AND value < 20
+UNION ALL SELECT -event_id FROM events WHERE event_id % 7 <> 0 AND value >= 20""")
+def filter_null_never_matches(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+    low, high = (apply_filters(events, [Filter("value", how, 20)])[0] for how in ("lt", "gte"))
+    return low.select("event_id").union(high.select(-F.col("event_id")))
+
+
+@query("""SELECT 'no such column: nowhere: skipped' AS note, count(*) AS n FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'o_totalprice gt ''much'' was skipped: not a number', count(*) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'o_custkey lt has no value: skipped', count(*) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'no such operator: like: skipped', count(*) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'o_orderdate gt ''never'' was skipped: not a time', count(*) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'o_orderstatus eq F', count(*) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 'strict: ValueError', count(*) FROM orders""")
+def filter_notes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    wanted = [Filter("nowhere", "eq", 1), Filter("o_totalprice", "gt", "much"), Filter("o_custkey", "lt", None), Filter("o_custkey", "like", 3), Filter("o_orderdate", "gt", "never"), Filter("o_orderstatus", "eq", "F")]
+    rows, notes = apply_filters(orders, wanted)
+    n = rows.count()
+    strict = _refusal(lambda: apply_filters(orders, wanted, strict=True))
+    return _told(spark, [*[(note, n) for note in notes], (f"strict: {strict}", orders.count())], "note string, n long")
+
+
+@query("""SELECT o_orderpriority, count(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 100000 AND o_custkey <= 500 GROUP BY 1""")
+def filters_replaced_and_merged(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    spec = QuerySpec("o_orderpriority", "o_orderkey", "count", filters=(Filter("o_orderstatus", "eq", "F"), Filter("o_custkey", "lte", 500)))
+    spec = spec.with_filter(Filter("o_orderstatus", "eq", "O"))
+    extra = [{"column": "o_totalprice", "operator": "gte", "value": 100000}, {"column": "o_custkey", "operator": "eq", "value": [1, 2]}, {"operator": "eq", "value": 3}, {"column": "o_custkey", "how": "eq"}]
+    return rounded(aggregate.run_query(orders, spec.merge(extra, orders)).df)
+
+
+@query("""SELECT 'aggregate' AS request, 'ValueError' AS refused, count(*) AS n FROM orders UNION ALL SELECT 'x', 'ValueError', count(*) FROM orders
+UNION ALL SELECT 'y', 'ValueError', count(*) FROM orders UNION ALL SELECT 'limit', 'ValueError', count(*) FROM orders
+UNION ALL SELECT 'sum of text', 'ValueError', count(*) FROM orders UNION ALL SELECT 'merged column', 'ValueError', count(*) FROM orders
+UNION ALL SELECT 'merged operator', 'ValueError', count(*) FROM orders UNION ALL SELECT 'dataset', 'KeyError', count(*) FROM orders UNION ALL SELECT 'good', 'none', count(*) FROM orders""")
+def requests_refused(spark, sf_dir):
+    orders, good = table(spark, sf_dir, "orders"), QuerySpec("o_orderstatus", "o_totalprice")
+    bad = {
+        "aggregate": lambda: QuerySpec("o_orderstatus", "o_totalprice", "product"),
+        "x": lambda: aggregate.run_query(orders, QuerySpec("nowhere", "o_totalprice")),
+        "y": lambda: aggregate.run_query(orders, QuerySpec("o_orderstatus", "nowhere")),
+        "limit": lambda: aggregate.run_query(orders, QuerySpec("o_orderstatus", "o_totalprice", limit=-1)),
+        "sum of text": lambda: aggregate.run_query(orders, QuerySpec("o_orderstatus", "o_orderpriority")),
+        "merged column": lambda: good.merge([{"column": "nowhere", "operator": "eq", "value": 1}], orders),
+        "merged operator": lambda: good.merge([{"column": "o_custkey", "operator": "like", "value": 1}], orders),
+        "dataset": lambda: tables.dataset(spark, "no_such_table"),
+        "good": lambda: aggregate.run_query(orders, good),
+    }
+    n = orders.count()
+    return _told(spark, [(name, _refusal(work), n) for name, work in bad.items()], "request string, refused string, n long")
+
+
+@query("""WITH d AS (SELECT count(DISTINCT l_partkey) AS n FROM lineitem)
+SELECT 'all' AS wanted, least(n, 500) AS n, n > 500 AS capped, true AS warned FROM d UNION ALL SELECT 'too many', least(n, 500), n > 500, true FROM d
+UNION ALL SELECT 'three', least(n, 3), n > 3, false FROM d UNION ALL SELECT 'default', least(n, 50), n > 50, false FROM d""")
+def limits_and_warnings(spark, sf_dir):
+    lines, out = table(spark, sf_dir, "lineitem"), []
+    for name, limit in (("all", 0), ("too many", 501), ("three", 3), ("default", None)):
+        result = aggregate.run_query(lines, QuerySpec("l_partkey", "l_quantity", limit=limit))
+        out.append((name, result.df.count(), result.capped(), any("at most" in x for x in result.notes)))
+    return _told(spark, out, "wanted string, n long, capped boolean, warned boolean")
+
+
+@query("""SELECT count(*) FILTER (WHERE o_totalprice < 0) AS n, 'no rows match the filters; relax them or widen their ranges' AS note, count(*) AS n_all, NULL AS note_all FROM orders""")
+def empty_result_note(spark, sf_dir):
+    orders, spec = table(spark, sf_dir, "orders"), QuerySpec("o_orderstatus", "o_totalprice", "count")
+    none, every = (aggregate.run_query(orders, QuerySpec("o_orderstatus", "o_totalprice", "count", filters=(Filter("o_totalprice", "lt", 0),))), aggregate.run_query(orders, spec))
+    row = (none.df.agg(F.coalesce(F.sum("o_totalprice"), F.lit(0))).first()[0], none.empty_note(), every.df.agg(F.sum("o_totalprice")).first()[0], every.empty_note())
+    return _told(spark, [row], "n long, note string, n_all long, note_all string")
+
+
+@query("""WITH t AS (SELECT event_id, TIMESTAMP '2024-03-01 10:00:00' + INTERVAL 1 MILLISECOND * ((event_id % 40) * 250) AS ts FROM events),
+l AS (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM t) SELECT event_id, ts FROM l WHERE ts IN ('2024-03-01 10:00:00', '2024-03-01 10:00:07')""")
+def drill_from_a_second(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    moment = F.expr("timestamp_ntz'2024-03-01 10:00:00' + make_dt_interval(0, 0, 0, (event_id % 40) * 0.25)")
+    times, spec = events.select("event_id", moment.alias("ts")), QuerySpec("ts", "event_id", "count")
+    result = aggregate.run_query(times, spec)
+    found = [drill.drill_from_point(times, spec, result, label).select("event_id", F.lit(label).alias("ts")) for label in ("2024-03-01 10:00:00", "2024-03-01 10:00:07")]
+    return found[0].union(found[1])
+
+
+# Datasets and cleaning that leaves things alone
+
+
+@query("""SELECT 'preview' AS what, least(count(*), 100) AS n, count(*) AS total FROM orders UNION ALL SELECT 'registered', count(*), count(*) FROM orders
+UNION ALL SELECT 'ValueError', 0, count(*) FROM orders UNION ALL SELECT 'ValueError', 1, count(*) FROM orders""")
+def datasets(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    tables.register(orders, "slatework_orders")
+    rows, total = tables.preview(tables.dataset(spark, "slatework_orders"))
+    n, empty = total.first()["total"], tables.scratch(spark, "empty.csv")
+    orders.limit(0).coalesce(1).write.csv(empty, header=True)
+    out = [("preview", rows.count(), n), ("registered", tables.dataset(spark, "slatework_orders").count(), n)]
+    out += [(_refusal(lambda path=path: tables.read_csv(spark, path)), i, n) for i, path in enumerate((empty, f"{sf_dir}/orders.parquet"))]
+    return _told(spark, out, "what string, n long, total long")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 4 THEN CAST(o_custkey AS VARCHAR) ELSE o_orderpriority END AS mixed,
+CASE WHEN o_orderkey % 10 < 6 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE 'soon' END AS some_dates,
+CASE WHEN o_orderkey % 10 < 6 THEN CAST(o_custkey AS DOUBLE) / 2 END AS number_first FROM orders""")
+def repair_leaves_text_and_keeps_precedence(spark, sf_dir):
+    tenth = F.col("o_orderkey") % 10
+    text = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(tenth < 4, F.col("o_custkey").cast("string")).otherwise(F.col("o_orderpriority")).alias("mixed"),
+        F.when(tenth < 6, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise("soon").alias("some_dates"),
+        F.when(tenth < 6, F.format_number(F.col("o_custkey") / 2, 1)).otherwise(F.concat((F.col("o_custkey") % 90).cast("string"), F.lit("%"))).alias("number_first"),
+    )
+    return clean.repair_types(text)[0]
+
+
+@query("""SELECT o_orderkey, CAST(NULL AS DOUBLE) AS nothing, 'Left ' || count(*) OVER () || ' missing nothing values null (low-confidence imputation)' AS log FROM orders""")
+def impute_nothing(spark, sf_dir):
+    done = clean.impute(table(spark, sf_dir, "orders").select("o_orderkey", F.lit(None).cast("double").alias("nothing")), {"nothing": "metric"})
+    return done.df.withColumn("log", F.lit(done.actions[0][1]))
+
+
+# Whole profiles, shapes, display
+
+
+@query("""SELECT count(*) AS n_rows, 6 AS n_columns, round(sum(o_totalprice), 2) AS total, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS start FROM orders""")
+def whole_profile(spark, sf_dir):
+    found = profile.profile(table(spark, sf_dir, "orders"))
+    both = found["metrics"].filter("name = 'o_totalprice'").crossJoin(found["time_range"])
+    return rounded(both.select(F.lit(found["rows"]).alias("n_rows"), F.lit(found["columns"]).alias("n_columns"), "total", "start")).withColumn("n_columns", F.col("n_columns").cast("int"))
+
+
+@query("""SELECT 'customer_key' AS name, 'Customer Key' AS title, count(*) > 0 AS sampled FROM customer UNION ALL SELECT 'market_segment', 'Market Segment', count(*) > 0 FROM customer""")
+def sampled_profile(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").selectExpr("c_custkey AS customer_key", "c_mktsegment AS market_segment")
+    found = profile.column_profile(customers, fraction=0.5)
+    n = customers.count()
+    return found.select("name", title(F.col("name")).alias("title"), ((F.col("unique_count") > 0) & (F.col("unique_count") < n)).alias("sampled"))
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS p, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT 'table' AS shape, p AS x, format('{:.2f}', v) AS y FROM t UNION ALL SELECT 'mapping', p, format('{:.2f}', v) FROM t UNION ALL SELECT 'scalar', 'result', CAST(count(*) AS VARCHAR) FROM t""")
+def chart_shapes(spark, sf_dir):
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+
+    found = report.transform(table(spark, sf_dir, "orders"), sums, (Filter("o_orderstatus", "eq", "F"),))
+    pairs = {r["o_orderpriority"]: r["v"] for r in found.collect()}
+    shapes = {"table": report.to_chart_shape(found), "mapping": report.to_chart_shape(pairs, spark), "scalar": report.to_chart_shape(len(pairs), spark)}
+    parts = [shape.df.select(F.lit(name).alias("shape"), F.col(shape.x).alias("x"), F.format_string("%.2f" if name != "scalar" else "%s", F.col(shape.ys[0])).alias("y")) for name, shape in shapes.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice * 1e5 >= 1e9 THEN format('{:.1f}B', o_totalprice * 1e5 / 1e9) ELSE format('{:.1f}M', o_totalprice * 1e5 / 1e6) END AS shown FROM orders
+WHERE o_totalprice >= 1000""")
+def display_billions(spark, sf_dir):
+    big = apply_filters(table(spark, sf_dir, "orders"), [Filter("o_totalprice", "gte", 1000)])[0]
+    return big.select("o_orderkey", display_value(F.col("o_totalprice") * 1e5, compact=True).alias("shown"))

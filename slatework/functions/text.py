@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,9 +55,33 @@ def to_fraction(c: Column) -> Column:
     return F.replace(c, F.lit("%"), F.lit("")).try_cast("double") / 100
 
 
+def shape(pattern: str) -> str:
+    """A regular expression that every text of a date pattern fits, and few others do."""
+    out, at = "", 0
+    while at < len(pattern):
+        c = pattern[at]
+        n = len(pattern[at:]) - len(pattern[at:].lstrip(c))
+        if c == "'":
+            end = pattern.index("'", at + 1)
+            out, n = out + re.escape(pattern[at + 1 : end]), end + 1 - at
+        elif c in "[]":
+            out, n = out + ("(?:" if c == "[" else ")?"), 1
+        elif c in "yMdHhmsS" and not (c == "M" and n > 2):
+            out += r"[+-]?\d+"
+        elif c in "Ma":
+            out += r"\p{L}+\.?"
+        elif c == "X":
+            out += r"(?:Z|[+-]\d\d(?::?\d\d)?)"
+        else:
+            out += re.escape(c * n)
+        at += n
+    return f"(?i)^{out}$"
+
+
 def to_time(c: Column, pattern: str | None) -> Column:
-    """A timestamp by one of DATE_PATTERNS; null where it does not fit."""
-    return c.try_cast("timestamp") if pattern is None else F.try_to_timestamp(c, F.lit(pattern))
+    """A timestamp by one of DATE_PATTERNS; null where it does not fit. Only texts of the pattern's
+    shape are parsed, as a text that does not parse costs an exception."""
+    return c.try_cast("timestamp") if pattern is None else F.when(c.rlike(shape(pattern)), F.try_to_timestamp(c, F.lit(pattern)))
 
 
 def any_time(c: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.functions.text import DATE_PATTERNS, any_time, is_number, is_percent, stripped_number, to_fraction, to_number, to_time
-from slatework.operators.stats import col, distinct_counts, nan_to_null, one_pass
+from slatework.operators.stats import col, distinct_counts, median, modes, nan_to_null, one_pass
 from slatework.operators.stats import is_number as is_numeric
 
 #: Parts of names, wherever they stand in the lower-cased name.
@@ -89,6 +91,11 @@ def _texts(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def _each_and_any(fits: list[Column]) -> dict[int | str, Column]:
+    """Flags by their numbers, and whether any is set."""
+    return dict(enumerate(fits)) | {"any": functools.reduce(operator.or_, fits)}
+
+
 def repair_types(df: DataFrame) -> tuple[DataFrame, list[tuple[str | None, str, int]], dict[str, str]]:
     """Text columns whose values mostly spell numbers, percentages or times become those.
 
@@ -117,7 +124,8 @@ def repair_types(df: DataFrame) -> tuple[DataFrame, list[tuple[str | None, str,
             log.append((c, f"Converted {c} from percent text to fractions", s["percent"]))
         elif s["n"]:
             rest.append(c)
-    fits = one_pass(df, {(c, k): F.count(x) for c in rest for k, x in {**{i: to_time(col(c), p) for i, p in enumerate(DATE_PATTERNS)}, "any": any_time(col(c))}.items()})
+    fitting = df.select(*[to_time(col(c), p).isNotNull().alias(f"_{i}_{k}") for i, c in enumerate(rest) for k, p in enumerate(DATE_PATTERNS)])
+    fits = one_pass(fitting, {(c, k): F.count_if(x) for i, c in enumerate(rest) for k, x in _each_and_any([F.col(f"_{i}_{k}") for k in range(len(DATE_PATTERNS))]).items()})
     for c in rest:
         n, rows = seen[c, "n"], seen[c, "all"]
         if fits[c, "any"] <= 0.7 * n:
@@ -179,7 +187,8 @@ def impute(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mappin
     Codes get -1; values within 0 and 1 get 0 if that is at least 80 % of them, else their mode (the
     smallest of ties); confident metrics get the median if skewed, else the mean, to 4 decimals. All
     others stay null, and the log says so. One pass gives all statistics; exact distinct counts, and
-    medians and modes, are taken only for columns that need them."""
+    medians (by narrowing histograms) and modes (by grouped counts), are taken only for columns that
+    need them."""
     hints, parsed = dict(hints or {}), dict(parsed or {})
     numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     wanted = {("", "rows"): F.count(F.lit(1))} | {(c, "n"): F.count(col(c)) for c in df.columns}
@@ -207,17 +216,18 @@ def impute(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mappin
                 fills[c] = 0
                 log.append((c, f"Filled {k} missing {c} values with 0 (bounded, mostly 0)", k))
             else:
-                later[c] = F.mode(col(c), True)
+                later[c] = "mode"
                 log.append((c, f"Filled {k} missing {c} values with the mode (bounded)", k))
         elif n and sure and abs(sample_skew(s["skew"], n)) > 1:
-            later[c] = F.round(F.median(col(c)), 4)
+            later[c] = "median"
             log.append((c, f"Filled {k} missing {c} values with the median (high-confidence metric)", k))
         elif n and sure:
             fills[c] = round(float(s["mean"]), 4)
             log.append((c, f"Filled {k} missing {c} values with the mean (high-confidence metric)", k))
         else:
             log.append((c, f"Left {k} missing {c} values null (low-confidence imputation)", k))
-    fills |= {c: v for (c, _), v in one_pass(df, {(c, "fill"): x for c, x in later.items()}).items()}
+    fills |= modes(df, [c for c, how in later.items() if how == "mode"])
+    fills |= {c: round(median(df, c, seen[c, "n"]), 4) for c, how in later.items() if how == "median"}
     wide = {c for c, v in fills.items() if float(v) != int(v) and isinstance(df.schema[c].dataType, T.IntegralType)}
     new = {c: F.coalesce(col(c).cast("double") if c in wide else col(c), F.lit(v) if c in wide else F.lit(v).cast(df.schema[c].dataType)) for c, v in fills.items()}
     return Cleaned(df.withColumns(new) if new else df, tuple(log), missing, rows, formats, hints)
@@ -253,14 +263,15 @@ def search_log(log: DataFrame, search: str) -> DataFrame:
 def simple_impute(df: DataFrame) -> DataFrame:
     """Fill gaps: numbers with the mean to 2 decimals (0 if there is none), others with the
     mode, the smallest of ties (text: ``Unknown`` if there is none). Columns without gaps are not
-    touched: one pass finds the gaps, a second the values for them."""
+    touched: one pass finds the gaps, a second the means, and grouped counts each mode."""
     plain = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
     gaps = one_pass(df, {(f.name, "gaps"): F.count_if(col(f.name).isNull()) for f in plain})
     plain = [f for f in plain if gaps[f.name, "gaps"]]
-    seen = one_pass(df, {(f.name, "fill"): F.round(F.avg(col(f.name)), 2) if is_numeric(f.dataType) else F.mode(col(f.name), True) for f in plain})
+    seen = {c: v for (c, _), v in one_pass(df, {(f.name, "fill"): F.round(F.avg(col(f.name)), 2) for f in plain if is_numeric(f.dataType)}).items()}
+    seen |= modes(df, [f.name for f in plain if not is_numeric(f.dataType)])
     new = {}
     for f in plain:
-        v = seen[f.name, "fill"]
+        v = seen[f.name]
         if v is None:
             v = 0 if is_numeric(f.dataType) else "Unknown" if isinstance(f.dataType, T.StringType) else None
         whole = isinstance(f.dataType, T.IntegralType) and v is not None and float(v) == int(v)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatework.operators.filters import apply_filters
+from slatework.operators.stats import TIMES
 from slatework.plans.spec import Filter, QueryResult, QuerySpec
 
 
@@ -31,11 +32,17 @@ def period_bounds(label: str, period: str) -> tuple[date, date]:
 
 
 def point_predicate(df: DataFrame, result: QueryResult, label: str) -> Column:
-    """Rows that a result's label stands for: equal values, or a half-open range of the base time
-    column for a period."""
-    if result.base is not None:
-        low, high = period_bounds(label, result.period)
-        c, kind = F.col(f"`{result.base}`"), df.schema[result.base].dataType
+    """Rows that a result's label stands for: equal values, or a half-open range of the time column
+    for a period, a day or a second."""
+    name = result.base or result.x
+    kind = df.schema[name].dataType
+    if isinstance(kind, TIMES):
+        if result.base is not None:
+            low, high = period_bounds(label, result.period)
+        else:
+            low = datetime.fromisoformat(label)
+            high = low + (timedelta(days=1) if len(label) == 10 else timedelta(seconds=1))
+        c = F.col(f"`{name}`")
         return (c >= F.lit(str(low)).cast(kind)) & (c < F.lit(str(high)).cast(kind))
     from slatework.operators.filters import compile_filters
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.operators.clean import column_formats, has
-from slatework.operators.stats import TIMES, col, distinct_counts, exact_distinct, is_number, one_pass
+from slatework.operators.stats import TIMES, col, distinct_counts, exact_distinct, first_values, is_number, one_pass
 from slatework.plans.spec import QuerySpec
 
 #: Parts of names that tell a column's meaning.
@@ -42,10 +41,10 @@ def _plain(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
 
-def column_profile(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mapping[str, str] | None = None, exact: bool = True, fraction: float | None = None) -> DataFrame:
+def column_profile(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mapping[str, str] | None = None, exact: bool = False, fraction: float | None = None) -> DataFrame:
     """A row per column: type, meaning, format, distinct values and up to 20 of them.
 
-    One pass for counts and ranges. ``exact`` distinct counts read each column once more;
+    One pass for counts and ranges, two for the values. ``exact`` distinct counts shuffle them all;
     otherwise they are estimates, exact only near a threshold. ``fraction`` profiles a repeatable
     sample (seed 42) instead of all rows. Nested columns are left out."""
     df = df if fraction is None else df.sample(fraction, seed=42)
@@ -60,9 +59,7 @@ def column_profile(df: DataFrame, hints: Mapping[str, str] | None = None, parsed
     rows = seen["", "rows"]
     names = [f.name for f in fields]
     counts = exact_distinct(df, names) if exact else distinct_counts(df, {c: (20, 50, rows * 0.5) for c in names}, {c: seen[c, "about"] for c in names})
-    order = [F.struct(F.lower("value").alias("l"), "value")]
-    lists = [facets(df, c).agg(F.lit(c).alias("name"), F.sort_array(F.collect_list(order[0])).alias("v")) for c in names]
-    samples = {r["name"]: [x["value"] for x in r["v"]] for r in functools.reduce(DataFrame.unionAll, lists).collect()} if lists else {}
+    samples = first_values(df, names)
     formats = column_formats(df, parsed or {}, {f.name: (seen[f.name, "min"], seen[f.name, "max"]) for f in fields if is_number(f.dataType)})
     out = []
     for i, f in enumerate(fields):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -34,13 +33,74 @@ def one_pass(df: DataFrame, wanted: Mapping[tuple[str, str], Column]) -> dict[tu
     return dict(zip(wanted, row, strict=True))
 
 
+def long_values(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """(name, value): the non-null values of columns as text, from one scan; both zeros are one."""
+    fields = [df.schema[c] for c in names]
+    texts = [(col(f.name) + 0.0 if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else col(f.name)).cast("string").alias(f"_{i}") for i, f in enumerate(fields)]
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("name"), F.col(f"_{i}").alias("value")) for i, f in enumerate(fields)])
+    return df.select(*texts).select(F.inline(pairs)).filter("value is not null")
+
+
 def exact_distinct(df: DataFrame, names: Iterable[str]) -> dict[str, int]:
-    """Exact non-null distinct counts, each over its own pruned column, in one job. Grouping first
-    lets tasks drop repeats before the shuffle; no row is copied for each column."""
-    parts = [df.select(col(c).alias("v")).filter("v is not null").distinct().agg(F.lit(c).alias("name"), F.count(F.lit(1)).alias("n")) for c in names]
-    if not parts:
+    """Exact non-null distinct counts in one job. Tasks drop repeats before the one shuffle."""
+    names = list(names)
+    if not names:
+        return {}
+    found = long_values(df, names).distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {c: 0 for c in names} | {r["name"]: r["n"] for r in found}
+
+
+def first_values(df: DataFrame, names: Iterable[str], limit: int = 20, buckets: int = 64) -> dict[str, list[str]]:
+    """The first ``limit`` distinct values of each column as text, in case-insensitive order.
+
+    The least value of each of a few hash buckets, a bounded aggregate, gives a value that the last one
+    wanted is at most; only values up to it, about ``limit`` of them, are then made distinct."""
+    names = list(names)
+    if not names:
         return {}
-    return {r["name"]: r["n"] for r in functools.reduce(DataFrame.unionAll, parts).collect()}
+    values = long_values(df, names).withColumn("key", F.struct(F.lower("value").alias("l"), F.col("value").alias("v")))
+    least = values.groupBy("name", F.pmod(F.xxhash64("value"), F.lit(max(buckets, 3 * limit))).alias("b")).agg(F.min("key").alias("key"))
+    bars = least.groupBy("name").agg(F.sort_array(F.collect_list("key")).alias("keys")).select("name", F.try_element_at("keys", F.lit(limit)).alias("bar"))
+    few = values.join(F.broadcast(bars), "name").filter(F.col("bar").isNull() | (F.col("key") <= F.col("bar")))
+    found = few.select("name", "key").distinct().groupBy("name").agg(F.slice(F.sort_array(F.collect_list("key")), 1, limit).alias("keys")).collect()
+    return {c: [] for c in names} | {r["name"]: [k["v"] for k in r["keys"]] for r in found}
+
+
+def modes(df: DataFrame, names: Iterable[str]) -> dict[str, object]:
+    """The commonest value of each column, the smallest of ties, None if there is none. Values are counted
+    in groups; no task holds all of a column's."""
+    out: dict[str, object] = {}
+    for c in names:
+        row = df.select(col(c).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").first()
+        out[c] = row and row["v"]
+    return out
+
+
+def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024) -> float | None:
+    """The exact k-th largest value: grouped counts over ever narrower ranges, each of at most
+    ``bins`` rows at the driver. None if there are fewer than k values or k < 1."""
+    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    if k < 1 or n < k:
+        return None
+    x = F.col(column)
+    while low < high:
+        place = F.least(F.lit(bins - 1), F.floor((x - F.lit(low)) / F.lit(high - low) * bins))
+        found = df.filter(x.between(low, high)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+        for row in sorted(found, key=lambda r: -r["b"]):
+            if k <= row["n"]:
+                break
+            k -= row["n"]
+        low, high = row["lo"], row["hi"]
+    return low
+
+
+def median(df: DataFrame, name: str, n: int) -> float | None:
+    """The exact median of a column's ``n`` non-null values, as a double, by narrowing histograms."""
+    values = df.select(col(name).cast("double").alias("v")).filter("v is not null")
+    upper = kth_largest(values, "v", (n + 1) // 2)
+    if upper is None or n % 2:
+        return upper
+    return (upper + kth_largest(values, "v", n // 2 + 1)) / 2
 
 
 def distinct_counts(df: DataFrame, bars: Mapping[str, Iterable[float]], about: Mapping[str, int]) -> dict[str, int]:

@@ -118,3 +118,7 @@ class QueryResult:
         if self.uncut is None or self.limit is None:
             return False
         return self.uncut.limit(self.limit + 1).count() > self.limit
+
+    def empty_note(self) -> str | None:
+        """What to tell where no row matches the filters, else None: one small job."""
+        return "no rows match the filters; relax them or widen their ranges" if self.df.isEmpty() else None

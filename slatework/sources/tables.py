@@ -18,30 +18,42 @@ from slatework.operators.stats import nan_to_null
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file or folder with a header line, every column as text, under its own names.
 
-    Names are read as data, so repeated ones stay as they are until they are normalised. The usual
-    marks of a missing value are null. ValueError unless the name ends in .csv, or without rows."""
+    Fields may be quoted, with doubled quotes, commas and line breaks inside. So a file is read by one
+    task, as a line break may be part of a field; a folder's files are read side by side. Names are read
+    as data, so repeated ones stay as they are until they are normalised. The usual marks of a missing
+    value are null. ValueError unless the name ends in .csv, or without rows."""
     if not path.lower().rstrip("/").endswith(".csv"):
         raise ValueError(f"not a CSV file: {path}")
-    head = spark.read.csv(path, header=False).limit(1).collect()
+    options = {"quote": '"', "escape": '"', "multiLine": True}
+    head = spark.read.csv(path, header=False, **options).limit(1).collect()
     if not head:
         raise ValueError(f"no header in {path}")
     names = [n if n is not None else f"column_{i}" for i, n in enumerate(head[0])]
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    df = spark.read.schema(schema).csv(path, header=True)
+    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options)
     if df.isEmpty():
         raise ValueError(f"no rows in {path}")
     return df.select([F.when(~F.trim(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in df.columns]).toDF(*names)
 
 
 def ingest(spark: SparkSession, path: str, rename: Mapping[str, str] | None = None, semantic_hints: Mapping[str, str] | None = None) -> Cleaned:
-    """A cleaned table from a CSV file, or from Parquet by any other name."""
-    raw = read_csv(spark, path) if path.lower().rstrip("/").endswith(".csv") else spark.read.parquet(path)
-    return clean(raw, rename, semantic_hints)
+    """A cleaned table from a CSV file, or from Parquet by any other name. A CSV file is parsed once: its
+    text goes to Parquet in the shared folder, from which statistics and result are then read."""
+    if not path.lower().rstrip("/").endswith(".csv"):
+        return clean(spark.read.parquet(path), rename, semantic_hints)
+    text, stored = read_csv(spark, path), scratch(spark, "text")
+    text.toDF(*[f"_c{i}" for i in range(len(text.columns))]).write.parquet(stored)
+    return clean(spark.read.parquet(stored).toDF(*text.columns), rename, semantic_hints)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``, or in a temporary one if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slatework-")
+    """A new path in the shared folder of ``spark.checkpoint.dir``. Where that is unset, a local session
+    gets a temporary folder; on a cluster that is a ValueError, as executors could not read it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder for intermediate tables")
+        base = tempfile.mkdtemp(prefix="slatework-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"
 
 

@@ -122,3 +122,50 @@ def test_simple_impute(spark):
     rows = [(1, "b", None), (2, "a", None), (None, None, None)]
     out = C.simple_impute(frame(spark, rows, "n int, t string, u string")).collect()[-1]
     assert (out["n"], out["t"], out["u"]) == (1.5, "a", "Unknown")
+
+
+def test_csv_fields_may_hold_quotes_commas_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('Name,"Said, when",n\n"say ""hi"", ok","two\nlines",1\n,"a\\b",N/A\n"  ", x ,3\n')
+    from slatework.sources import tables
+
+    df = tables.read_csv(spark, str(path))
+    assert df.columns == ["Name", "Said, when", "n"]
+    assert [tuple(r) for r in df.collect()] == [('say "hi", ok', "two\nlines", "1"), (None, "a\\b", None), (None, " x ", "3")]
+    done = tables.ingest(spark, str(path)).df
+    assert done.columns == ["name", "said_when", "n"] and [r["n"] for r in done.collect()] == [1, None, 3]
+
+
+def test_statistics_are_those_of_brute_force(spark):
+    import random
+    import statistics
+
+    from slatework.operators import stats
+
+    r = random.Random(3)
+    values = [r.choice([None, r.gauss(0, 1) ** 5, 0.5, -0.0, 0.0]) for _ in range(400)]
+    words = [r.choice([None, "b", "B", "a", f"w{r.randrange(90)}"]) for _ in range(400)]
+    df = spark.createDataFrame(list(zip(values, words, strict=True)), "v double, w string").repartition(3)
+    real, said = [v for v in values if v is not None], [w for w in words if w is not None]
+    assert stats.median(df, "v", len(real)) == statistics.median(real) and stats.median(df.limit(0), "v", 0) is None
+    assert stats.median(df.filter("v > 1"), "v", sum(v > 1 for v in real)) == statistics.median([v for v in real if v > 1])
+    best = max(said.count(w) for w in said)
+    assert stats.modes(df, ["w"]) == {"w": min(w for w in said if said.count(w) == best)} and stats.modes(df.limit(0), ["w"]) == {"w": None}
+    assert stats.exact_distinct(df, ["v", "w"]) == {"v": len(set(real)), "w": len(set(said))}
+    assert stats.first_values(df, ["w"]) == {"w": sorted(set(said), key=lambda w: (w.lower(), w))[:20]}
+    assert stats.first_values(df.filter("w in ('a', 'B', 'b')"), ["w", "v"], limit=2)["w"] == ["a", "B"]
+
+
+def test_shapes_let_all_texts_of_their_pattern_through(spark):
+    from pyspark.sql import functions as F
+
+    from slatework.functions.text import DATE_PATTERNS, shape
+
+    moments = spark.sql("select explode(sequence(timestamp'1999-01-01 01:02:03', timestamp'2001-01-01', interval 37 hours 11 minutes)) as t")
+    for pattern in filter(None, DATE_PATTERNS):
+        plain = pattern.replace("[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", ".SSS").replace("[XXX][XX]", "XXX")
+        assert moments.filter(~F.date_format("t", plain).rlike(shape(pattern))).count() == 0, pattern
+    odd = ["1/2/2020", "Jan 5, 2020", "jan 5, 2020", "5 January 2020", "2020-1-2T3:4:5.123Z", "2020-1-2 3:4:5+0100", "1/2/2020 3:4:5 pm", "x"]
+    texts = spark.createDataFrame([(x,) for x in odd], "x string")
+    for pattern in filter(None, DATE_PATTERNS):
+        assert texts.filter(F.try_to_timestamp("x", F.lit(pattern)).isNotNull() & ~F.col("x").rlike(shape(pattern))).count() == 0, pattern
