@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.llm.common import sizes, slices
+from slatework.operators.stats import kth_largest
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: The most distinct tokens that a worker remembers.
@@ -138,24 +139,6 @@ def perturb(scored: DataFrame, temperature: float = 1.0, seed: int = 42) -> Data
     return scored.withColumn("gumbel_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u)))
 
 
-def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024) -> float | None:
-    """The exact k-th largest value: grouped counts over ever narrower ranges, each of at most
-    ``bins`` rows at the driver. None if there are fewer than k values or k < 1."""
-    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
-    if k < 1 or n < k:
-        return None
-    x = F.col(column)
-    while low < high:
-        place = F.least(F.lit(bins - 1), F.floor((x - F.lit(low)) / F.lit(high - low) * bins))
-        found = df.filter(x.between(low, high)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
-        for row in sorted(found, key=lambda r: -r["b"]):
-            if k <= row["n"]:
-                break
-            k -= row["n"]
-        low, high = row["lo"], row["hi"]
-    return low
-
-
 def accepted(scored: DataFrame, sure: float = -6.0) -> int:
     """How many documents rejection sampling by the weights is expected to keep, if those with a log
     weight of ``sure`` or more are always kept, and others in proportion to their weights."""
