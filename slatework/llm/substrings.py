@@ -175,9 +175,10 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 0) -> DataF
     what stays of it is at most those ends.
 
     What a document repeats of itself is known without the others: only the first place of each hash
-    in a document takes part in the join. Hashes (of 96 bits) meet in a global aggregate (count and
-    first place, summed before the shuffle), then only repeated ones are joined with the places again;
-    a passage that very many documents share is a skewed join key, which Spark splits. Whole texts
+    in a document takes part in the join. Hashes are counted by a global aggregate, summed before the
+    shuffle, and joined with the places; those that repeat, now by 96 bits, get their first place by a
+    second aggregate. A passage that very many documents share is a skewed join key, which Spark splits.
+    Texts are read twice for this, as keeping all places would take more disk than they do. Whole texts
     cross one shuffle, and only texts that lose something are split again.
 
     Null and empty texts stay. A null doc_id is after all others. Documents that are equal in doc_id
@@ -188,28 +189,39 @@ def remove_repeats(docs: DataFrame, run: int = 2, least_words: int = 0) -> DataF
     told = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.shiftrightunsigned(F.xxhash64("text"), 32))
     keyed = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: told})
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            for part in slices(batch, sizes(batch.column(0)), PART):
+                *_, span, _, again = spans(reader.of(part.column(0).to_pylist()), run, least_words)
+                yield pa.RecordBatch.from_arrays([pa.array(span[~again])], ["span"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in batches:
             for part in slices(batch, sizes(batch.column(2)), PART):
                 units = reader.of(part.column(2).to_pylist())
                 doc, at, length, span, check, again = spans(units, run, least_words)
-                # each text's number of units, as a row of length 0
-                rows = np.append(doc, np.arange(part.num_rows))
-                at, length = np.append(at, np.diff(units.of_docs())), np.append(length, np.zeros(part.num_rows, dtype=np.int64))
-                none = np.append(again, np.ones(part.num_rows, bool))
-                span, check = (np.append(x, np.zeros(part.num_rows, x.dtype)) for x in (span, check))
-                take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(span, mask=none), pa.array(check, mask=none), part.column(0).take(take), part.column(1).take(take), pa.array(at, pa.int32()), pa.array(length, pa.int32())], ["span", "check", "_id", "_text", "at", "length"])
-
-    found = keyed.select(F.col(own).alias("_id"), F.col(key).alias("_text"), "text").mapInArrow(spread, "span long, check int, _id long, _text long, at int, length int")
-    found = materialize(found, "spans")
-    place, here = F.struct("_id", "at", "_text"), found.filter("span is not null")
-    repeated = here.groupBy("span", "check").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
-    repeated = rekeyed(repeated, "n", "span", "check")
-    again = here.join(repeated, ["span", "check"]).filter(~(place == F.col("first"))).select("_id", "_text", "at", "length")
-    known = again.union(found.filter("span is null").select("_id", "_text", "at", "length"))
-    starts = known.groupBy("_id", "_text").agg(F.max(F.when(F.col("length") == 0, F.col("at"))).cast("long").alias("n_sentences"), F.collect_set(F.when(F.col("length") > 0, F.struct("at", "length"))).alias("_go"))
+                # a text's own repeats have negative lengths, and its number of units is a row of length
+                # 0; what stands for their hashes is spread evenly
+                every, none = np.arange(part.num_rows), np.zeros(part.num_rows, dtype=np.int64)
+                other = (part.column(0).to_numpy() ^ part.column(1).to_numpy()) * np.int64(_BASES[0] >> 1)
+                take = pa.array(np.append(doc, every))
+                span = np.append(np.where(again, other[doc] + at, span), other)
+                arrays = [pa.array(span), pa.array(np.append(check, none).astype(np.int32)), part.column(0).take(take), part.column(1).take(take)]
+                arrays += [pa.array(np.append(at, np.diff(units.of_docs())), pa.int32()), pa.array(np.append(np.where(again, -length, length), none), pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, ["span", "check", "_id", "_text", "at", "length"])
+
+    texts = keyed.select(F.col(own).alias("_id"), F.col(key).alias("_text"), "text")
+    twice = texts.select("text").mapInArrow(counted, "span long").groupBy("span").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    twice = materialize(twice, "repeated")
+    found = texts.mapInArrow(placed, "span long, check int, _id long, _text long, at int, length int")
+    found = materialize(found.join(twice, "span", "left").filter("n is not null or length <= 0").drop("n"), "places")
+    place, here = F.struct("_id", "at", "_text"), found.filter("length > 0")
+    first = here.groupBy("span", "check").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    again = here.join(rekeyed(first, "n", "span", "check"), ["span", "check"]).filter(~(place == F.col("first"))).select("_id", "_text", "at", "length")
+    known = again.union(found.filter("length <= 0").select("_id", "_text", "at", "length"))
+    starts = known.groupBy("_id", "_text").agg(F.max(F.when(F.col("length") == 0, F.col("at"))).cast("long").alias("n_sentences"), F.collect_set(F.when(F.col("length") != 0, F.struct("at", F.abs("length").alias("length")))).alias("_go"))
     starts = starts.withColumnsRenamed({"_id": mine, "_text": told_by, "_go": go_by})
     joined = keyed.join(starts, (F.col(own) == F.col(mine)) & (F.col(key) == F.col(told_by)), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "n_sentences", go_by)
     text = docs.columns.index("text")
