@@ -17,9 +17,9 @@ from slatework.operators.stats import kth_largest
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: The most distinct tokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text that are taken at once.
-PART = 4 << 20
+PART = 2 << 20
 _MIX, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
