@@ -299,9 +299,11 @@ def test_odd_vectors_link_with_nothing(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [0, 1500])
+def test_components(spark, hub):
     r = random.Random(6)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(5001, 5050)] + [(7, 7), (None, 3)]
+    edges = [(10_750, 10_000 + i) for i in range(hub)] + [(10_000 + i, 20_000 + i) for i in range(0, hub, 7)]
+    edges += [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, i) for i in range(5001, 5050)] + [(7, 7), (None, 3)]
     root = {}
 
     def find(x):
