@@ -1,7 +1,7 @@
 """Connected components of an edge table, by repeated star contraction.
 
 Every round is a few joins and grouped minima. Edges, labels and components never reach the
-driver; it sees one count and one checksum a round. Each round is written to the shared folder,
+driver; it sees two counts a round. Each round is written to the shared folder,
 so lineage stays short and a lost executor costs one round at most."""
 
 from __future__ import annotations
@@ -11,26 +11,27 @@ from pyspark.sql import functions as F
 
 from slatework.llm.common import discard, materialize
 
-
 #: A node with more than this share of all edges is a hub.
 HUB = 1 / 1024
 
 
 def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """(u, v, m): ``edges`` beside the row of ``least`` (u, m, n) of their u, where n counts u's edges.
+    """(v, m): ``edges`` (u, v) beside the m of ``least`` (u, m, n) for their u, where n counts u's edges.
 
-    Of ``total`` edges, with two ends each, at most 2,048 nodes are hubs. Their rows are broadcast, so
-    that a hub's edges stay where they are; of every other node at most one edge in 1,024 meets in a task."""
+    Of ``total`` edges, with two ends each, at most 2,048 nodes are hubs. Their rows are broadcast, and
+    their edges, which find nothing more in the join, are spread by v; of every other node at most one
+    edge in 1,024 meets in a task. Its place is no constant to Spark, or it would join by u alone."""
     hub = F.col("n") > total * HUB
-    hubs = F.broadcast(least.filter(hub).select("u", "m"))
-    rest = edges.join(hubs, "u", "left_anti").join(least.filter(~hub).select("u", "m"), "u")
-    return edges.join(hubs, "u").select("u", "v", "m").union(rest.select("u", "v", "m"))
+    hubs = F.broadcast(least.filter(hub).select("u", F.col("m").alias("hub_m")))
+    found = edges.join(hubs, "u", "left").withColumn("place", F.when(F.col("hub_m").isNotNull(), F.xxhash64("v")).otherwise(0))
+    rest = least.filter(~hub).select("u", F.when(F.col("n") > 0, F.lit(0).cast("long")).alias("place"), "m")
+    return found.join(rest, ["u", "place"], "left").select("v", F.coalesce("hub_m", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return _with_least(both.filter("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    above = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.union(above).groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(above, least, total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
@@ -39,6 +40,13 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int | None, int]:
+    """(edges, nodes that keep them from being stars: those below several nodes, or both below and above)."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return tuple(nodes.agg(F.sum("below"), F.count(F.when(F.col("below") + F.col("above") > 1, 1))).first())
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): each node of an edge and the smallest node that it can reach.
 
@@ -46,11 +54,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     end are left out, and nodes without an edge to another node are not in the result. No edges
     give an empty table."""
     edges = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, before = materialize(edges, "edges"), None
+    edges = materialize(edges, "edges")
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
+        total, unsettled = _state(edges)
+        if not unsettled:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        new = materialize(_small_star(_large_star(edges, now[0]), now[0]), "edges")
+        new = materialize(_small_star(_large_star(edges, total), total), "edges")
         discard(edges)
-        edges, before = new, now
+        edges = new
