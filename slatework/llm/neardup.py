@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = classes.select("set_key", "place").join(links, "set_key")
     least = named.groupBy("component").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n"))
     named = named.join(rekeyed(least, "n", "component"), "component").select("set_key", "least")
-    own = classes.select("set_key", "place").join(named, "set_key", "left").select("set_key", F.coalesce("least", "place").alias("least"))
+    own = classes.select("set_key", "place", "n_shingles").join(named, "set_key", "left").select("set_key", F.coalesce("least", "place").alias("least"), "n_shingles")
+    own = rekeyed(own, "n_shingles", "set_key")
     out = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(own, "set_key", "left")
     reached = F.when(F.col("least.own_id") < 2**63 - 1, F.col("least.own_id"))
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(reached)
