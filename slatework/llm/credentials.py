@@ -29,7 +29,7 @@ _START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))(?:M[A-P][A-Za-z0-9+/_-]
 _HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])e(?:y[JA]|w[ok0])[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,4}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
-_BREAK = re.compile(r"(?:\\[nr]|[ \t\r\n])*")
+_BREAK, _LINE = re.compile(r"(?:\\[nr]|[ \t\r\n])*"), re.compile(r"(?:(?:\\[nr]|[\r\n])+[ \t]*)?")
 _ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:\\[nr]|\s)*$")
 _END = re.compile(r"(?:\\[nr]|\s)*-----END [A-Z0-9 ]*PRIVATE KEY-----")
 _OPENSSH = b"openssh-key-v1\0"
@@ -100,8 +100,8 @@ def der_key(data: bytes) -> str | None:
     return None
 
 
-def openssh_key(data: bytes) -> bool:
-    """Whether ``data`` is an OpenSSH private key: its counted strings nest and fill it."""
+def openssh_size(data: bytes) -> int | None:
+    """The bytes of the OpenSSH private key that ``data`` begins with, by its counted strings; None if it is none."""
     at, end = len(_OPENSSH), len(data)
 
     def text() -> bytes:
@@ -114,14 +114,15 @@ def openssh_key(data: bytes) -> bool:
 
     try:
         if not data.startswith(_OPENSSH):
-            return False
+            return None
         cipher, kdf, _ = text(), text(), text()
         keys, at = int.from_bytes(data[at : at + 4]), at + 4
         public = [text() for _ in range(min(keys, 64))]
         secret = text()
     except ValueError:
-        return False
-    return bool(cipher and kdf and public) and at == end and len(secret) % 8 == 0 and len(secret) >= 16 and all(p[4 : 4 + int.from_bytes(p[:4])].isascii() for p in public)
+        return None
+    right = cipher and kdf and public and len(secret) % 8 == 0 and len(secret) >= 16 and all(p[4 : 4 + int.from_bytes(p[:4])].isascii() for p in public)
+    return at if right else None
 
 
 def _decoded(run: str) -> bytes:
@@ -130,14 +131,14 @@ def _decoded(run: str) -> bytes:
 
 
 def _gathered(text: str, at: int, wanted: int | None) -> tuple[str, int]:
-    """(base64 letters, end): from ``at`` over line breaks, until there are as many as wanted or, without
-    a number, until something else stands there."""
-    found, n = [], 0
+    """(base64 letters, end): from ``at`` over blanks and line breaks until there are as many as wanted or,
+    without a number, over line breaks until something else stands there."""
+    found, n, between = [], 0, _LINE if wanted is None else _BREAK
     while (run := _RUN.match(text, at)) and (wanted is None or n < wanted):
         part = run[0] if wanted is None else run[0][: wanted - n]
         found.append(part)
         n, end = n + len(part), run.start() + len(part)
-        at = _BREAK.match(text, end).end() if end == run.end() else end
+        at = between.match(text, end).end() if end == run.end() else end
         if wanted is not None and n == wanted or at == end:
             break
     return "".join(found), end
@@ -163,38 +164,40 @@ def _padded(text: str, end: int, letters: int) -> int | None:
     return None if re.compile(r"[A-Za-z0-9+/=]").match(text, end) else end
 
 
+def _confirmed(text: str, at: int, inside: bool) -> tuple[int, str] | None:
+    """(end, form) of the key whose base64 begins at ``at``. Its own lengths say where it ends; more
+    base64 may not follow."""
+    if text[at] == "M":
+        size = _fitting(_decoded(text[at : at + 16]))
+    else:
+        letters = _gathered(text, at, None)[0]
+        data = _decoded(letters[: len(letters) - (len(letters) % 4 == 1)])
+        size = openssh_size(data)
+        if text[at] == "L" and not inside and (inner := next(_keys(armour := data.decode("latin-1"), True), None)):
+            size = len(armour) - len(armour[inner[1] :].lstrip("\r\n"))
+    if size is None or size < 24:
+        return None
+    letters, end = _gathered(text, at, -(-size * 4 // 3))
+    end, data = _padded(text, end, len(letters)), _decoded(letters)
+    form = der_key(data) if text[at] == "M" else "openssh" if text[at] == "b" else f"base64 of {inner[2]}"
+    return (end, form) if end is not None and form and len(data) == size else None
+
+
 def _keys(text: str, inside: bool = False) -> Iterator[tuple[int, int, str]]:
     after = 0
     for found in _START.finditer(text):
         at = found.start()
         if at < after:
             continue
-        if text[at] == "M":
-            size = _fitting(_decoded(text[at : at + 16]))
-            if size is None or size < 24:
-                continue
-            letters, end = _gathered(text, at, -(-size * 4 // 3))
-        else:
-            letters, end = _gathered(text, at, None)
-        end = _padded(text, end, len(letters))
         try:
-            data = _decoded(letters)
+            key = _confirmed(text, at, inside)
         except ValueError:
             continue
-        if end is None:
-            continue
-        if text[at] == "M":
-            kind = der_key(data)
-        elif text[at] == "b":
-            kind = "openssh" if openssh_key(data) else None
-        else:
-            inner = [] if inside else list(_keys(data.decode("latin-1"), True))
-            kind = f"base64 of {inner[0][2]}" if inner else None
-        if kind:
-            armour = _ARMOUR.search(text, max(0, at - 64), at)
-            closed = _END.match(text, end)
-            after = closed.end() if armour and closed else end
-            yield armour.start() if armour and closed else at, after, kind
+        if key:
+            armour, closed = _ARMOUR.search(text, max(0, at - 64), at), _END.match(text, key[0])
+            whole = armour and closed
+            after = closed.end() if whole else key[0]
+            yield armour.start() if whole else at, after, key[1]
     for found in _HEX.finditer(text):
         if len(found[0]) % 2 == 0 and _fitting(bytes.fromhex(found[0][:24])) == len(found[0]) // 2 and (kind := der_key(bytes.fromhex(found[0]))):
             yield found.start(), found.end(), f"hex of {kind}"

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from slatework.llm.common import materialize, rekeyed, whole_groups
 
 #: Components of the smallest segments.
-SEGMENT = 4
+SEGMENT = 2
 #: Anchors and rows whose pairs are bounded at once.
 ANCHORS, ROWS = 256, 4096
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def summarize(table: DataFrame, key: str, vector: str, label: str, anchor: Column, scale: float) -> DataFrame:
-    """(id, label, anchor, v, mean, dev): the scaled vectors and, of each of their segments of four
+    """(id, label, anchor, v, mean, dev): the scaled vectors and, of each of their segments of two
     components, the mean and the deviation (the root of the summed squares about the mean).
 
     Rows take part if they have an id, a label and a vector of finite components, one at least. Of rows
@@ -70,11 +70,13 @@ class Side:
         self.norm = np.sqrt((self.v * self.v).sum(axis=1))
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows, as exact integers; those beyond 64 bits are the nearest that fit."""
+def _exact(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows ``p`` of a and ``q`` of b, as exact integers; those beyond 64 bits are the
+    nearest that fit. Doubles hold them exactly unless the vectors are very large."""
     if a.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0) < 2.0**53:
-        return np.einsum("ij,ij->i", a, b).astype(np.int64)
-    rows = [sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+        many = 8 * len(p) >= len(a) * len(b)
+        return ((a @ b.T)[p, q] if many else np.einsum("ij,ij->i", a[p], b[q])).astype(np.int64)
+    rows = [sum(int(x) * int(y) for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True)) for i, j in zip(p, q, strict=True)]
     return np.array([min(max(r, _LEAST), _MOST) for r in rows], np.int64)
 
 
@@ -113,7 +115,7 @@ def _best(a: Side, b: Side, lows: np.ndarray, highs: np.ndarray, same: bool, mos
             least = np.where(open_, low, _MOST).min(axis=1).astype(np.float64)
             alive &= open_.any(axis=1)[:, None]
             p, q = _left(a, b, i, j, alive, least, np.where(open_, high, _LEAST).max(axis=1).astype(np.float64))
-            score = _exact(a.v[i][p], b.v[j][q])
+            score = _exact(a.v[i], b.v[j], p, q)
             fits = (score[:, None] >= low[p]) & (score[:, None] <= high[p])
             which, slot = np.nonzero(fits)
             found = p[which], slot, b.id[j][q[which]], score[which]
@@ -181,7 +183,7 @@ def mine(
     A component x counts as floor(scale x); a score is the inner product of two rows, an exact integer.
     Ties go to the smaller key. Anchors are the rows where ``anchor`` holds.
 
-    Method: with each vector stand the mean and deviation of its segments of four components; larger
+    Method: with each vector stand the mean and deviation of its segments of two components; larger
     segments' follow from them. The inner product of two segments is their length times the product of
     the means, plus or minus the product of the deviations at most. Pairs are bounded so from one
     segment down to the smallest ones; those that can neither come into an anchor's range nor pass
