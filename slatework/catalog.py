@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.functions.text import display_value, title
-from slatework.operators import aggregate, clean, drill, profile, report
+from slatework.operators import aggregate, clean, drill, profile, report, stats
 from slatework.operators.filters import apply_filters
 from slatework.plans import Filter, QuerySpec
 from slatework.sources import tables
@@ -378,8 +378,7 @@ def missing_report(spark, sf_dir):
 
 @query("""SELECT round(100 - sum((l_orderkey % 7 = 0)::INT + (l_orderkey % 5 = 0)::INT + (l_orderkey % 11 = 0)::INT) / (count(*) * 11.0) * 100, 1) AS quality FROM lineitem""")
 def quality_score(spark, sf_dir):
-    done = clean.clean(_gaps(spark, sf_dir))
-    return spark.createDataFrame([(done.quality,)], "quality double")
+    return spark.createDataFrame([(clean.quality(_gaps(spark, sf_dir)),)], "quality double")
 
 
 # Type repair
@@ -447,6 +446,18 @@ def impute_median_skewed(spark, sf_dir):
     return _filled(rows, {"value": "metric"})
 
 
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 50 = 0 THEN 'Infinity'::DOUBLE ELSE value END END AS up,
+CASE WHEN event_id % 7 <> 0 THEN CASE event_id % 50 WHEN 0 THEN 'Infinity'::DOUBLE WHEN 1 THEN '-Infinity'::DOUBLE ELSE value END END AS ends FROM events)
+SELECT event_id, coalesce(up, 'Infinity'::DOUBLE) AS up, ends, (SELECT round(median(ends), 4) FROM t) AS middle FROM t""")
+def impute_infinite(spark, sf_dir):
+    key, inf = F.col("event_id"), F.lit(float("inf"))
+    up = F.when(key % 50 == 0, inf).otherwise(F.col("value"))
+    ends = F.when(key % 50 == 1, -inf).otherwise(up)
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(key % 7 != 0, up).alias("up"), F.when(key % 7 != 0, ends).alias("ends"))
+    done = clean.impute(rows, {"up": "metric", "ends": "metric"})
+    return done.df.withColumn("middle", F.lit(round(stats.median(rows, "ends", done.rows - done.missing["ends"]), 4)))
+
+
 @query("""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END,
 (SELECT l_tax FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1 ORDER BY count(*) DESC, l_tax LIMIT 1)) AS l_tax FROM lineitem""")
 def impute_mode(spark, sf_dir):

@@ -55,7 +55,7 @@ def to_fraction(c: Column) -> Column:
     return F.replace(c, F.lit("%"), F.lit("")).try_cast("double") / 100
 
 
-def shape(pattern: str) -> str:
+def shape(pattern: str, digits: str = r"\d+", letters: str = r"\p{L}+", offset: str = r"[+-]\d\d(?::?\d\d)?") -> str:
     """A regular expression that every text of a date pattern fits, and few others do."""
     out, at = "", 0
     while at < len(pattern):
@@ -67,17 +67,50 @@ def shape(pattern: str) -> str:
         elif c in "[]":
             out, n = out + ("(?:" if c == "[" else ")?"), 1
         elif c in "yMdHhmsS" and not (c == "M" and n > 2):
-            out += r"[+-]?\d+"
+            out += f"[+-]?{digits}"
         elif c in "Ma":
-            out += r"\p{L}+\.?"
+            out += rf"{letters}\.?"
         elif c == "X":
-            out += r"(?:Z|[+-]\d\d(?::?\d\d)?)"
+            out += f"(?:Z|{offset})"
         else:
             out += re.escape(c * n)
         at += n
     return f"(?i)^{out}$"
 
 
+#: Texts' outlines: each run of digits is a 9, each run of letters an a, but for single letters that some
+#: pattern spells. What an outline fits is decided once for all texts that have it.
+_SPELLED = "TtZzEe"
+
+
+def outline(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"\d+", "9"), rf"[\p{{L}}&&[^{_SPELLED}]]\p{{L}}*|[{_SPELLED}]\p{{L}}+", "a")
+
+
+#: For each of DATE_PATTERNS, what the outlines of its texts fit.
+DATE_OUTLINES = tuple(r"^\s*[Tt]?[+-]?9(?:[-:].*|\s*)$" if p is None else shape(p, "9", f"[a{_SPELLED}]", "[+-]9(?::?9)?") for p in DATE_PATTERNS)
+
+
+def text_kind(c: Column) -> Column:
+    """What a text may be: ``whole`` or ``number`` (as :func:`is_number`), ``spelled`` (only as
+    :func:`to_number`), ``percent``, the outline of a date text, ``time`` (what a cast may take besides), or
+    ``other``. Few different ones, however many texts there are."""
+    form = outline(c)
+    bare = F.regexp_replace(form, r"[\p{Sc},\s]", "")
+    short = (F.length(c) <= 18) | stripped_number(c).rlike(r"^[+-]?\d{1,18}$")
+    dates = "|".join(f"(?:{p.removeprefix('(?i)')})" for p in DATE_OUTLINES[1:])
+    kind = (
+        F.when(bare.rlike(r"^[+-]?9+$"), F.when(short, "whole").otherwise("number"))
+        .when(bare.rlike(r"^[+-]?9+\.9+$"), "number")
+        .when(bare.rlike(r"^[+-]?(9+\.?9*|\.9+)([eE][+-]?9+)?$"), "spelled")
+        .when(form.rlike(r"^9\.?9?%$"), "percent")
+        .when(form.rlike(f"(?i){dates}"), form)
+        .when(form.rlike(DATE_OUTLINES[0]), "time")
+        .otherwise("other")
+    )
+    return F.when(c.rlike(r"\d"), kind).otherwise("other")
+
+
 def to_time(c: Column, pattern: str | None) -> Column:
     """A timestamp by one of DATE_PATTERNS; null where it does not fit. Only texts of the pattern's
     shape are parsed, as a text that does not parse costs an exception."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatework.functions.text import DATE_PATTERNS, any_time, is_number, is_percent, stripped_number, to_fraction, to_number, to_time
+from slatework.functions.text import DATE_OUTLINES, DATE_PATTERNS, any_time, stripped_number, text_kind, to_fraction, to_number, to_time
 from slatework.operators.stats import col, distinct_counts, median, modes, nan_to_null, one_pass
 from slatework.operators.stats import is_number as is_numeric
 
@@ -91,49 +91,74 @@ def _texts(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _each_and_any(fits: list[Column]) -> dict[int | str, Column]:
+def _each_and_any(fits: Mapping[int, Column]) -> dict[int | str, Column]:
     """Flags by their numbers, and whether any is set."""
-    return dict(enumerate(fits)) | {"any": functools.reduce(operator.or_, fits)}
+    return dict(fits) | {"any": functools.reduce(operator.or_, fits.values())}
+
+
+def text_kinds(df: DataFrame, texts: list[str]) -> dict[str, dict[tuple[str | None, bool], int]]:
+    """For each text column the rows by (kind of text, whether it has a currency symbol), None for null: a
+    histogram of a few kinds, from one partial aggregate over all columns."""
+    if not texts:
+        return {}
+    values = F.array(*[F.struct(F.lit(i).alias("i"), col(c).alias("value")) for i, c in enumerate(texts)])
+    kinds = df.select(F.inline(values)).select("i", F.when(F.col("value").isNotNull(), text_kind(F.col("value"))).alias("kind"), F.coalesce(F.col("value").rlike(r"\p{Sc}"), F.lit(False)).alias("symbol"))
+    out: dict[str, dict[tuple[str | None, bool], int]] = {c: {} for c in texts}
+    for row in kinds.groupBy("i", "kind", "symbol").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[texts[row["i"]]][row["kind"], row["symbol"]] = row["n"]
+    return out
+
+
+def date_fits(df: DataFrame, kinds: Mapping[str, Mapping[str, int]], n: Mapping[str, int]) -> dict[tuple[str, int | str], int]:
+    """(column, pattern or "any") -> the values that parse, for the columns of which enough may. Only the
+    patterns that fit some outline are tried, and only the values that have it are parsed: one pass, none
+    if no column can be a time."""
+    wanted = {}
+    for c, found in kinds.items():
+        fitting = {i: sum(k for form, k in found.items() if form in ("whole", "number", "spelled", "time") and i == 0 or re.search(p, form)) for i, p in enumerate(DATE_OUTLINES)}
+        could = sum(k for form, k in found.items() if form in ("whole", "number", "spelled", "time") or any(re.search(p, form) for p in DATE_OUTLINES))
+        if could > 0.7 * n[c]:
+            wanted[c] = [i for i, k in fitting.items() if k]
+    if not wanted:
+        return {}
+    flags = df.select(*[to_time(col(c), DATE_PATTERNS[i]).isNotNull().alias(f"_{j}_{i}") for j, (c, some) in enumerate(wanted.items()) for i in some])
+    return one_pass(flags, {(c, k): F.count_if(x) for j, (c, some) in enumerate(wanted.items()) for k, x in _each_and_any({i: F.col(f"_{j}_{i}") for i in some}).items()})
 
 
 def repair_types(df: DataFrame) -> tuple[DataFrame, list[tuple[str | None, str, int]], dict[str, str]]:
     """Text columns whose values mostly spell numbers, percentages or times become those.
 
-    One pass measures numbers and percentages of all text columns; a second measures the date
-    patterns, only for columns that are neither. Values that do not convert become null. Returns
-    the table, the log and the formats that the text gave away."""
+    One pass counts the kinds of texts in all columns; a second parses dates, only of columns of which
+    enough values look like some and by the patterns that they look like. Values that do not convert
+    become null. Returns the table, the log and the formats that the text gave away."""
     texts = _texts(df)
-    seen = one_pass(df, {(c, k): a for c in texts for k, a in {
-        "all": F.count(F.lit(1)), "n": F.count(col(c)), "number": F.count_if(is_number(col(c))), "symbol": F.count_if(col(c).rlike(r"\p{Sc}")),
-        "percent": F.count_if(is_percent(col(c))), "cast": F.count(to_number(col(c))), "whole": F.count_if(stripped_number(col(c)).rlike(r"^[+-]?\d{1,18}$")),
-    }.items()})
     new: dict[str, Column] = {}
-    log, formats, rest = [], {}, []
-    for c in texts:
-        s = {k: seen[c, k] for k in ("all", "n", "number", "symbol", "percent", "cast", "whole")}
-        if s["n"] and s["number"] > 0.5 * s["n"]:
-            whole = s["whole"] == s["all"]
-            new[c] = stripped_number(col(c)).cast("long") if whole else to_number(col(c))
-            money = has(c, CURRENCY_NAMES) or s["symbol"] > 0.1 * s["n"]
-            log.append((c, f"Converted {c} from {'currency' if money else 'numeric'} text to numbers", s["cast"]))
+    log, formats, rest, rows, n = [], {}, {}, {}, {}
+    for c, found in text_kinds(df, texts).items():
+        count = {k: sum(m for (kind, _), m in found.items() if kind == k) for k, _ in found}
+        rows[c] = sum(count.values())
+        n[c] = rows[c] - count.get(None, 0)
+        whole, number = count.get("whole", 0), count.get("whole", 0) + count.get("number", 0)
+        if n[c] and number > 0.5 * n[c]:
+            new[c] = stripped_number(col(c)).cast("long") if whole == rows[c] else to_number(col(c))
+            money = has(c, CURRENCY_NAMES) or sum(m for (_, symbol), m in found.items() if symbol) > 0.1 * n[c]
+            log.append((c, f"Converted {c} from {'currency' if money else 'numeric'} text to numbers", number + count.get("spelled", 0)))
             if money:
                 formats[c] = "currency"
-        elif s["n"] and s["percent"] > 0.5 * s["n"]:
+        elif n[c] and count.get("percent", 0) > 0.5 * n[c]:
             new[c] = to_fraction(col(c))
             formats[c] = "percentage"
-            log.append((c, f"Converted {c} from percent text to fractions", s["percent"]))
-        elif s["n"]:
-            rest.append(c)
-    fitting = df.select(*[to_time(col(c), p).isNotNull().alias(f"_{i}_{k}") for i, c in enumerate(rest) for k, p in enumerate(DATE_PATTERNS)])
-    fits = one_pass(fitting, {(c, k): F.count_if(x) for i, c in enumerate(rest) for k, x in _each_and_any([F.col(f"_{i}_{k}") for k in range(len(DATE_PATTERNS))]).items()})
+            log.append((c, f"Converted {c} from percent text to fractions", count["percent"]))
+        elif n[c]:
+            rest[c] = {k: m for k, m in count.items() if k not in (None, "other", "percent")}
+    fits = date_fits(df, rest, n)
     for c in rest:
-        n, rows = seen[c, "n"], seen[c, "all"]
-        if fits[c, "any"] <= 0.7 * n:
+        if fits.get((c, "any"), 0) <= 0.7 * n[c]:
             continue
-        first = next((i for i in range(len(DATE_PATTERNS)) if fits[c, i] > 0.7 * n), None)
-        if first is not None and fits[c, first] > 0.7 * rows:
+        first = next((i for i in range(len(DATE_PATTERNS)) if fits.get((c, i), 0) > 0.7 * n[c]), None)
+        if first is not None and fits[c, first] > 0.7 * rows[c]:
             new[c], done = to_time(col(c), DATE_PATTERNS[first]), fits[c, first]
-        elif fits[c, "any"] > 0.7 * rows:
+        elif fits[c, "any"] > 0.7 * rows[c]:
             new[c], done = any_time(col(c)), fits[c, "any"]
         else:
             continue
@@ -221,14 +246,17 @@ def impute(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mappin
         elif n and sure and abs(sample_skew(s["skew"], n)) > 1:
             later[c] = "median"
             log.append((c, f"Filled {k} missing {c} values with the median (high-confidence metric)", k))
+        elif n and sure and math.isnan(s["mean"]):
+            log.append((c, f"Left {k} missing {c} values null (infinities of both signs have no mean)", k))
         elif n and sure:
             fills[c] = round(float(s["mean"]), 4)
-            log.append((c, f"Filled {k} missing {c} values with the mean (high-confidence metric)", k))
+            what = "mean" if math.isfinite(fills[c]) else "mean, which is infinite"
+            log.append((c, f"Filled {k} missing {c} values with the {what} (high-confidence metric)", k))
         else:
             log.append((c, f"Left {k} missing {c} values null (low-confidence imputation)", k))
     fills |= modes(df, [c for c, how in later.items() if how == "mode"])
     fills |= {c: round(median(df, c, seen[c, "n"]), 4) for c, how in later.items() if how == "median"}
-    wide = {c for c, v in fills.items() if float(v) != int(v) and isinstance(df.schema[c].dataType, T.IntegralType)}
+    wide = {c for c, v in fills.items() if isinstance(df.schema[c].dataType, T.IntegralType) and float(v) != int(v)}
     new = {c: F.coalesce(col(c).cast("double") if c in wide else col(c), F.lit(v) if c in wide else F.lit(v).cast(df.schema[c].dataType)) for c, v in fills.items()}
     return Cleaned(df.withColumns(new) if new else df, tuple(log), missing, rows, formats, hints)
 
@@ -244,6 +272,14 @@ def clean(df: DataFrame, rename: Mapping[str, str] | None = None, semantic_hints
     return Cleaned(done.df, (*log, *repaired, *done.actions), done.missing, done.rows, done.formats, hints)
 
 
+def quality(df: DataFrame, rename: Mapping[str, str] | None = None) -> float:
+    """The quality score that :func:`clean` gives, without its other statistics: the types are repaired
+    and missing cells counted, and nothing is filled."""
+    df = repair_types(normalize_headers(nan_to_null(df), rename)[0])[0]
+    rows, *counts = df.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in df.columns]).first()
+    return quality_score(sum(rows - n for n in counts), rows, len(df.columns))
+
+
 def missing_counts(df: DataFrame) -> DataFrame:
     """(column, missing) of columns with missing values, from one aggregate."""
     counts = df.agg(*[F.count_if(col(c).isNull()).alias(c) for c in df.columns])

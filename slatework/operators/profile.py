@@ -44,7 +44,7 @@ def _plain(df: DataFrame) -> list[T.StructField]:
 def column_profile(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mapping[str, str] | None = None, exact: bool = False, fraction: float | None = None) -> DataFrame:
     """A row per column: type, meaning, format, distinct values and up to 20 of them.
 
-    One pass for counts and ranges, two for the values. ``exact`` distinct counts shuffle them all;
+    One pass for counts and ranges, one for the values. ``exact`` distinct counts shuffle them all;
     otherwise they are estimates, exact only near a threshold. ``fraction`` profiles a repeatable
     sample (seed 42) instead of all rows. Nested columns are left out."""
     df = df if fraction is None else df.sample(fraction, seed=42)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import math
+from collections.abc import Iterable, Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +37,17 @@ def one_pass(df: DataFrame, wanted: Mapping[tuple[str, str], Column]) -> dict[tu
     return dict(zip(wanted, row, strict=True))
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column's values as text; both zeros are one."""
+    x = col(name)
+    return (x + 0.0 if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else x).cast("string")
+
+
 def long_values(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """(name, value): the non-null values of columns as text, from one scan; both zeros are one."""
-    fields = [df.schema[c] for c in names]
-    texts = [(col(f.name) + 0.0 if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else col(f.name)).cast("string").alias(f"_{i}") for i, f in enumerate(fields)]
-    pairs = F.array(*[F.struct(F.lit(f.name).alias("name"), F.col(f"_{i}").alias("value")) for i, f in enumerate(fields)])
+    """(name, value): the non-null values of columns as text, from one scan."""
+    names = list(names)
+    texts = [as_text(df, c).alias(f"_{i}") for i, c in enumerate(names)]
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"_{i}").alias("value")) for i, c in enumerate(names)])
     return df.select(*texts).select(F.inline(pairs)).filter("value is not null")
 
 
@@ -50,41 +60,118 @@ def exact_distinct(df: DataFrame, names: Iterable[str]) -> dict[str, int]:
     return {c: 0 for c in names} | {r["name"]: r["n"] for r in found}
 
 
-def first_values(df: DataFrame, names: Iterable[str], limit: int = 20, buckets: int = 64) -> dict[str, list[str]]:
+class Least:
+    """The least distinct texts of a column in case-insensitive order, ``limit`` of them at most. Two of these
+    merge into one by adding the texts of one to the other."""
+
+    def __init__(self, limit: int):
+        self.limit, self.keys = limit, []
+
+    def add(self, texts: pa.Array) -> None:
+        new = pc.unique(texts).drop_null()
+        if len(self.keys) == self.limit:
+            # a text beyond ASCII may change its length in lower case, so each is looked at
+            new = new.filter(pc.or_(pc.less_equal(pc.ascii_lower(new), self.keys[-1][0]), pc.invert(pc.string_is_ascii(new))))
+        if len(new):
+            self.keys = sorted({*self.keys, *((v.lower(), v) for v in new.to_pylist())})[: self.limit]
+
+
+def _least(found: dict[int, Least]) -> Iterator[pa.RecordBatch]:
+    yield from (pa.RecordBatch.from_arrays([pa.array([i] * len(f.keys), pa.int32()), pa.array([v for _, v in f.keys], pa.string())], ["i", "value"]) for i, f in found.items() if f.keys)
+
+
+def first_values(df: DataFrame, names: Iterable[str], limit: int = 20) -> dict[str, list[str]]:
     """The first ``limit`` distinct values of each column as text, in case-insensitive order.
 
-    The least value of each of a few hash buckets, a bounded aggregate, gives a value that the last one
-    wanted is at most; only values up to it, about ``limit`` of them, are then made distinct."""
+    One scan: every task keeps the least ``limit`` values of each column and passes on those; they are
+    merged the same way, a column in a task. No rows are sorted, exploded or shuffled."""
     names = list(names)
     if not names:
         return {}
-    values = long_values(df, names).withColumn("key", F.struct(F.lower("value").alias("l"), F.col("value").alias("v")))
-    least = values.groupBy("name", F.pmod(F.xxhash64("value"), F.lit(max(buckets, 3 * limit))).alias("b")).agg(F.min("key").alias("key"))
-    bars = least.groupBy("name").agg(F.sort_array(F.collect_list("key")).alias("keys")).select("name", F.try_element_at("keys", F.lit(limit)).alias("bar"))
-    few = values.join(F.broadcast(bars), "name").filter(F.col("bar").isNull() | (F.col("key") <= F.col("bar")))
-    found = few.select("name", "key").distinct().groupBy("name").agg(F.slice(F.sort_array(F.collect_list("key")), 1, limit).alias("keys")).collect()
-    return {c: [] for c in names} | {r["name"]: [k["v"] for k in r["keys"]] for r in found}
+    texts = [as_text(df, c).alias(f"_{i}") for i, c in enumerate(names)]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {i: Least(limit) for i in range(len(names))}
+        for batch in batches:
+            for i, f in found.items():
+                f.add(batch.column(i))
+        yield from _least(found)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, Least] = {}
+        for batch in batches:
+            which = batch.column(0).to_numpy()
+            for i in np.unique(which).tolist():
+                found.setdefault(i, Least(limit)).add(batch.column(1).filter(pa.array(which == i)))
+        yield from _least(found)
+
+    kind = "i int, value string"
+    rows = df.select(*texts).mapInArrow(partial, kind).repartition("i").mapInArrow(merged, kind).collect()
+    return {c: [r["value"] for r in rows if r["i"] == i] for i, c in enumerate(names)}
+
+
+#: Items that a column's sketch of frequent values tracks, and how many of them it names.
+TRACKED, NAMED = 8_192, 100
+
+
+def frequent_bound(n: int) -> float:
+    """The most that a sketch of TRACKED items may be wrong about a value's count among ``n``: 3.5 n over its
+    map's size, the power of two of which 3/4 hold the items."""
+    return 3.5 * n / (1 << math.ceil(math.log2(TRACKED / 0.75)))
 
 
 def modes(df: DataFrame, names: Iterable[str]) -> dict[str, object]:
-    """The commonest value of each column, the smallest of ties, None if there is none. Values are counted
-    in groups; no task holds all of a column's."""
+    """The commonest value of each column, the smallest of ties, None if there is none.
+
+    One pass keeps a bounded sketch of frequent values of each column; a second counts exactly those that
+    may be the commonest. A value that the sketch does not name occurs at most twice its bound, or
+    less often than the last one named; a column where that does not decide has its values counted in
+    groups, so that no task holds all of a column's."""
+    names = list(names)
+    if not names:
+        return {}
+    sketch = {c: F.expr(f"approx_top_k({_sql_name(c)}, {NAMED}, {TRACKED})") for c in names}
+    seen = one_pass(df, {(c, k): a for c in names for k, a in {"n": F.count(col(c)), "top": sketch[c]}.items()})
+    likely: dict[str, list[object]] = {}
+    for c in names:
+        found = [(r["item"], r["count"]) for r in seen[c, "top"] or [] if r["item"] is not None]
+        best = max((k for _, k in found), default=0)
+        likely[c] = [v for v, k in found if k >= best - frequent_bound(seen[c, "n"])]
+    same = {(c, i): F.count_if(col(c) == F.lit(v)) for c, values in likely.items() for i, v in enumerate(values)}
+    counts = one_pass(df, same)
     out: dict[str, object] = {}
     for c in names:
-        row = df.select(col(c).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").first()
-        out[c] = row and row["v"]
+        exact = sorted(((-counts[c, i], v) for i, v in enumerate(likely[c])), key=lambda x: x)
+        named = seen[c, "top"] or []
+        unnamed = max(2 * frequent_bound(seen[c, "n"]), named[-1]["count"] if len(named) == NAMED else 0)
+        if exact and -exact[0][0] > unnamed:
+            out[c] = exact[0][1]
+        else:
+            row = df.select(col(c).alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").first()
+            out[c] = row and row["v"]
     return out
 
 
+def _sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024) -> float | None:
     """The exact k-th largest value: grouped counts over ever narrower ranges, each of at most
-    ``bins`` rows at the driver. None if there are fewer than k values or k < 1."""
-    low, high, n = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    ``bins`` rows at the driver. Infinities count as ends of the order. None if there are fewer than k
+    values or k < 1; no column value may be NaN."""
+    x, inf = F.col(column), float("inf")
+    finite = F.when(F.abs(x) != inf, x)
+    low, high, n, top, bottom = df.agg(F.min(finite), F.max(finite), F.count(x), F.count_if(x == inf), F.count_if(x == -inf)).first()
     if k < 1 or n < k:
         return None
-    x = F.col(column)
+    if k <= top or k > n - bottom:
+        return inf if k <= top else -inf
+    k -= top
     while low < high:
-        place = F.least(F.lit(bins - 1), F.floor((x - F.lit(low)) / F.lit(high - low) * bins))
+        # ranges beyond the largest double are measured by halves
+        part = (x - F.lit(low)) / F.lit(high - low) if math.isfinite(high - low) else (x / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+        place = F.least(F.lit(bins - 1), F.floor(part * bins))
         found = df.filter(x.between(low, high)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
         for row in sorted(found, key=lambda r: -r["b"]):
             if k <= row["n"]:
@@ -95,12 +182,14 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024) -> float |
 
 
 def median(df: DataFrame, name: str, n: int) -> float | None:
-    """The exact median of a column's ``n`` non-null values, as a double, by narrowing histograms."""
-    values = df.select(col(name).cast("double").alias("v")).filter("v is not null")
+    """The exact median of a column's ``n`` values that are neither null nor NaN, as a double, by narrowing
+    histograms. Between infinities of both signs it is NaN."""
+    values = df.select(col(name).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     upper = kth_largest(values, "v", (n + 1) // 2)
     if upper is None or n % 2:
         return upper
-    return (upper + kth_largest(values, "v", n // 2 + 1)) / 2
+    lower = kth_largest(values, "v", n // 2 + 1)
+    return (upper + lower) / 2 if math.isfinite(upper + lower) else upper / 2 + lower / 2
 
 
 def distinct_counts(df: DataFrame, bars: Mapping[str, Iterable[float]], about: Mapping[str, int]) -> dict[str, int]:

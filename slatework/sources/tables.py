@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from dataclasses import replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,37 +16,80 @@ from pyspark.sql import types as T
 from slatework.functions.text import NA_TOKENS
 from slatework.operators.clean import Cleaned, clean
 from slatework.operators.stats import nan_to_null
+from slatework.sources.records import line_end, lines, records, scanned
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file or folder with a header line, every column as text, under its own names.
+_CSV = {"quote": '"', "escape": '"', "columnPruning": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_record"}
 
-    Fields may be quoted, with doubled quotes, commas and line breaks inside. So a file is read by one
-    task, as a line break may be part of a field; a folder's files are read side by side. Names are read
-    as data, so repeated ones stay as they are until they are normalised. The usual marks of a missing
-    value are null. ValueError unless the name ends in .csv, or without rows."""
+
+def read_csv(spark: SparkSession, path: str, extra: str = "raise") -> DataFrame:
+    """A CSV file or folder with a header line in each file, every column as text, under its own names.
+
+    Fields may be quoted, with doubled quotes, commas and line breaks inside. Many tasks read a file:
+    if no line leaves a quoted field open, lines are records, and Spark's reader takes them; else :func:`records` finds the true
+    records of every split. Names are read as data, so repeated ones stay as they are until they
+    are normalised. The usual marks of a missing value are null, and so are fields that a row lacks.
+
+    A row with more fields than the header fails the job that reads it; :func:`ingest` makes it a
+    ValueError. With ``extra="keep"`` it stays, and column ``extra_fields`` holds its whole text; the column is there if there are such rows.
+    ValueError unless the name ends in .csv, or without rows."""
     if not path.lower().rstrip("/").endswith(".csv"):
         raise ValueError(f"not a CSV file: {path}")
-    options = {"quote": '"', "escape": '"', "multiLine": True}
-    head = spark.read.csv(path, header=False, **options).limit(1).collect()
+    head = spark.read.csv(path, header=False, quote='"', escape='"', multiLine=True).limit(1).collect()
     if not head:
         raise ValueError(f"no header in {path}")
-    names = [n if n is not None else f"column_{i}" for i, n in enumerate(head[0])]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    df = spark.read.schema(schema).csv(path, header=True, enforceSchema=True, **options)
-    if df.isEmpty():
-        raise ValueError(f"no rows in {path}")
-    return df.select([F.when(~F.trim(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in df.columns]).toDF(*names)
-
-
-def ingest(spark: SparkSession, path: str, rename: Mapping[str, str] | None = None, semantic_hints: Mapping[str, str] | None = None) -> Cleaned:
+    names = [(n.removeprefix("\ufeff") if i == 0 else n) if n is not None else f"column_{i}" for i, n in enumerate(head[0])]
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_record", T.StringType())])
+    text = lines(spark, path)
+    end = line_end(text)
+    if end is None:
+        df = records(text).select(F.from_csv("record", ", ".join(f"{c} string" for c in schema.names), _CSV).alias("r")).select("r.*")
+    else:
+        df = spark.read.schema(schema).options(**_CSV, header="true", enforceSchema="true", lineSep=end).csv(path)
+    # Spark reads no record text on its own, so a field is looked at too
+    odd = F.col("_record").isNotNull() & (F.length(F.coalesce("_c0", F.lit(""))) >= 0)
+    over = F.when(odd, scanned(F.col("_record"))["fields"] > len(names)).otherwise(False)
+    if extra == "raise":
+        told = F.concat(F.lit(f"{TOO_MANY} ({len(names)}): "), F.substring("_record", 1, 200))
+        df = df.filter(F.coalesce(F.when(over, F.raise_error(told).cast("boolean")), F.lit(True)))
+    kept = [F.when(~F.trim(c).isin(*NA_TOKENS), F.col(c)).alias(c) for c in df.columns[:-1]]
+    with refusing():
+        if df.isEmpty():
+            raise ValueError(f"no rows in {path}")
+        if extra == "keep" and not df.filter(over).isEmpty():
+            return df.select(*kept, F.when(over, F.col("_record"))).toDF(*names, "extra_fields")
+    return df.select(*kept).toDF(*names)
+
+
+#: What an error says of a row with more fields than the header.
+TOO_MANY = "a row has more fields than the header"
+
+
+@contextlib.contextmanager
+def refusing() -> Iterator[None]:
+    """Errors of jobs that are due to rows with too many fields become ValueErrors."""
+    try:
+        yield
+    except PySparkException as e:
+        if TOO_MANY in str(e):
+            raise ValueError(str(e)[str(e).index(TOO_MANY) :].split("\n")[0][:300]) from None
+        raise
+
+
+def ingest(spark: SparkSession, path: str, rename: Mapping[str, str] | None = None, semantic_hints: Mapping[str, str] | None = None, extra: str = "raise") -> Cleaned:
     """A cleaned table from a CSV file, or from Parquet by any other name. A CSV file is parsed once: its
-    text goes to Parquet in the shared folder, from which statistics and result are then read."""
+    text goes to Parquet in the shared folder, from which statistics and result are then read. Rows with
+    too many fields raise ValueError or, with ``extra="keep"``, are kept and logged."""
     if not path.lower().rstrip("/").endswith(".csv"):
         return clean(spark.read.parquet(path), rename, semantic_hints)
-    text, stored = read_csv(spark, path), scratch(spark, "text")
-    text.toDF(*[f"_c{i}" for i in range(len(text.columns))]).write.parquet(stored)
-    return clean(spark.read.parquet(stored).toDF(*text.columns), rename, semantic_hints)
+    text, stored = read_csv(spark, path, extra), scratch(spark, "text")
+    with refusing():
+        text.toDF(*[f"_c{i}" for i in range(len(text.columns))]).write.parquet(stored)
+    done = clean(spark.read.parquet(stored).toDF(*text.columns), rename, semantic_hints)
+    if extra == "keep" and text.columns[-1] == "extra_fields":
+        n = done.rows - done.missing.get("extra_fields", 0)
+        return replace(done, actions=(("extra_fields", f"Kept {n} rows with more fields than the header", n), *done.actions))
+    return done
 
 
 def scratch(spark: SparkSession, name: str) -> str:

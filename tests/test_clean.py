@@ -3,6 +3,7 @@
 import pytest
 
 from slatework.operators import clean as C
+from slatework.operators import stats as S
 
 
 def frame(spark, rows, schema):
@@ -169,3 +170,52 @@ def test_shapes_let_all_texts_of_their_pattern_through(spark):
     texts = spark.createDataFrame([(x,) for x in odd], "x string")
     for pattern in filter(None, DATE_PATTERNS):
         assert texts.filter(F.try_to_timestamp("x", F.lit(pattern)).isNotNull() & ~F.col("x").rlike(shape(pattern))).count() == 0, pattern
+
+
+def test_infinities_end_and_fill(spark):
+    inf = float("inf")
+    rows = [(float(i) + 0.5, float(i) + 0.25) for i in range(20)] + [(inf, inf), (0.5, -inf), (None, None)]
+    done = C.impute(frame(spark, rows, "up double, both double"), {"up": "metric", "both": "metric"})
+    assert [tuple(r) for r in done.df.collect()][-1] == (inf, None)
+    assert "infinite" in done.actions[0][1] and "both signs" in done.actions[1][1]
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, float("inf")], [-1e308, 1e308], [-1.2e308, 0.0, 1.2e308], [float("inf")] * 3, [-float("inf"), 1.0, 2.0, 3.0], [5e-324, 0.0, 1e-323], [1e308, 1.7e308], []])
+def test_medians_of_extremes(spark, values):
+    import statistics
+
+    got = S.median(frame(spark, [(v,) for v in [*values, float("nan")]], "x double"), "x", len(values))
+    assert got == (statistics.median(values) if len(values) != 2 or max(values) < 1.7e308 else 1.35e308) if values else got is None
+
+
+def test_modes_take_two_jobs_and_are_exact(spark):
+    rows = [(i % 3, f"v{i % 50}", float(i), None, "b" if i % 2 else "a") for i in range(1000)] + [(None, "v7", None, None, None)]
+    df = frame(spark, rows, "few int, `some name` string, all_once double, nothing string, tie string")
+    assert S.modes(df, df.columns) == {"few": 0, "some name": "v7", "all_once": 0.0, "nothing": None, "tie": "a"}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    assert S.modes(df, ["few", "some name", "tie"]) and len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(jobs) <= 4
+
+
+def test_a_crowded_sketch_leaves_it_to_counts(spark, monkeypatch):
+    monkeypatch.setattr(S, "TRACKED", 12)
+    monkeypatch.setattr(S, "NAMED", 3)
+    df = spark.range(5000).selectExpr("if(id % 100 = 0, -1, id) as x", "id % 2000 as y", "if(id % 3 = 0, 7, id) as z")
+    assert S.modes(df, df.columns) == {"x": -1, "y": 0, "z": 7}
+
+
+def test_text_kinds_are_those_of_the_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from slatework.functions import text as X
+
+    samples = ["1", "-12", "1.", ".5", "1e5", "$1,234.50", "€ 5", "1 2", "5%", "5.%", "1.5%", "-5%", "abc", "", "a1", "2021", "2021-1-2", "2021-01-02 3:04", "2021-01-02T03:04:05Z", "2021-01-02t03:04:05.123+0530", "2021-01-02 03:04:05.5 +01:00", "1/2/2021", "1/2/2021 3:04:05 pm", "Jan 5, 2021", "5 Sept 2021", "2021 Jan 5 3:04:05 PM", "T 5", "12:30", "T12:30:00", "9" * 18, "9" * 19, "+" + "9" * 18, "$" + "9" * 18, "1-2", "x 2021-01-02", "5 é 2021", "٣", "1.5.2", "2021-W01", "--5"]
+    df = frame(spark, [(s,) for s in samples], "s string")
+    c = F.col("s")
+    times = [X.to_time(c, p).isNotNull().alias(f"p{i}") for i, p in enumerate(X.DATE_PATTERNS)]
+    for r in df.select("s", X.text_kind(c).alias("kind"), X.is_number(c).alias("number"), X.is_percent(c).alias("percent"), X.to_number(c).isNotNull().alias("spelled"), X.stripped_number(c).rlike(r"^[+-]?\d{1,18}$").alias("whole"), *times).collect():
+        k = r["kind"]
+        assert (k in ("whole", "number")) == r["number"] and (k == "whole") == r["whole"] and (k in ("whole", "number", "spelled")) == r["spelled"], r
+        assert (k == "percent") == r["percent"], r
+        for i, p in enumerate(X.DATE_OUTLINES):
+            if r[f"p{i}"]:
+                assert i == 0 and k in ("whole", "number", "spelled", "time") or C.re.search(p, k), (r["s"], k, i)
