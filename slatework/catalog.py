@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,12 @@ def agg_median(spark, sf_dir):
     return asked(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", aggregation="median")
 
 
+@query("""SELECT l_returnflag, round(median(l_extendedprice), 4) AS l_extendedprice, round(median(CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END), 4) AS l_tax FROM lineitem GROUP BY 1""")
+def agg_median_of_large_groups(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_tax", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_tax")))
+    return rounded(aggregate.grouped_medians(lines, "l_returnflag", ["l_extendedprice", "l_tax"], large=1000), 4)
+
+
 @query("SELECT o_orderpriority, count(o_totalprice) AS o_totalprice FROM orders GROUP BY 1")
 def agg_count(spark, sf_dir):
     return asked(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", aggregation="count")
@@ -282,6 +289,21 @@ def share_of_total(spark, sf_dir):
     return shares.select("o_orderpriority", F.round("o_totalprice", 2).alias("o_totalprice"), F.round("share", 6).alias("share"))
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 30")
+def page_after_key(spark, sf_dir):
+    orders, order, last = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["-o_totalprice", "o_orderkey"], None
+    for _ in range(3):
+        last = aggregate.cursor(aggregate.page_after(orders, order, last), order)
+    return aggregate.page_after(orders, order, last)
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_custkey, o_orderkey LIMIT 50 OFFSET 50""")
+def drilldown_next_rows(spark, sf_dir):
+    orders, order, wanted = table(spark, sf_dir, "orders"), ["o_custkey", "o_orderkey"], [Filter("o_orderstatus", "eq", "F")]
+    last = aggregate.cursor(drill.drilldown(orders, wanted, order)[0], order)
+    return drill.drilldown(orders, wanted, order, last=last)[0].select("o_orderkey", "o_custkey")
+
+
 # Drill-down
 
 
@@ -509,6 +531,28 @@ def csv_ingest(spark, sf_dir):
     return done.select("o_orderkey", F.round("total_price", 2).alias("total_price"), F.date_format("ordered", "yyyy-MM-dd").alias("ordered"), F.col("status_code").cast("long").alias("status_code"), "note")
 
 
+@query("""SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 4 = 1 THEN o_orderstatus || chr(10) || 'next, line' ELSE o_orderstatus END AS status,
+CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE CAST(o_custkey AS BIGINT) END AS customer,
+CASE WHEN o_orderkey % 10 = 5 THEN o_orderkey || ',' || CASE WHEN o_orderkey % 4 = 1 THEN '"' || o_orderstatus || chr(10) || 'next, line"' ELSE o_orderstatus END || ',' || o_custkey || ',,more' END AS extra_fields,
+'Kept ' || (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 5) || ' rows with more fields than the header' AS log FROM orders""")
+def csv_extra_fields(spark, sf_dir):
+    key, path = F.col("o_orderkey"), tables.scratch(spark, "extra.csv")
+    status = F.when(key % 4 == 1, F.concat(F.lit('"'), "o_orderstatus", F.lit('\nnext, line"'))).otherwise(F.col("o_orderstatus"))
+    rest = F.when(key % 10 == 5, F.concat(F.lit(","), "o_custkey", F.lit(",,more"))).when(key % 10 == 3, "").otherwise(F.concat(F.lit(","), "o_custkey"))
+    records = table(spark, sf_dir, "orders").select(F.concat(key.cast("string"), F.lit(","), status, rest).alias("value"))
+    # a folder of files, each with a header of its own
+    headed = records.mapInArrow(_with_header, "value string")
+    headed.write.text(path)
+    done = tables.ingest(spark, path, extra="keep")
+    return done.df.select("order_key", "status", F.col("customer").cast("long").alias("customer"), "extra_fields").withColumn("log", F.lit(done.actions[0][1]))
+
+
+def _with_header(batches):
+    for i, batch in enumerate(batches):
+        yield from [pa.RecordBatch.from_pydict({"value": ["Order Key,Status,Customer"]})] * (i == 0)
+        yield batch
+
+
 @query("""SELECT CAST(0 AS BIGINT) AS seq, NULL AS "column", 'Normalized 1 column headers' AS action, CAST(1 AS BIGINT) AS affected
 UNION ALL SELECT 1, 'price', 'Converted price from currency text to numbers', count(*) FROM orders
 UNION ALL SELECT 2, 'share', 'Converted share from percent text to fractions', count(*) FILTER (WHERE o_orderkey % 9 <> 0) FROM orders
@@ -545,6 +589,22 @@ def report_long(spark, sf_dir):
     return rounded(report.build_report(table(spark, sf_dir, "orders"), specs))
 
 
+@query("""WITH f AS (SELECT * FROM lineitem WHERE l_quantity >= 10)
+SELECT 'flag' AS widget, 'l_tax' AS metric, l_returnflag AS label, round(sum(l_tax), 2) AS value FROM f GROUP BY 3
+UNION ALL SELECT 'flag', 'l_quantity', l_returnflag, round(sum(l_quantity), 2) FROM f GROUP BY 3
+UNION ALL SELECT 'line', 'l_tax', CAST(l_linenumber AS VARCHAR), max(l_tax) FROM f GROUP BY 3
+UNION ALL SELECT 'month', 'l_quantity', strftime(l_shipdate, '%Y'), round(avg(l_quantity), 2) FROM f GROUP BY 3
+UNION ALL SELECT 'all', 'l_quantity', l_linestatus, round(avg(l_quantity), 2) FROM lineitem GROUP BY 3
+UNION ALL SELECT 'middle', 'l_quantity', l_linestatus, median(l_quantity) FROM lineitem GROUP BY 3""")
+def report_of_filtered_rows(spark, sf_dir):
+    some = (Filter("l_quantity", "gte", 10),)
+    specs = {
+        "flag": QuerySpec("l_returnflag", ("l_tax", "l_quantity"), filters=some), "line": QuerySpec("l_linenumber", "l_tax", "max", filters=some), "month": QuerySpec("l_shipdate", "l_quantity", "mean", filters=some),
+        "all": QuerySpec("l_linestatus", "l_quantity", "mean"), "middle": QuerySpec("l_linestatus", "l_quantity", "median"),
+    }
+    return rounded(report.build_report(table(spark, sf_dir, "lineitem"), specs))
+
+
 @query("""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
 CASE WHEN l_extendedprice >= 1e6 THEN format('${:.1f}M', l_extendedprice / 1e6) WHEN l_extendedprice >= 1e3 THEN format('${:.1f}K', l_extendedprice / 1e3) ELSE format('${:.0f}', l_extendedprice) END AS price,
 format('{:.1f}%', l_discount * 100) AS discount FROM lineitem""")
@@ -697,19 +757,24 @@ def impute_nothing(spark, sf_dir):
 # Whole profiles, shapes, display
 
 
-@query("""SELECT count(*) AS n_rows, 6 AS n_columns, round(sum(o_totalprice), 2) AS total, strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') AS start FROM orders""")
+@query("""SELECT 'rows' AS fact, '' AS name, CAST(count(*) AS VARCHAR) AS value FROM orders UNION ALL SELECT 'columns', '', '6' FROM orders GROUP BY ALL HAVING count(*) > 0
+UNION ALL SELECT 'total', 'o_totalprice', format('{:.2f}', sum(o_totalprice)) FROM orders UNION ALL SELECT 'start', 'o_orderdate', strftime(min(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders
+UNION ALL SELECT 'end', 'o_orderdate', strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') FROM orders""")
 def whole_profile(spark, sf_dir):
     found = profile.profile(table(spark, sf_dir, "orders"))
-    both = found["metrics"].filter("name = 'o_totalprice'").crossJoin(found["time_range"])
-    return rounded(both.select(F.lit(found["rows"]).alias("n_rows"), F.lit(found["columns"]).alias("n_columns"), "total", "start")).withColumn("n_columns", F.col("n_columns").cast("int"))
+    facts = spark.createDataFrame([("rows", "", str(found["rows"])), ("columns", "", str(found["columns"]))], "fact string, name string, value string")
+    totals = found["metrics"].filter("name = 'o_totalprice'").select(F.lit("total").alias("fact"), "name", F.format_string("%.2f", "total").alias("value"))
+    times = [found["time_range"].select(F.lit(end).alias("fact"), F.col("column").alias("name"), F.col(end).alias("value")) for end in ("start", "end")]
+    return facts.union(totals).union(times[0]).union(times[1])
 
 
-@query("""SELECT 'customer_key' AS name, 'Customer Key' AS title, count(*) > 0 AS sampled FROM customer UNION ALL SELECT 'market_segment', 'Market Segment', count(*) > 0 FROM customer""")
+@query("""WITH s AS (SELECT * FROM customer WHERE c_custkey % 3 = 1)
+SELECT 'customer_key' AS name, 'Customer Key' AS title, 'identifier' AS semantic_type, count(DISTINCT c_custkey) AS unique_count, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS v FROM s ORDER BY v LIMIT 20)) AS sample FROM s
+UNION ALL SELECT 'market_segment', 'Market Segment', 'categorical', count(DISTINCT c_mktsegment), (SELECT string_agg(v, '|' ORDER BY lower(v), v) FROM (SELECT DISTINCT c_mktsegment AS v FROM s ORDER BY lower(v), v LIMIT 20)) FROM s""")
 def sampled_profile(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").selectExpr("c_custkey AS customer_key", "c_mktsegment AS market_segment")
-    found = profile.column_profile(customers, fraction=0.5)
-    n = customers.count()
-    return found.select("name", title(F.col("name")).alias("title"), ((F.col("unique_count") > 0) & (F.col("unique_count") < n)).alias("sampled"))
+    found = profile.column_profile(customers, exact=True, where=F.col("customer_key") % 3 == 1)
+    return found.select("name", title(F.col("name")).alias("title"), "semantic_type", "unique_count", F.array_join("sample_values", "|").alias("sample"))
 
 
 @query("""WITH t AS (SELECT o_orderpriority AS p, round(sum(o_totalprice), 2) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
@@ -725,6 +790,16 @@ def chart_shapes(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query("""WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT k, n FROM t ORDER BY k LIMIT 300)
+SELECT 'table' AS shape, CAST(k AS VARCHAR) AS x, CAST(n AS DOUBLE) AS y FROM (SELECT * FROM f ORDER BY k LIMIT 100) UNION ALL SELECT 'mapping', CAST(k AS VARCHAR), CAST(n AS DOUBLE) FROM (SELECT * FROM f ORDER BY k LIMIT 50)""")
+def chart_shapes_are_capped(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy("o_custkey").limit(300)
+    pairs = {r["o_custkey"]: r["n"] for r in counts.collect()}
+    shapes = {"table": report.to_chart_shape(counts), "mapping": report.to_chart_shape(pairs, spark)}
+    parts = [s.df.select(F.lit(name).alias("shape"), F.col(s.x).cast("string").alias("x"), F.col(s.ys[0]).cast("double").alias("y")) for name, s in shapes.items()]
+    return parts[0].union(parts[1])
+
+
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice * 1e5 >= 1e9 THEN format('{:.1f}B', o_totalprice * 1e5 / 1e9) ELSE format('{:.1f}M', o_totalprice * 1e5 / 1e6) END AS shown FROM orders
 WHERE o_totalprice >= 1000""")
 def display_billions(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.operators.filters import apply_filters
+from slatework.operators.scratch import stored
 from slatework.plans.spec import QueryResult, QuerySpec
 
 _TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -25,8 +26,8 @@ def _numeric(df: DataFrame, c: str) -> bool:
 
 
 def aggregate_of(c: Column, how: str, approximate: bool = False) -> Column:
-    """One aggregate; a sum over nothing is 0. Exact medians keep a group's values together; an
-    approximate one keeps a sketch of bounded size."""
+    """One aggregate; a sum over nothing is 0. An exact median here keeps a group's values together
+    (see :func:`grouped_medians`); an approximate one keeps a sketch of bounded size."""
     if how == "sum":
         return F.coalesce(F.sum(c), F.lit(0))
     if how == "median":
@@ -39,11 +40,71 @@ def _y_names(spec: QuerySpec, label: str) -> dict[str, str]:
     return {y: y if y != label else f"{y}_{spec.aggregation}" for y in dict.fromkeys(spec.ys)}
 
 
+#: Rows above which a group's exact median is narrowed down instead of gathering its values in a task.
+LARGE_GROUP = 1_000_000
+
+
+def grouped_medians(df: DataFrame, key: str, ys: list[str], large: int | None = None, bins: int = 256) -> DataFrame:
+    """(key, ys...): the exact medians of numbers by a key, null where a group has no value.
+
+    Groups of at most ``large`` rows are aggregated as usual. The few larger ones, no more than the
+    rows over ``large``, are narrowed down side by side: counts by (group, bin of its range) are added up
+    before they are shuffled, and each group's next range is that of the bin that holds its middle. A
+    range of one value ends a group. So no task gathers the values of a large group. Without large groups,
+    which one count tells, there is a single aggregate. NaN counts as missing."""
+    large = LARGE_GROUP if large is None else large
+    k, values = _named(key), {y: F.when(~F.isnan(_named(y).cast("double")), _named(y).cast("double")) for y in ys}
+    rows = df.select(k.alias("_k"), *[v.alias(f"_{i}") for i, v in enumerate(values.values())])
+    counts = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > large)
+    usual = [F.median(f"_{i}").alias(f"_{i}") for i in range(len(ys))]
+    named = [F.col("_k").alias(key), *[F.col(f"_{i}").alias(y) for i, y in enumerate(ys)]]
+    if counts.isEmpty():
+        return rows.groupBy("_k").agg(*usual).select(*named)
+    crowded = stored(counts.select("_k", F.lit(True).alias("_large")), "crowded")
+    split = rows.join(crowded, rows["_k"].eqNullSafe(crowded["_k"]), "left").drop(crowded["_k"])
+    small = split.filter("_large is null").drop("_large").groupBy("_k").agg(*usual)
+    most = crowded.select("_k")
+    for i in range(len(ys)):
+        found = _narrowed(split.filter("_large").select("_k", F.col(f"_{i}").alias("v")), bins).withColumnRenamed("m", f"_{i}")
+        most = most.join(found.withColumnRenamed("_k", "_g"), F.col("_k").eqNullSafe(F.col("_g")), "left").drop("_g")
+    return small.unionByName(most).select(*named)
+
+
+def _narrowed(rows: DataFrame, bins: int) -> DataFrame:
+    """(_k, m): exact medians of v by _k. A group's range, and how many values of it are to be left below
+    the middle, are a row of a small table that is written once a round."""
+    v, inf = F.col("v"), float("inf")
+    finite = F.when(F.abs(v) != inf, v)
+    state = rows.filter("v is not null").groupBy("_k").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("v").alias("n"), F.count_if(v == -inf).alias("below"), F.count_if(v == inf).alias("above"))
+    middle = F.floor((F.col("n") + 1) / 2).cast("long")
+    state = state.withColumn("rank", middle - F.col("below"))
+    state = state.withColumn("end", F.when(F.col("rank") <= 0, -inf).when(F.col("rank") > F.col("n") - F.col("below") - F.col("above"), inf))
+    state = stored(state.withColumns({"lo": F.coalesce("end", "lo"), "hi": F.coalesce("end", "hi")}).drop("end", "above", "below"), "ranges")
+    while not (wide := state.filter("lo < hi")).isEmpty():
+        span = F.col("hi") / 2 - F.col("lo") / 2
+        part = F.when(span > 0, (v / 2 - F.col("lo") / 2) / span).otherwise(F.when(v == F.col("lo"), 0.0).otherwise(1.0))
+        place = F.least(F.lit(bins - 1), F.floor(part * bins))
+        inside = rows.join(wide.withColumnRenamed("_k", "_g"), v.between(F.col("lo"), F.col("hi")) & F.col("_k").eqNullSafe(F.col("_g")))
+        counted = inside.groupBy("_k", "n", "rank", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = F.sum("c").over(Window.partitionBy("_k").orderBy("bin"))
+        holding = counted.withColumn("upto", upto).filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+        state = stored(state.filter("lo = hi").unionByName(holding.select("_k", "lo", "hi", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))), "ranges")
+    # of an even number of values the next one counts too: the same again, or the least above it
+    found = state.select(F.col("_k").alias("_g"), "n", F.col("lo").alias("first"))
+    after = rows.join(found, F.col("_k").eqNullSafe(F.col("_g"))).groupBy("_k", "n", "first").agg(F.count_if(v <= F.col("first")).alias("upto"), F.min(F.when(v > F.col("first"), v)).alias("next"))
+    second = F.when((F.col("n") % 2 == 1) | (F.col("upto") > F.floor(F.col("n") / 2)), F.col("first")).otherwise(F.col("next"))
+    whole = F.col("first") + second
+    return after.select("_k", F.when(F.abs(whole) != inf, whole / 2).otherwise(F.col("first") / 2 + second / 2).alias("m"))
+
+
 def grouped(df: DataFrame, x: Column, label: str, spec: QuerySpec) -> DataFrame:
-    """A row per non-null x with all aggregates; one partial and one final aggregation."""
+    """A row per non-null x with all aggregates; one partial and one final aggregation, but for exact
+    medians (:func:`grouped_medians`)."""
     names = _y_names(spec, label)
-    aggs = [aggregate_of(_named(y), spec.aggregation, spec.approximate).alias(n) for y, n in names.items()]
-    return df.select(x.alias("_x"), *[_named(y) for y in names]).filter("_x is not null").groupBy("_x").agg(*aggs)
+    rows = df.select(x.alias("_x"), *[_named(y).alias(n) for y, n in names.items()]).filter("_x is not null")
+    if spec.aggregation == "median" and not spec.approximate:
+        return grouped_medians(rows, "_x", list(names.values()))
+    return rows.groupBy("_x").agg(*[aggregate_of(_named(n), spec.aggregation, spec.approximate).alias(n) for n in names.values()])
 
 
 def time_label(c: Column, whole_days: bool) -> Column:
@@ -59,6 +120,50 @@ def period_label(c: Column, period: str) -> Column:
     return F.date_format(c, "yyyy" if period == "year" else "yyyy-MM")
 
 
+def partials(names: list[str], how: str) -> list[Column]:
+    """What is kept of each y so that aggregates of parts can be merged; medians cannot."""
+    out = []
+    for i, y in enumerate(names):
+        c = _named(y)
+        if how in ("sum", "mean"):
+            out += [F.sum(c).alias(f"_a{i}"), F.count(c).alias(f"_b{i}")]
+        else:
+            out.append({"count": F.count, "min": F.min, "max": F.max}[how](c).alias(f"_a{i}"))
+    return out
+
+
+def merged(names: list[str], how: str) -> list[Column]:
+    """The aggregates of :func:`partials`' parts."""
+    final = {
+        "sum": lambda a, b: F.coalesce(F.sum(a), F.lit(0)), "mean": lambda a, b: F.sum(a) / F.nullif(F.sum(b), F.lit(0)), "count": lambda a, b: F.sum(a),
+        "min": lambda a, b: F.min(a), "max": lambda a, b: F.max(a),
+    }[how]
+    return [final(F.col(f"_a{i}"), F.col(f"_b{i}")).alias(y) for i, y in enumerate(names)]
+
+
+def by_day(rows: DataFrame, x: str, names: list[str], how: str) -> DataFrame:
+    """A row per day of a time with mergeable aggregates of the ys, and what tells how to show the times:
+    the day's first and last one, whether all are midnights, and about how many different ones."""
+    c = _named(x).cast("timestamp")
+    day = F.date_trunc("day", c)
+    facts = [F.min("_t").alias("_low"), F.max("_t").alias("_high"), F.bool_and(F.col("_t") == F.col("_day")).alias("_whole"), F.approx_count_distinct("_t", 0.05).alias("_about")]
+    return rows.select(c.alias("_t"), day.alias("_day"), *[_named(y) for y in names]).filter("_t is not null").groupBy("_day").agg(*partials(names, how), *facts)
+
+
+def period_of(low: int | None, high: int | None) -> str:
+    """Years, months or weeks, by the microseconds of the first and the last time."""
+    days = 0 if low is None else (high - low) // 86_400_000_000
+    return "year" if days > 730 else "month" if days > 180 else "week"
+
+
+def day_facts(days: DataFrame) -> tuple[bool | None, str, bool]:
+    """(resample?, period, whole days?) from the small table of days. None where only the exact number of
+    different times decides."""
+    low, high, n, about, whole = days.agg(F.unix_micros(F.min("_low")), F.unix_micros(F.max("_high")), F.count(F.lit(1)), F.coalesce(F.sum("_about"), F.lit(0)), F.coalesce(F.bool_and("_whole"), F.lit(True))).first()
+    many = True if n > MOST_TIMES or about > MOST_TIMES * 1.4 else False if whole or about < MOST_TIMES * 0.7 else None
+    return many, period_of(low, high), bool(whole)
+
+
 def time_facts(df: DataFrame, x: str) -> tuple[bool, str, bool]:
     """(resample?, period, whole days?) by one small aggregate. The distinct count is estimated, and
     counted exactly only if the estimate is near the threshold."""
@@ -66,9 +171,36 @@ def time_facts(df: DataFrame, x: str) -> tuple[bool, str, bool]:
     low, high, about, whole = df.agg(F.unix_micros(F.min(c)), F.unix_micros(F.max(c)), F.approx_count_distinct(c, 0.05), F.bool_and(c == F.date_trunc("day", c))).first()
     many = about > MOST_TIMES
     if MOST_TIMES * 0.7 < about < MOST_TIMES * 1.4:
-        many = df.agg(F.count_distinct(c)).first()[0] > MOST_TIMES
-    days = 0 if low is None else (high - low) // 86_400_000_000
-    return many, "year" if days > 730 else "month" if days > 180 else "week", bool(whole)
+        many = different_times(df, x) > MOST_TIMES
+    return many, period_of(low, high), bool(whole)
+
+
+def different_times(df: DataFrame, x: str) -> int:
+    return df.agg(F.count_distinct(_named(x).cast("timestamp"))).first()[0]
+
+
+def timed(rows: DataFrame, spec: QuerySpec, days: DataFrame | None = None) -> tuple[DataFrame, str, str | None]:
+    """(result, label, period or None): a time x by its values or, if there are over 100 different ones, by
+    years, months or weeks.
+
+    Rows are read once, into a row a day; range, period and result follow from that small table, which
+    is written. Only a few different times within days, and medians, take another pass. ``days`` are
+    such rows from elsewhere."""
+    if spec.aggregation == "median":
+        many, period, whole = time_facts(rows, spec.x)
+    else:
+        names = list(_y_names(spec, spec.x))
+        days = days if days is not None else stored(by_day(rows, spec.x, names, spec.aggregation), "days")
+        many, period, whole = day_facts(days)
+        many = different_times(rows, spec.x) > MOST_TIMES if many is None else many
+        if many or whole:
+            label = f"{spec.x}_{period}" if many else spec.x
+            x = period_label(F.col("_day"), period) if many else time_label(F.col("_day"), True)
+            given = list(_y_names(spec, label).values())
+            return days.groupBy(x.alias("_x")).agg(*merged(given, spec.aggregation)), label, period if many else None
+    label = f"{spec.x}_{period}" if many else spec.x
+    x = period_label(_named(spec.x), period) if many else time_label(_named(spec.x), whole)
+    return grouped(rows, x, label, spec), label, period if many else None
 
 
 def top_n(df: DataFrame, spec: QuerySpec, n: int) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +242,11 @@ def top_n(df: DataFrame, spec: QuerySpec, n: int) -> tuple[DataFrame, DataFrame]
     real = F.max(F.col("_x").isNotNull())
     if spec.aggregation == "median":
         split = joined.groupBy("_label", "_other").agg(real.alias("_real")).filter("_real").select("_label", "_other")
-        out = joined.join(F.broadcast(split), ["_label", "_other"], "left_semi").groupBy("_label").agg(*[merged(i, y) for i, y in enumerate(names)])
+        shown = joined.join(F.broadcast(split), ["_label", "_other"], "left_semi")
+        if spec.approximate:
+            out = shown.groupBy("_label").agg(*[merged(i, y) for i, y in enumerate(names)])
+        else:
+            out = grouped_medians(shown, "_label", list(names)).withColumnsRenamed(names)
     else:
         again = []
         for i, y in enumerate(names):
@@ -129,50 +265,90 @@ def share_of_total(result: DataFrame, y: str, name: str = "share") -> DataFrame:
 
 
 def page(result: DataFrame, order: list[Column | str], number: int, rows: int = 10) -> DataFrame:
-    """Page ``number`` (from 0) of a result in a total order."""
+    """Page ``number`` (from 0) of a result in a total order. It sorts and keeps the pages before it too;
+    :func:`page_after` does not."""
     return result.orderBy(*order).offset(number * rows).limit(rows)
 
 
-def run_query(df: DataFrame, spec: QuerySpec, semantic_types: Mapping[str, str] | None = None, strict: bool = False, default_limit: int = 50) -> QueryResult:
-    """Filter, resample or bucket, aggregate once, cut by label, then sort.
+def beyond(order: list[str], last: tuple) -> Column:
+    """Rows after the one with the values ``last`` in an order of columns, descending where a name begins
+    with a minus. Nulls come first in rising and last in falling order, as Spark sorts them. The first
+    column has a bound of its own, which a scan can use."""
+    after, equal, bound = F.lit(False), F.lit(True), None
+    for name, value in zip(order, last, strict=True):
+        c, down = _named(name.removeprefix("-")), name.startswith("-")
+        if value is None:
+            further = F.lit(False) if down else c.isNotNull()
+            this = c.isNull()
+        else:
+            further = (c < F.lit(value)) | c.isNull() if down else c > F.lit(value)
+            this = c == F.lit(value)
+        if bound is None:
+            bound = F.lit(True) if value is None else (c <= F.lit(value)) | c.isNull() if down else c >= F.lit(value)
+        after, equal = after | (equal & further), equal & this
+    return bound & after
 
-    A time x with over 100 distinct values becomes years, months or weeks (one small job decides);
-    another x with more values than the limit is ranked instead: Top-N, with or without Others. The
-    limit keeps the first labels in text order; the order asked for comes after. Without one, metrics
-    and times are sorted by label, anything else by value. Missing values of the result are 0."""
+
+def page_after(result: DataFrame, order: list[str], last: tuple | None = None, rows: int = 10) -> DataFrame:
+    """The first rows of a result in a total order, or those after the row that had the values ``last``. Every
+    page costs what the first one does: the key is a filter, and tasks keep as many rows as a page has."""
+    found = result if last is None else result.filter(beyond(order, last))
+    return found.orderBy(*[F.desc_nulls_last(f"`{c[1:]}`") if c.startswith("-") else F.asc_nulls_first(f"`{c}`") for c in order]).limit(rows)
+
+
+def cursor(page: DataFrame, order: list[str]) -> tuple | None:
+    """The values of a page's last row, from which the next page goes on; None if it has no rows."""
+    rows = page.select(*[_named(c.removeprefix("-")).alias(f"_{i}") for i, c in enumerate(order)]).collect()
+    return tuple(rows[-1]) if rows else None
+
+
+def asked(df: DataFrame, spec: QuerySpec, semantic_types: Mapping[str, str], strict: bool, default_limit: int) -> tuple[QuerySpec, DataFrame, int, list[str]]:
+    """(the request as it is answered, its rows, the limit, notes)."""
     spec.check(df)
-    types = dict(semantic_types or {})
-    spec, notes = spec.enforce(types)
+    spec, notes = spec.enforce(semantic_types)
     if spec.aggregation not in ("count", "min", "max") and (text := [y for y in spec.ys if not _numeric(df, y)]):
         raise ValueError(f"{spec.aggregation} needs numbers, not {', '.join(text)}")
     rows, applied = apply_filters(df, spec.filters, strict)
     limit, warning = spec.rows(default_limit)
-    notes = [*notes, *applied, *([warning] if warning else [])]
-    x, label, base, period, others, kept = _named(spec.x), spec.x, None, None, None, None
-    kind = df.schema[spec.x].dataType
-    if isinstance(kind, _TIMES):
-        many, period, whole = time_facts(rows, spec.x)
-        if many:
-            base, label = spec.x, f"{spec.x}_{period}"
-            x = period_label(x, period)
-        else:
-            period, x = None, time_label(x, whole)
-        out = grouped(rows, x, label, spec)
-    elif spec.group_others and limit > 1:
-        out, kept = top_n(rows, spec, limit)
-        others = spec.others_label
+    return spec, rows, limit, [*notes, *applied, *([warning] if warning else [])]
+
+
+def answered(rows: DataFrame, spec: QuerySpec, limit: int, notes: list[str], types: Mapping[str, str], groups: DataFrame | None = None) -> QueryResult:
+    """The result of a request. ``groups`` are mergeable aggregates of its rows, by x or by day, where they
+    are at hand already."""
+    label, period, others, kept = spec.x, None, None, None
+    time = isinstance(rows.schema[spec.x].dataType, _TIMES)
+    if time:
+        out, label, period = timed(rows, spec, groups)
+        every = out
     else:
-        out = grouped(rows, x, label, spec)
         names = _y_names(spec, label)
-        out = out.orderBy(F.desc_nulls_last(f"`{names[spec.ys[0]]}`"), "_x").limit(limit)
+        every = grouped(rows, _named(spec.x), label, spec) if groups is None else groups.groupBy("_x").agg(*merged(list(names.values()), spec.aggregation))
+        if spec.group_others and limit > 1:
+            out, kept = top_n(rows, spec, limit)
+            others = spec.others_label
+        else:
+            out = every.orderBy(F.desc_nulls_last(f"`{names[spec.ys[0]]}`"), "_x").limit(limit)
     names = _y_names(spec, label)
     shown = out.select(F.col("_x").cast("string").alias(label), *[_named(n) for n in names.values()])
     shown = shown.fillna(0, subset=[n for n in names.values() if isinstance(shown.schema[n].dataType, T.NumericType)])
     cut = shown.orderBy(_named(label)).limit(limit)
-    by = spec.sort_by or ("label" if isinstance(kind, _TIMES) or types.get(spec.x) in ("metric", "temporal") else "value")
+    by = spec.sort_by or ("label" if time or types.get(spec.x) in ("metric", "temporal") else "value")
     first = _named(names[spec.ys[0]])
     done = cut.orderBy(F.desc_nulls_last(first), _named(label)) if by == "value" else cut.orderBy(_named(label))
-    return QueryResult(done, label, tuple(names.values()), tuple(notes), "Count of Records" if spec.aggregation == "count" else None, base, period, others, shown if base or isinstance(kind, _TIMES) else grouped(rows, _named(spec.x), spec.x, spec), limit, kept)
+    return QueryResult(done, label, tuple(names.values()), tuple(notes), "Count of Records" if spec.aggregation == "count" else None, spec.x if period else None, period, others, shown if time else every, limit, kept)
+
+
+def run_query(df: DataFrame, spec: QuerySpec, semantic_types: Mapping[str, str] | None = None, strict: bool = False, default_limit: int = 50) -> QueryResult:
+    """Filter, resample or bucket, aggregate once, cut by label, then sort.
+
+    A time x with over 100 distinct values becomes years, months or weeks (:func:`timed`);
+    another x with more values than the limit is ranked instead: Top-N, with or without Others. The
+    limit keeps the first labels in text order; the order asked for comes after. Without one, metrics
+    and times are sorted by label, anything else by value. Missing values of the result are 0."""
+    types = dict(semantic_types or {})
+    spec, rows, limit, notes = asked(df, spec, types, strict, default_limit)
+    return answered(rows, spec, limit, notes, types)
 
 
 def others_last(result: QueryResult) -> DataFrame:

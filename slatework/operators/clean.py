@@ -125,16 +125,42 @@ def date_fits(df: DataFrame, kinds: Mapping[str, Mapping[str, int]], n: Mapping[
     return one_pass(flags, {(c, k): F.count_if(x) for j, (c, some) in enumerate(wanted.items()) for k, x in _each_and_any({i: F.col(f"_{j}_{i}") for i in some}).items()})
 
 
-def repair_types(df: DataFrame) -> tuple[DataFrame, list[tuple[str | None, str, int]], dict[str, str]]:
+#: The most kinds of texts that an observation of a column names.
+OBSERVED = 1_000
+
+
+def kinds_observed(texts: list[str]) -> dict[str, Column]:
+    """Aggregates, one a text column, that hold what :func:`text_kinds` counts: exact as long as a column has
+    fewer kinds than a sketch tracks. They can be observed while a table is written."""
+    out = {}
+    for c in texts:
+        value = "`" + c.replace("`", "``") + "`"
+        kind = F.when(col(c).isNull(), "").otherwise(F.concat(F.when(col(c).rlike(r"\p{Sc}"), "$").otherwise("-"), text_kind(col(c))))
+        out[c] = F.call_function("approx_top_k", kind, F.lit(OBSERVED), F.lit(OBSERVED)).alias(value.strip("`"))
+    return out
+
+
+def kinds_from(observed: Mapping[str, list]) -> dict[str, dict[tuple[str | None, bool], int]] | None:
+    """The counts of :func:`text_kinds` from observed values; None if a column has too many kinds."""
+    out: dict[str, dict[tuple[str | None, bool], int]] = {}
+    for c, items in observed.items():
+        if len(items or []) >= OBSERVED:
+            return None
+        out[c] = {(r["item"][1:] or None if r["item"] else None, r["item"].startswith("$")): r["count"] for r in items or []}
+    return out
+
+
+def repair_types(df: DataFrame, kinds: Mapping[str, Mapping[tuple[str | None, bool], int]] | None = None) -> tuple[DataFrame, list[tuple[str | None, str, int]], dict[str, str]]:
     """Text columns whose values mostly spell numbers, percentages or times become those.
 
     One pass counts the kinds of texts in all columns; a second parses dates, only of columns of which
     enough values look like some and by the patterns that they look like. Values that do not convert
-    become null. Returns the table, the log and the formats that the text gave away."""
-    texts = _texts(df)
+    become null. ``kinds`` are counts that are known already. Returns the table, the log and the formats
+    that the text gave away."""
+    kinds = text_kinds(df, _texts(df)) if kinds is None else kinds
     new: dict[str, Column] = {}
     log, formats, rest, rows, n = [], {}, {}, {}, {}
-    for c, found in text_kinds(df, texts).items():
+    for c, found in kinds.items():
         count = {k: sum(m for (kind, _), m in found.items() if kind == k) for k, _ in found}
         rows[c] = sum(count.values())
         n[c] = rows[c] - count.get(None, 0)
@@ -261,13 +287,14 @@ def impute(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mappin
     return Cleaned(df.withColumns(new) if new else df, tuple(log), missing, rows, formats, hints)
 
 
-def clean(df: DataFrame, rename: Mapping[str, str] | None = None, semantic_hints: Mapping[str, str] | None = None) -> Cleaned:
+def clean(df: DataFrame, rename: Mapping[str, str] | None = None, semantic_hints: Mapping[str, str] | None = None, kinds: list[Mapping[tuple[str | None, bool], int]] | None = None) -> Cleaned:
     """Headers, types, missing counts and imputation, in this order. Statistics are a few small
-    jobs; the cleaned table itself is lazy."""
+    jobs; the cleaned table itself is lazy. ``kinds`` are the kinds of texts by column, all of which are
+    text then, if they are known already."""
     allowed = ("metric", "identifier", "temporal", "categorical")
     hints = {c: t for c, t in (semantic_hints or {}).items() if t in allowed}
     df, log = normalize_headers(nan_to_null(df), rename)
-    df, repaired, parsed = repair_types(df)
+    df, repaired, parsed = repair_types(df, None if kinds is None else dict(zip(df.columns, kinds, strict=True)))
     done = impute(df, hints, parsed)
     return Cleaned(done.df, (*log, *repaired, *done.actions), done.missing, done.rows, done.formats, hints)
 

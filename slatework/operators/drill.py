@@ -8,16 +8,18 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slatework.operators.aggregate import page_after
 from slatework.operators.filters import apply_filters
 from slatework.operators.stats import TIMES
 from slatework.plans.spec import Filter, QueryResult, QuerySpec
 
 
-def drilldown(df: DataFrame, filters: Iterable[Filter], order: list[str], limit: int = 50, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(the first ``limit`` matching rows in ``order``, a one-row table with their total number).
-    Nulls stay null. Both are lazy, so a caller pays for the count only if it is wanted."""
+def drilldown(df: DataFrame, filters: Iterable[Filter], order: list[str], limit: int = 50, strict: bool = False, last: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the first ``limit`` matching rows in ``order``, or those after the row with the values ``last``; a
+    one-row table with the total number of matching rows). Nulls stay null. Both are lazy, so a caller
+    pays for the count only if it is wanted."""
     rows, _ = apply_filters(df, filters, strict)
-    return rows.orderBy(*order).limit(limit), rows.agg(F.count(F.lit(1)).alias("total"))
+    return page_after(rows, order, last, limit), rows.agg(F.count(F.lit(1)).alias("total"))
 
 
 def period_bounds(label: str, period: str) -> tuple[date, date]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,13 +41,14 @@ def _plain(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
 
-def column_profile(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mapping[str, str] | None = None, exact: bool = False, fraction: float | None = None) -> DataFrame:
+def column_profile(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mapping[str, str] | None = None, exact: bool = False, fraction: float | None = None, where: Column | None = None) -> DataFrame:
     """A row per column: type, meaning, format, distinct values and up to 20 of them.
 
     One pass for counts and ranges, one for the values. ``exact`` distinct counts shuffle them all;
     otherwise they are estimates, exact only near a threshold. ``fraction`` profiles a repeatable
-    sample (seed 42) instead of all rows. Nested columns are left out."""
+    sample (seed 42) instead of all rows, ``where`` those rows for which it holds. Nested columns are left out."""
     df = df if fraction is None else df.sample(fraction, seed=42)
+    df = df if where is None else df.filter(where)
     fields = _plain(df)
     wanted = {("", "rows"): F.count(F.lit(1))}
     for f in fields:

@@ -239,3 +239,62 @@ def test_csv(spark, tmp_path):
 def test_summary_stats(edge):
     row = A.summary_stats(edge, ["v", "n"]).first()
     assert row["stddev_v"] > 0 and -1 <= row["corr_v_n"] <= 1
+
+
+def test_times_are_read_once(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(3000).selectExpr("timestamp'2020-01-01' + make_interval(0, 0, 0, id % 500, id % 24) as ts", "cast(id as double) as v", "cast(id as string) as s").write.parquet(path)
+    df = spark.read.parquet(path)
+    for how in ("sum", "count", "mean", "min", "max"):
+        result = A.run_query(df, QuerySpec("ts", "v", how))
+        assert result.period == "month" and not any(path in f for f in result.df.inputFiles())
+    want = {r["k"]: r["v"] for r in df.selectExpr("date_format(ts, 'yyyy-MM') as k", "v").groupBy("k").agg(F.avg("v").alias("v")).collect()}
+    got = {r["ts_month"]: r["v"] for r in A.run_query(df, QuerySpec("ts", "v", "mean")).df.collect()}
+    assert got == pytest.approx(want)
+    most = {r["k"]: r["s"] for r in df.selectExpr("date_format(ts, 'yyyy-MM') as k", "s").groupBy("k").agg(F.max("s").alias("s")).collect()}
+    assert {r["ts_month"]: r["s"] for r in A.run_query(df, QuerySpec("ts", ("v", "s"), "max")).df.collect()} == most
+
+
+@pytest.mark.parametrize("times,resampled", [(100, False), (101, True), (90, False), (120, True)])
+def test_few_times_within_days_are_counted(spark, times, resampled):
+    df = spark.range(1000).selectExpr(f"timestamp'2020-01-01' + make_interval(0, 0, 0, id % 3, 0, id % {times}) as ts", "1.0 as v")
+    n = df.distinct().count()
+    result = A.run_query(df, QuerySpec("ts", "v"))
+    assert (result.period is not None) == (n > 100)
+    assert sum(r["v"] for r in result.df.collect()) == 1000 or not resampled
+
+
+def test_reports_share_a_scan(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(2000).selectExpr("concat('k', id % 7) as k", "id % 3 as n", "timestamp'2019-01-01' + make_interval(0, 0, 0, id) as ts", "cast(id as double) as v", "if(id % 5 = 0, null, id) as w").write.parquet(path)
+    df = spark.read.parquet(path)
+    odd = (Filter("n", "eq", 1),)
+    specs = {"a": QuerySpec("k", ("v", "w")), "b": QuerySpec("n", "v", "mean"), "c": QuerySpec("ts", "w", "count"), "d": QuerySpec("ts", "v", "max"), "e": QuerySpec("k", "w", "min", filters=odd, limit=3), "f": QuerySpec("k", "v", "median"), "g": QuerySpec("n", "n", "sum", filters=odd)}
+    got = report.build_report(df, {k: specs[k] for k in "abcd"})
+    assert not any(path in f for f in got.inputFiles())
+    together = sorted(tuple(r) for r in report.build_report(df, specs).collect())
+    alone = sorted(tuple(r) for k, s in specs.items() for r in report.build_report(df, {k: s}).collect())
+    assert together == alone and {r[0] for r in together} == set(specs)
+
+
+@pytest.mark.parametrize("order", [["a", "id"], ["-a", "id"], ["b", "-id"], ["-b", "a", "id"]])
+def test_pages_after_a_key_are_the_pages(spark, order):
+    df = spark.range(57).selectExpr("id", "if(id % 4 = 0, null, id % 5) as a", "if(id % 6 = 0, null, concat('x', id % 3)) as b").repartition(3)
+    last, seen = None, []
+    while True:
+        found = A.page_after(df, order, last, 10)
+        rows = found.collect()
+        if not rows:
+            break
+        seen += rows
+        last = A.cursor(found, order)
+    keys = [F.desc_nulls_last(c[1:]) if c[0] == "-" else F.asc_nulls_first(c) for c in order]
+    assert seen == df.orderBy(*keys).collect()
+
+
+def test_a_page_s_key_reaches_the_scan(spark, tmp_path):
+    path = f"{tmp_path}/t.parquet"
+    spark.range(1000).selectExpr("id", "id % 9 as a").write.parquet(path)
+    found = A.page_after(spark.read.parquet(path), ["a", "id"], (4, 500))
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "GreaterThanOrEqual(a,4)" in plan and "TakeOrderedAndProject" in plan
