@@ -13,7 +13,7 @@ from slatework.functions.text import display_value, title
 from slatework.operators import aggregate, clean, drill, profile, report, stats
 from slatework.operators.filters import apply_filters
 from slatework.plans import Filter, QuerySpec
-from slatework.sources import tables
+from slatework.sources import statistics, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -768,6 +768,21 @@ def whole_profile(spark, sf_dir):
     return facts.union(totals).union(times[0]).union(times[1])
 
 
+@query("""WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 13 <> 0 THEN p_retailprice END AS price, p_size FROM part WHERE p_partkey % 4 <> 3)
+SELECT 'p_brand' AS name, 'categorical' AS semantic_type, count(DISTINCT p_brand) AS unique_count, 0 AS missing, NULL AS low, (SELECT string_agg(v, '|' ORDER BY lower(v), v) FROM (SELECT DISTINCT p_brand AS v FROM p ORDER BY lower(v), v LIMIT 20)) AS sample FROM p
+UNION ALL SELECT 'price', 'metric', NULL, count(*) - count(price), min(price), NULL FROM p
+UNION ALL SELECT 'p_size', CASE WHEN count(DISTINCT p_size) >= 20 THEN 'metric' ELSE 'categorical' END, count(DISTINCT p_size), 0, min(p_size), (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST(p_size AS VARCHAR) AS v FROM p ORDER BY v LIMIT 20)) FROM p""")
+def statistics_after_append(spark, sf_dir):
+    part, path, kept = table(spark, sf_dir, "part"), tables.scratch(spark, "part"), tables.scratch(spark, "statistics")
+    part = part.select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice")).alias("price"), "p_size")
+    for k in range(3):
+        part.filter(F.col("p_partkey") % 4 == k).drop("p_partkey").write.mode("append").parquet(path)
+        found, _ = statistics.refresh(spark, path, kept)
+    seen = statistics.profile(found, spark.read.parquet(path)).join(statistics.merged(found).withColumnRenamed("column", "name"), "name")
+    few = F.col("name") != "price"
+    return seen.select("name", "semantic_type", F.when(few, F.col("unique_count")).alias("unique_count"), "missing", "low", F.when(few, F.array_join("sample_values", "|")).alias("sample"))
+
+
 @query("""WITH s AS (SELECT * FROM customer WHERE c_custkey % 3 = 1)
 SELECT 'customer_key' AS name, 'Customer Key' AS title, 'identifier' AS semantic_type, count(DISTINCT c_custkey) AS unique_count, (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS v FROM s ORDER BY v LIMIT 20)) AS sample FROM s
 UNION ALL SELECT 'market_segment', 'Market Segment', 'categorical', count(DISTINCT c_mktsegment), (SELECT string_agg(v, '|' ORDER BY lower(v), v) FROM (SELECT DISTINCT c_mktsegment AS v FROM s ORDER BY lower(v), v LIMIT 20)) FROM s""")

@@ -55,7 +55,7 @@ def to_fraction(c: Column) -> Column:
     return F.replace(c, F.lit("%"), F.lit("")).try_cast("double") / 100
 
 
-def shape(pattern: str, digits: str = r"\d+", letters: str = r"\p{L}+", offset: str = r"[+-]\d\d(?::?\d\d)?") -> str:
+def shape(pattern: str, digits: str = r"\d+", year: str = r"\d{4,}", letters: str = r"\p{L}+", offset: str = r"[+-]\d\d(?::?\d\d)?") -> str:
     """A regular expression that every text of a date pattern fits, and few others do."""
     out, at = "", 0
     while at < len(pattern):
@@ -67,7 +67,7 @@ def shape(pattern: str, digits: str = r"\d+", letters: str = r"\p{L}+", offset:
         elif c in "[]":
             out, n = out + ("(?:" if c == "[" else ")?"), 1
         elif c in "yMdHhmsS" and not (c == "M" and n > 2):
-            out += f"[+-]?{digits}"
+            out += f"[+-]?{year if c == 'y' else digits}"
         elif c in "Ma":
             out += rf"{letters}\.?"
         elif c == "X":
@@ -78,37 +78,52 @@ def shape(pattern: str, digits: str = r"\d+", letters: str = r"\p{L}+", offset:
     return f"(?i)^{out}$"
 
 
-#: Texts' outlines: each run of digits is a 9, each run of letters an a, but for single letters that some
-#: pattern spells. What an outline fits is decided once for all texts that have it.
+#: Texts' outlines: a run of digits is an 8 if there are four or more, else a 9, and a run of letters is an a,
+#: but for single letters that some pattern spells. What an outline fits is decided once for all texts
+#: that have it.
 _SPELLED = "TtZzEe"
 
 
 def outline(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"\d+", "9"), rf"[\p{{L}}&&[^{_SPELLED}]]\p{{L}}*|[{_SPELLED}]\p{{L}}+", "a")
+    runs = F.regexp_replace(F.regexp_replace(c, r"(?<!\d)\d{1,3}(?!\d)", "9"), r"\d{4,}", "8")
+    return F.regexp_replace(runs, rf"[\p{{L}}&&[^{_SPELLED}]]\p{{L}}*|[{_SPELLED}]\p{{L}}+", "a")
+
+
+_WHOLE, _PLAIN = r"^[+-]?\d{1,18}$", r"^[+-]?\d+(\.\d+)?$"
+
+
+def outline_of_others(c: Column) -> Column:
+    """The outline of texts with digits that are no plain numbers; null for all others, which need none."""
+    return F.when(c.rlike(r"\d") & ~c.rlike(_PLAIN), outline(c))
+
+
+def bare_outline(form: Column) -> Column:
+    return F.regexp_replace(form, r"[\p{Sc},\s]", "")
 
 
 #: For each of DATE_PATTERNS, what the outlines of its texts fit.
-DATE_OUTLINES = tuple(r"^\s*[Tt]?[+-]?9(?:[-:].*|\s*)$" if p is None else shape(p, "9", f"[a{_SPELLED}]", "[+-]9(?::?9)?") for p in DATE_PATTERNS)
+DATE_OUTLINES = tuple(r"^\s*[Tt]?[+-]?[89](?:[-:].*|\s*)$" if p is None else shape(p, "[89]", "8", f"[a{_SPELLED}]", "[+-][89](?::?9)?") for p in DATE_PATTERNS)
 
 
-def text_kind(c: Column) -> Column:
+def text_kind(c: Column, form: Column | None = None, bare: Column | None = None) -> Column:
     """What a text may be: ``whole`` or ``number`` (as :func:`is_number`), ``spelled`` (only as
     :func:`to_number`), ``percent``, the outline of a date text, ``time`` (what a cast may take besides), or
-    ``other``. Few different ones, however many texts there are."""
-    form = outline(c)
-    bare = F.regexp_replace(form, r"[\p{Sc},\s]", "")
-    short = (F.length(c) <= 18) | stripped_number(c).rlike(r"^[+-]?\d{1,18}$")
+    ``other``. Few different ones, however many texts there are. The outlines may be columns already."""
+    form = outline_of_others(c) if form is None else form
+    bare = bare_outline(form) if bare is None else bare
+    short = (F.length(c) <= 18) | stripped_number(c).rlike(_WHOLE)
     dates = "|".join(f"(?:{p.removeprefix('(?i)')})" for p in DATE_OUTLINES[1:])
     kind = (
-        F.when(bare.rlike(r"^[+-]?9+$"), F.when(short, "whole").otherwise("number"))
-        .when(bare.rlike(r"^[+-]?9+\.9+$"), "number")
-        .when(bare.rlike(r"^[+-]?(9+\.?9*|\.9+)([eE][+-]?9+)?$"), "spelled")
-        .when(form.rlike(r"^9\.?9?%$"), "percent")
+        F.when(bare.rlike(r"^[+-]?[89]+$"), F.when(short, "whole").otherwise("number"))
+        .when(bare.rlike(r"^[+-]?[89]+\.[89]+$"), "number")
+        .when(bare.rlike(r"^[+-]?([89]+\.?[89]*|\.[89]+)([eE][+-]?[89]+)?$"), "spelled")
+        .when(form.rlike(r"^[89]\.?[89]?%$"), "percent")
         .when(form.rlike(f"(?i){dates}"), form)
         .when(form.rlike(DATE_OUTLINES[0]), "time")
         .otherwise("other")
     )
-    return F.when(c.rlike(r"\d"), kind).otherwise("other")
+    plain = F.when(c.rlike(_WHOLE), "whole").when(c.rlike(_PLAIN), "number").otherwise("other")
+    return F.when(form.isNull(), plain).otherwise(kind)
 
 
 def to_time(c: Column, pattern: str | None) -> Column:

@@ -9,11 +9,11 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slatework.functions.text import DATE_OUTLINES, DATE_PATTERNS, any_time, stripped_number, text_kind, to_fraction, to_number, to_time
+from slatework.functions.text import DATE_OUTLINES, DATE_PATTERNS, any_time, bare_outline, outline_of_others, stripped_number, text_kind, to_fraction, to_number, to_time
 from slatework.operators.stats import col, distinct_counts, median, modes, nan_to_null, one_pass
 from slatework.operators.stats import is_number as is_numeric
 
@@ -91,53 +91,80 @@ def _texts(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def _each_and_any(fits: Mapping[int, Column]) -> dict[int | str, Column]:
-    """Flags by their numbers, and whether any is set."""
-    return dict(fits) | {"any": functools.reduce(operator.or_, fits.values())}
-
-
 def text_kinds(df: DataFrame, texts: list[str]) -> dict[str, dict[tuple[str | None, bool], int]]:
     """For each text column the rows by (kind of text, whether it has a currency symbol), None for null: a
     histogram of a few kinds, from one partial aggregate over all columns."""
     if not texts:
         return {}
     values = F.array(*[F.struct(F.lit(i).alias("i"), col(c).alias("value")) for i, c in enumerate(texts)])
-    kinds = df.select(F.inline(values)).select("i", F.when(F.col("value").isNotNull(), text_kind(F.col("value"))).alias("kind"), F.coalesce(F.col("value").rlike(r"\p{Sc}"), F.lit(False)).alias("symbol"))
+    # a step for each outline, so that none is made twice
+    forms = df.select(F.inline(values)).withColumn("form", outline_of_others(F.col("value"))).withColumn("bare", bare_outline(F.col("form")))
+    kind = F.when(F.col("value").isNotNull(), text_kind(*map(F.col, ("value", "form", "bare"))))
+    kinds = forms.select("i", kind.alias("kind"), F.coalesce(F.col("value").rlike(r"\p{Sc}"), F.lit(False)).alias("symbol"))
     out: dict[str, dict[tuple[str | None, bool], int]] = {c: {} for c in texts}
     for row in kinds.groupBy("i", "kind", "symbol").agg(F.count(F.lit(1)).alias("n")).collect():
         out[texts[row["i"]]][row["kind"], row["symbol"]] = row["n"]
     return out
 
 
-def date_fits(df: DataFrame, kinds: Mapping[str, Mapping[str, int]], n: Mapping[str, int]) -> dict[tuple[str, int | str], int]:
-    """(column, pattern or "any") -> the values that parse, for the columns of which enough may. Only the
-    patterns that fit some outline are tried, and only the values that have it are parsed: one pass, none
-    if no column can be a time."""
-    wanted = {}
-    for c, found in kinds.items():
-        fitting = {i: sum(k for form, k in found.items() if form in ("whole", "number", "spelled", "time") and i == 0 or re.search(p, form)) for i, p in enumerate(DATE_OUTLINES)}
-        could = sum(k for form, k in found.items() if form in ("whole", "number", "spelled", "time") or any(re.search(p, form) for p in DATE_OUTLINES))
-        if could > 0.7 * n[c]:
-            wanted[c] = [i for i, k in fitting.items() if k]
-    if not wanted:
+#: Kinds of texts that are no date outlines but may be cast to a time.
+_CASTABLE = ("whole", "number", "spelled", "time")
+
+
+def date_patterns(kinds: Mapping[str, int], n: int) -> list[tuple[int, int]]:
+    """(pattern, how many values may fit at most) of a column of which enough values may be times."""
+    fitting = {i: sum(k for form, k in kinds.items() if form in _CASTABLE and i == 0 or re.search(p, form)) for i, p in enumerate(DATE_OUTLINES)}
+    could = sum(k for form, k in kinds.items() if form in _CASTABLE or any(re.search(p, form) for p in DATE_OUTLINES))
+    return [(i, k) for i, k in fitting.items() if k] if could > 0.7 * n else []
+
+
+def _parses(df: DataFrame, wanted: Mapping[str, list[int]], lazily: bool) -> dict[tuple[str, int | str], int]:
+    """(column, pattern or "any") -> the values that parse. ``lazily``: by the first pattern, and by any of
+    them, where a value that one parses is not tried by the next."""
+    flags, counts = [], {}
+    for j, (c, patterns) in enumerate(wanted.items()):
+        if lazily:
+            first = to_time(col(c), DATE_PATTERNS[patterns[0]])
+            others = [to_time(col(c), DATE_PATTERNS[i]).isNotNull() for i in patterns[1:]]
+            flags.append(first.isNotNull().alias(f"_{j}"))
+            counts[c, patterns[0]] = F.count_if(F.col(f"_{j}"))
+            counts[c, "any"] = F.count_if(F.when(F.col(f"_{j}"), True).otherwise(functools.reduce(operator.or_, others, F.lit(False))))
+        else:
+            flags += [to_time(col(c), DATE_PATTERNS[i]).isNotNull().alias(f"_{j}_{i}") for i in patterns]
+            counts |= {(c, i): F.count_if(F.col(f"_{j}_{i}")) for i in patterns}
+    return one_pass(df.select(*[col(c) for c in wanted], *flags), counts)
+
+
+def date_fits(df: DataFrame, kinds: Mapping[str, Mapping[str, int]], n: Mapping[str, int], rows: Mapping[str, int]) -> dict[tuple[str, int | str], int]:
+    """(column, pattern or "any") -> the values that parse, for the columns of which enough may.
+
+    Only patterns that fit some outline are tried, and only values that have it are parsed; none if no
+    column can be a time. A first pass tries the first pattern that enough values may have, and the
+    others where it fails; where that pattern takes enough values, or all together too few, the column is
+    decided, and only the others have their patterns counted one by one."""
+    patterns = {c: found for c, k in kinds.items() if (found := date_patterns(k, n[c]))}
+    if not patterns:
         return {}
-    flags = df.select(*[to_time(col(c), DATE_PATTERNS[i]).isNotNull().alias(f"_{j}_{i}") for j, (c, some) in enumerate(wanted.items()) for i in some])
-    return one_pass(flags, {(c, k): F.count_if(x) for j, (c, some) in enumerate(wanted.items()) for k, x in _each_and_any({i: F.col(f"_{j}_{i}") for i in some}).items()})
+    order = {c: sorted((i for i, _ in found), key=lambda i: (dict(found)[i] <= 0.7 * n[c], i)) for c, found in patterns.items()}
+    fits = _parses(df, order, True)
+    open_ = {c: found for c, found in order.items() if fits[c, found[0]] <= 0.7 * rows[c] and fits[c, "any"] > 0.7 * n[c]}
+    return fits | (_parses(df, open_, False) if open_ else {})
 
 
 #: The most kinds of texts that an observation of a column names.
 OBSERVED = 1_000
 
 
-def kinds_observed(texts: list[str]) -> dict[str, Column]:
-    """Aggregates, one a text column, that hold what :func:`text_kinds` counts: exact as long as a column has
-    fewer kinds than a sketch tracks. They can be observed while a table is written."""
-    out = {}
-    for c in texts:
-        value = "`" + c.replace("`", "``") + "`"
-        kind = F.when(col(c).isNull(), "").otherwise(F.concat(F.when(col(c).rlike(r"\p{Sc}"), "$").otherwise("-"), text_kind(col(c))))
-        out[c] = F.call_function("approx_top_k", kind, F.lit(OBSERVED), F.lit(OBSERVED)).alias(value.strip("`"))
-    return out
+def observing_kinds(df: DataFrame, texts: list[str], seen: Observation, *more: Column) -> DataFrame:
+    """``df``, with what :func:`text_kinds` counts and ``more`` observed once it is computed: a sketch a
+    column, exact as long as the column has fewer kinds than it tracks."""
+    forms = {c: f"_form{i}" for i, c in enumerate(texts)}
+    shaped = df.withColumns({f: outline_of_others(col(c)) for c, f in forms.items()}).withColumns({f"{f}_bare": bare_outline(F.col(f)) for f in forms.values()})
+    counts = []
+    for c, f in forms.items():
+        kind = F.concat(F.when(col(c).rlike(r"\p{Sc}"), "$").otherwise("-"), text_kind(col(c), F.col(f), F.col(f"{f}_bare")))
+        counts.append(F.call_function("approx_top_k", F.when(col(c).isNull(), "").otherwise(kind), F.lit(OBSERVED), F.lit(OBSERVED)).alias(c))
+    return shaped.observe(seen, *more, *counts).select(*[col(c) for c in df.columns])
 
 
 def kinds_from(observed: Mapping[str, list]) -> dict[str, dict[tuple[str | None, bool], int]] | None:
@@ -177,7 +204,7 @@ def repair_types(df: DataFrame, kinds: Mapping[str, Mapping[tuple[str | None, bo
             log.append((c, f"Converted {c} from percent text to fractions", count["percent"]))
         elif n[c]:
             rest[c] = {k: m for k, m in count.items() if k not in (None, "other", "percent")}
-    fits = date_fits(df, rest, n)
+    fits = date_fits(df, rest, n, rows)
     for c in rest:
         if fits.get((c, "any"), 0) <= 0.7 * n[c]:
             continue

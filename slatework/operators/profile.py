@@ -37,7 +37,7 @@ def facets(df: DataFrame, name: str, limit: int | None = 20) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
-def _plain(df: DataFrame) -> list[T.StructField]:
+def plain_fields(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
 
 
@@ -49,7 +49,7 @@ def column_profile(df: DataFrame, hints: Mapping[str, str] | None = None, parsed
     sample (seed 42) instead of all rows, ``where`` those rows for which it holds. Nested columns are left out."""
     df = df if fraction is None else df.sample(fraction, seed=42)
     df = df if where is None else df.filter(where)
-    fields = _plain(df)
+    fields = plain_fields(df)
     wanted = {("", "rows"): F.count(F.lit(1))}
     for f in fields:
         c = col(f.name)
@@ -61,7 +61,13 @@ def column_profile(df: DataFrame, hints: Mapping[str, str] | None = None, parsed
     names = [f.name for f in fields]
     counts = exact_distinct(df, names) if exact else distinct_counts(df, {c: (20, 50, rows * 0.5) for c in names}, {c: seen[c, "about"] for c in names})
     samples = first_values(df, names)
-    formats = column_formats(df, parsed or {}, {f.name: (seen[f.name, "min"], seen[f.name, "max"]) for f in fields if is_number(f.dataType)})
+    ranges = {f.name: (seen[f.name, "min"], seen[f.name, "max"]) for f in fields if is_number(f.dataType)}
+    return profile_rows(df, fields, rows, counts, samples, ranges, hints, parsed)
+
+
+def profile_rows(df: DataFrame, fields: list[T.StructField], rows: int, counts: Mapping[str, int], samples: Mapping[str, list[str]], ranges: Mapping[str, tuple], hints: Mapping[str, str] | None = None, parsed: Mapping[str, str] | None = None) -> DataFrame:
+    """A profile's table from what is known of each column."""
+    formats = column_formats(df.select(*[col(f.name) for f in fields]), parsed or {}, ranges)
     out = []
     for i, f in enumerate(fields):
         time = isinstance(f.dataType, TIMES)

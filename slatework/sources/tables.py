@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.functions.text import NA_TOKENS
-from slatework.operators.clean import Cleaned, clean, kinds_from, kinds_observed
+from slatework.operators.clean import Cleaned, clean, kinds_from, observing_kinds
 from slatework.operators.scratch import delete, scratch
 from slatework.operators.stats import nan_to_null
 from slatework.sources.records import line_end, lines, records, scanned
@@ -95,8 +95,8 @@ def ingest(spark: SparkSession, path: str, rename: Mapping[str, str] | None = No
     df, names = _parsed(spark, path)
     stored, seen = scratch(spark, "text"), Observation()
     fields = df.columns[:-1]
-    counts = [F.count(F.lit(1)).alias("_rows"), F.count("_extra").alias("_over"), F.min("_extra").alias("_first"), *kinds_observed(fields).values()]
-    df.observe(seen, *counts).write.parquet(stored)
+    counts = F.count(F.lit(1)).alias("_rows"), F.count("_extra").alias("_over"), F.min("_extra").alias("_first")
+    observing_kinds(df, fields, seen, *counts).write.parquet(stored)
     found = seen.get
     if not found["_rows"] or found["_over"] and extra != "keep":
         delete(spark, stored)

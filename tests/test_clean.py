@@ -208,7 +208,7 @@ def test_text_kinds_are_those_of_the_patterns(spark):
 
     from slatework.functions import text as X
 
-    samples = ["1", "-12", "1.", ".5", "1e5", "$1,234.50", "€ 5", "1 2", "5%", "5.%", "1.5%", "-5%", "abc", "", "a1", "2021", "2021-1-2", "2021-01-02 3:04", "2021-01-02T03:04:05Z", "2021-01-02t03:04:05.123+0530", "2021-01-02 03:04:05.5 +01:00", "1/2/2021", "1/2/2021 3:04:05 pm", "Jan 5, 2021", "5 Sept 2021", "2021 Jan 5 3:04:05 PM", "T 5", "12:30", "T12:30:00", "9" * 18, "9" * 19, "+" + "9" * 18, "$" + "9" * 18, "1-2", "x 2021-01-02", "5 é 2021", "٣", "1.5.2", "2021-W01", "--5"]
+    samples = ["1", "-12", "1.", ".5", "1e5", "$1,234.50", "€ 5", "1 2", "5%", "5.%", "1.5%", "-5%", "abc", "", "a1", "2021", "2021-1-2", "2021-01-02 3:04", "2021-01-02T03:04:05Z", "2021-01-02t03:04:05.123+0530", "2021-01-02 03:04:05.5 +01:00", "1/2/2021", "1/2/2021 3:04:05 pm", "Jan 5, 2021", "5 Sept 2021", "2021 Jan 5 3:04:05 PM", "T 5", "12:30", "T12:30:00", "9" * 18, "9" * 19, "+" + "9" * 18, "$" + "9" * 18, "1-2", "x 2021-01-02", "5 é 2021", "٣", "1.5.2", "2021-W01", "--5", "8", "8888", "12345/1/2", "1/2/123", "0001/2/3", "1/2/0021", "123/4/5", "8/9/8888"]
     df = frame(spark, [(s,) for s in samples], "s string")
     c = F.col("s")
     times = [X.to_time(c, p).isNotNull().alias(f"p{i}") for i, p in enumerate(X.DATE_PATTERNS)]
