@@ -49,8 +49,8 @@ def grouped_medians(df: DataFrame, key: str, ys: list[str], large: int | None =
 
     Groups of at most ``large`` rows are aggregated as usual. The few larger ones, no more than the
     rows over ``large``, are narrowed down side by side: counts by (group, bin of its range) are added up
-    before they are shuffled, and each group's next range is that of the bin that holds its middle. A
-    range of one value ends a group. So no task gathers the values of a large group. Without large groups,
+    before they are shuffled, and each group's next range is that of the bin that holds its middle, until
+    it has one value, or no more than ``large`` rows, which are sorted. So no task gathers the values of a large group. Without large groups,
     which one count tells, there is a single aggregate. NaN counts as missing."""
     large = LARGE_GROUP if large is None else large
     k, values = _named(key), {y: F.when(~F.isnan(_named(y).cast("double")), _named(y).cast("double")) for y in ys}
@@ -65,30 +65,35 @@ def grouped_medians(df: DataFrame, key: str, ys: list[str], large: int | None =
     small = split.filter("_large is null").drop("_large").groupBy("_k").agg(*usual)
     most = crowded.select("_k")
     for i in range(len(ys)):
-        found = _narrowed(split.filter("_large").select("_k", F.col(f"_{i}").alias("v")), bins).withColumnRenamed("m", f"_{i}")
+        found = _narrowed(split.filter("_large").select("_k", F.col(f"_{i}").alias("v")), bins, large).withColumnRenamed("m", f"_{i}")
         most = most.join(found.withColumnRenamed("_k", "_g"), F.col("_k").eqNullSafe(F.col("_g")), "left").drop("_g")
     return small.unionByName(most).select(*named)
 
 
-def _narrowed(rows: DataFrame, bins: int) -> DataFrame:
-    """(_k, m): exact medians of v by _k. A group's range, and how many values of it are to be left below
-    the middle, are a row of a small table that is written once a round."""
+def _narrowed(rows: DataFrame, bins: int, large: int) -> DataFrame:
+    """(_k, m): exact medians of v by _k. A group's range, the rows in it and the middle's rank among them
+    are a row of a small table that is written once a round, until no range has over ``large`` rows."""
     v, inf = F.col("v"), float("inf")
     finite = F.when(F.abs(v) != inf, v)
-    state = rows.filter("v is not null").groupBy("_k").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("v").alias("n"), F.count_if(v == -inf).alias("below"), F.count_if(v == inf).alias("above"))
-    middle = F.floor((F.col("n") + 1) / 2).cast("long")
-    state = state.withColumn("rank", middle - F.col("below"))
-    state = state.withColumn("end", F.when(F.col("rank") <= 0, -inf).when(F.col("rank") > F.col("n") - F.col("below") - F.col("above"), inf))
-    state = stored(state.withColumns({"lo": F.coalesce("end", "lo"), "hi": F.coalesce("end", "hi")}).drop("end", "above", "below"), "ranges")
-    while not (wide := state.filter("lo < hi")).isEmpty():
+    state = rows.filter("v is not null").groupBy("_k").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.count("v").alias("n"), F.count(finite).alias("c"), F.count_if(v == -inf).alias("below"))
+    state = state.withColumn("rank", F.floor((F.col("n") + 1) / 2).cast("long") - F.col("below"))
+    end = F.when(F.col("rank") <= 0, -inf).when(F.col("rank") > F.col("c"), inf)
+    state = stored(state.select("_k", F.coalesce(end, "lo").alias("lo"), F.coalesce(end, "hi").alias("hi"), "n", "c", "rank"), "ranges")
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        return rows.join(ranges.withColumnRenamed("_k", "_g"), v.between(F.col("lo"), F.col("hi")) & F.col("_k").eqNullSafe(F.col("_g")))
+
+    wide = (F.col("lo") < F.col("hi")) & (F.col("c") > large)
+    while not state.filter(wide).isEmpty():
         span = F.col("hi") / 2 - F.col("lo") / 2
         part = F.when(span > 0, (v / 2 - F.col("lo") / 2) / span).otherwise(F.when(v == F.col("lo"), 0.0).otherwise(1.0))
         place = F.least(F.lit(bins - 1), F.floor(part * bins))
-        inside = rows.join(wide.withColumnRenamed("_k", "_g"), v.between(F.col("lo"), F.col("hi")) & F.col("_k").eqNullSafe(F.col("_g")))
-        counted = inside.groupBy("_k", "n", "rank", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted = inside(state.filter(wide)).groupBy("_k", "n", "rank", place.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         upto = F.sum("c").over(Window.partitionBy("_k").orderBy("bin"))
         holding = counted.withColumn("upto", upto).filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
-        state = stored(state.filter("lo = hi").unionByName(holding.select("_k", "lo", "hi", "n", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))), "ranges")
+        state = stored(state.filter(~wide).unionByName(holding.select("_k", "lo", "hi", "n", "c", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))), "ranges")
+    few = inside(state.filter("lo < hi")).groupBy("_k", "n", "rank").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    state = state.filter("lo = hi").select("_k", "n", "lo").unionByName(few.select("_k", "n", F.element_at("values", F.col("rank").cast("int")).alias("lo")))
     # of an even number of values the next one counts too: the same again, or the least above it
     found = state.select(F.col("_k").alias("_g"), "n", F.col("lo").alias("first"))
     after = rows.join(found, F.col("_k").eqNullSafe(F.col("_g"))).groupBy("_k", "n", "first").agg(F.count_if(v <= F.col("first")).alias("upto"), F.min(F.when(v > F.col("first"), v)).alias("next"))
