@@ -104,13 +104,15 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, most_labelle
     return np.where(raw > 0, np.log(np.where(raw > 0, target / np.where(raw > 0, raw, 1), 1)), 0.0)
 
 
-def score(docs: DataFrame, ratio: np.ndarray, most_grams: int = 32) -> DataFrame:
+def score(docs: DataFrame, ratio: np.ndarray, most_grams: int | None = 32) -> DataFrame:
     """``docs`` with ``log_weight`` and ``n_grams``; columns of these names are replaced, all others
     pass through.
 
     The log weight is log target - log raw probability: the mean log ratio of the text's grams times
     their number, of which ``most_grams`` count at most. A text's grams depend on each other, so that
     their plain sum would make any long text's weight boundless, and the noise of the sample nothing.
+    With ``most_grams=None`` it is that plain sum, the models' exact ratio, for which :func:`perturb`
+    wants a temperature of the size of the weights' spread (:func:`spread`).
     Null and empty texts have no grams and weight 0. Equal rows get equal results, an empty table an
     empty one. The model is one array of a fixed size."""
     docs = docs.drop("log_weight", "n_grams")
@@ -124,7 +126,9 @@ def score(docs: DataFrame, ratio: np.ndarray, most_grams: int = 32) -> DataFrame
             for part in slices(batch, sizes(batch.column(text)), PART):
                 found, owner = grams.of(part.column(text).to_pylist())
                 n = np.bincount(owner, minlength=part.num_rows)
-                weight = np.bincount(owner, ratio[found], minlength=part.num_rows) * np.minimum(most_grams / np.maximum(n, 1), 1)
+                weight = np.bincount(owner, ratio[found], minlength=part.num_rows)
+                if most_grams is not None:
+                    weight = weight * np.minimum(most_grams / np.maximum(n, 1), 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(weight, pa.float64()), pa.array(n, pa.int64())], [*batch.schema.names, "log_weight", "n_grams"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("n_grams", T.LongType())])
@@ -139,6 +143,12 @@ def perturb(scored: DataFrame, temperature: float = 1.0, seed: int = 42) -> Data
     return scored.withColumn("gumbel_key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(u)))
 
 
+def spread(scored: DataFrame) -> float:
+    """The standard deviation of the log weights, 1 where there is none: a temperature for weights that
+    have no bound. At this one the noise and the weights have a say of the same size."""
+    return scored.agg(F.stddev_samp("log_weight")).first()[0] or 1.0
+
+
 def accepted(scored: DataFrame, sure: float = -6.0) -> int:
     """How many documents rejection sampling by the weights is expected to keep, if those with a log
     weight of ``sure`` or more are always kept, and others in proportion to their weights."""

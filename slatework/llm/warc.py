@@ -257,8 +257,11 @@ def records_of(content: bytes, most_bytes: int = 1 << 30) -> Iterator[tuple[int,
 
 def save_archives(archives: DataFrame, folder: str) -> int:
     """Write the archives of (path, content) as files of these names in a folder that all executors
-    share, given as a URI, and return their number. A file is moved into its place when it is whole, so
-    that a task may run again. Spark's binaryFile source reads them back for :func:`read_archives`."""
+    share, given as a URI, and return how many rows were written. A file is moved into its place when it is
+    whole, so that a task may run again. Spark's binaryFile source reads them back for :func:`read_archives`.
+
+    A null content is an empty file; a row without a path is not written. Of rows with equal paths
+    one stays, whichever is moved last. An empty table writes nothing and gives 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -269,11 +272,11 @@ def save_archives(archives: DataFrame, folder: str) -> int:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 waiting = f"{base}/_{uuid.uuid4().hex}"
                 with store.open_output_stream(waiting) as out:
-                    out.write(content)
+                    out.write(content or b"")
                 store.move(waiting, f"{base}/{path}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
-    return archives.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return archives.filter("path is not null").select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -281,7 +284,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     archive, offset, page_id, url, record_type, payload (null in a revisit), payload_bytes,
     payload_digest (both of the full payload) and refers_to. Heads, lengths, checksums and
     digests are validated; a broken archive raises ValueError with its offset. Archives of other
-    programs are read too, with records of all types. Null contents have no records."""
+    programs are read too, with records of all types. Null and empty contents have no records, equal
+    archives have theirs each, and an empty table gives an empty one."""
     names = [c.split()[0] for c in RECORDS.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 

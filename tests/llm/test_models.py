@@ -57,6 +57,20 @@ def test_importance_weights_are_log_ratios_and_reject_the_odd(spark):
     assert len(kept) == k and len(kept - set(range(80))) <= 2
 
 
+def test_weights_are_the_exact_ratio_without_a_bound(spark):
+    texts = ["good words here " * (1 + i % 30) for i in range(40)] + ["bad stuff now " * (1 + i % 30) for i in range(40)] + ["good", None]
+    docs = documents(spark, texts)
+    ratio = quality.fit(docs, labels(spark, [(i, int(i < 40), 0) for i in range(80)]), buckets=1 << 22)
+    exact = {r["doc_id"]: r for r in quality.score(docs, ratio, most_grams=None).collect()}
+    for r in quality.score(docs, ratio, most_grams=32).collect():
+        e = exact[r["doc_id"]]
+        found, _ = quality.Grams(len(ratio)).of([texts[r["doc_id"]]])
+        assert e["n_grams"] == len(found) and e["log_weight"] == pytest.approx(sum(ratio[found]))
+        assert r["log_weight"] == pytest.approx(e["log_weight"] * min(1, 32 / max(1, e["n_grams"])))
+    assert quality.spread(quality.score(docs, ratio, most_grams=None)) == pytest.approx(np.std([e["log_weight"] for e in exact.values()], ddof=1))
+    assert quality.spread(quality.score(docs.limit(0), ratio)) == 1.0
+
+
 def test_the_sample_follows_the_seed_and_the_odds(spark, tmp_path):
     from slatework.llm.queries import op10_quality
 
@@ -240,6 +254,15 @@ def test_archives_are_files_that_spark_reads(spark, tmp_path):
     assert back.drop("archive", "offset").exceptAll(warc.read_archives(archives).drop("archive", "offset")).count() == 0 and back.count() == 48
 
 
+def test_archives_without_content_or_path(spark, tmp_path):
+    rows = [("a", None), ("b", b""), (None, b"x"), ("c", b"1"), ("c", b"1")]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    assert warc.save_archives(df, f"file://{tmp_path}/n") == 4
+    assert {p.name: p.read_bytes() for p in (tmp_path / "n").iterdir()} == {"a": b"", "b": b"", "c": b"1"}
+    assert warc.save_archives(df.limit(0), f"file://{tmp_path}/n") == 0
+    assert warc.read_archives(df.filter("path in ('a', 'b')")).count() == 0
+
+
 def test_frames_share_the_leading_dictionary(spark):
     content = bytes(warc.write_archives(warc.resolve(pages(spark)).coalesce(1)).first()["content"])
     assert content[:4] == (0x184D2A5D).to_bytes(4, "little")
