@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.functions.text import DATE_OUTLINES, DATE_PATTERNS, any_time, bare_outline, outline_of_others, stripped_number, text_kind, to_fraction, to_number, to_time
-from slatework.operators.stats import col, distinct_counts, median, modes, nan_to_null, one_pass
+from slatework.operators.stats import col, distinct_counts, literal, median, modes, nan_to_null, one_pass
 from slatework.operators.stats import is_number as is_numeric
 
 #: Parts of names, wherever they stand in the lower-cased name.
@@ -367,5 +367,5 @@ def simple_impute(df: DataFrame) -> DataFrame:
         whole = isinstance(f.dataType, T.IntegralType) and v is not None and float(v) == int(v)
         if v is not None:
             c = col(f.name).cast("double") if isinstance(f.dataType, T.IntegralType) and not whole else col(f.name)
-            new[f.name] = F.coalesce(c, F.lit(v) if not is_numeric(f.dataType) or not whole else F.lit(int(v)).cast(f.dataType))
+            new[f.name] = F.coalesce(c, literal(v, f.dataType) if not is_numeric(f.dataType) or not whole else F.lit(int(v)).cast(f.dataType))
     return df.withColumns(new) if new else df

@@ -130,14 +130,15 @@ def modes(df: DataFrame, names: Iterable[str]) -> dict[str, object]:
     names = list(names)
     if not names:
         return {}
-    sketch = {c: F.expr(f"approx_top_k({_sql_name(c)}, {NAMED}, {TRACKED})") for c in names}
-    seen = one_pass(df, {(c, k): a for c in names for k, a in {"n": F.count(col(c)), "top": sketch[c]}.items()})
+    sketched = [c for c in names if isinstance(df.schema[c].dataType, _SKETCHED)]
+    sketch = {c: F.expr(f"approx_top_k({_sql_name(c)}, {NAMED}, {TRACKED})") for c in sketched}
+    seen = {(c, "top"): [] for c in names} | one_pass(df, {(c, k): a for c in names for k, a in {"n": F.count(col(c)), **({"top": sketch[c]} if c in sketch else {})}.items()})
     likely: dict[str, list[object]] = {}
     for c in names:
         found = [(r["item"], r["count"]) for r in seen[c, "top"] or [] if r["item"] is not None]
         best = max((k for _, k in found), default=0)
         likely[c] = [v for v, k in found if k >= best - frequent_bound(seen[c, "n"])]
-    same = {(c, i): F.count_if(col(c) == F.lit(v)) for c, values in likely.items() for i, v in enumerate(values)}
+    same = {(c, i): F.count_if(col(c) == literal(v, df.schema[c].dataType)) for c, values in likely.items() for i, v in enumerate(values)}
     counts = one_pass(df, same)
     out: dict[str, object] = {}
     for c in names:
@@ -152,6 +153,15 @@ def modes(df: DataFrame, names: Iterable[str]) -> dict[str, object]:
     return out
 
 
+#: Types whose frequent values a sketch can hold.
+_SKETCHED = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def literal(value: object, kind: T.DataType) -> Column:
+    """A collected value as a literal of its own type; one without a time zone is not shifted by any."""
+    return F.lit(value.isoformat(sep=" ")).cast(kind) if isinstance(kind, T.TimestampNTZType) and value is not None else F.lit(value)
+
+
 def _sql_name(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

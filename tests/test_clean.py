@@ -196,6 +196,15 @@ def test_modes_take_two_jobs_and_are_exact(spark):
     assert S.modes(df, ["few", "some name", "tie"]) and len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(jobs) <= 4
 
 
+def test_times_without_a_zone_keep_their_type_and_value(spark):
+    df = spark.range(10).selectExpr("if(id = 3, null, timestamp_ntz'2020-01-01 02:30:00' + make_interval(0, 0, 0, id % 3)) as t", "if(id = 4, null, make_dt_interval(0, id % 2)) as d")
+    done = C.simple_impute(df)
+    assert done.dtypes == df.dtypes and done.filter("t is null or d is null").count() == 0
+    import datetime
+
+    assert S.modes(df, ["t", "d"]) == {"t": datetime.datetime(2020, 1, 1, 2, 30), "d": datetime.timedelta(hours=1)}
+
+
 def test_a_crowded_sketch_leaves_it_to_counts(spark, monkeypatch):
     monkeypatch.setattr(S, "TRACKED", 12)
     monkeypatch.setattr(S, "NAMED", 3)
