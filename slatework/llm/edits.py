@@ -96,7 +96,8 @@ _LISTS = pa.list_(pa.int64())
 def build_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``docs`` with ``tree_chars``, ``tree_tokens`` (sums at every node) and ``n_tokens`` of whole
     texts; columns of these names are replaced, others pass through. Null texts count as empty.
-    Rows stay where they are: nothing is shuffled."""
+    Rows stay where they are: nothing is shuffled. Equal rows get equal trees, an empty table gives an
+    empty one."""
     docs = docs.drop(*[f.name for f in _TREE])
     text = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, *_TREE])
@@ -119,7 +120,8 @@ def apply_edits(trees: DataFrame, tokenizer: str, edits: str = "edits") -> DataF
 
     Starts and lengths count characters; what lies outside a text is cut off, null starts and
     lengths are 0, null replacements empty, null edits nothing. A null text with edits is an empty
-    one. Edits of a document are one array in its row, so a document's edits are local to it."""
+    one. Edits of a document are one array in its row, so a document's edits are local to it. Rows that
+    repeat are edited each for itself; an empty table gives an empty one."""
     trees = trees.drop("chars_reencoded")
     names = trees.columns
     text, chars, tokens, total, how = (names.index(x) for x in ("text", "tree_chars", "tree_tokens", "n_tokens", edits))

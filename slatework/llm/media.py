@@ -155,7 +155,8 @@ def decode_media(media: DataFrame, key: str = "doc_id", rate: int = 16000, slice
 
     ``payload`` is the code bytes, ``feature`` describes the decoded samples and ``pcm`` is 16-bit
     PCM resampled to ``rate``. ADPCM blocks of all files of a slice are decoded together. A null
-    file gives nulls; a broken one raises ValueError."""
+    file gives nulls; a broken one raises ValueError. Equal files give equal rows, an empty table an
+    empty one; columns besides are left out."""
     kind = media.select(key).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

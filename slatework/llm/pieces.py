@@ -316,7 +316,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42) ->
     differ within a document and between documents, and a rerun or a retried task gives the same
     ids. Documents without a doc_id are told apart by their text. With dropout 0 the ids are the
     model's own. A null text gives null ids, an empty one none. A column named ids is replaced;
-    others pass through."""
+    others pass through. Equal rows get equal ids, an empty table gives an empty one."""
     docs = docs.drop("ids")
     text = docs.columns.index("text")
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
@@ -344,7 +344,8 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 42) ->
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
     """``coded`` with ``decoded``: the text of its ``ids`` (null for null). Decoding what
-    :func:`encode` made gives the text back whole. A column named decoded is replaced."""
+    :func:`encode` made gives the text back whole. A column named decoded is replaced. Rows are decoded each for itself,
+    so equal ones stay equal; an empty table gives an empty one."""
     coded = coded.drop("decoded")
     at = coded.columns.index("ids")
     schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())])
