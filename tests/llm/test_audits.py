@@ -1,9 +1,9 @@
 """Source divergences, secrets and hard negatives: brute force, and keys made here."""
 
 import base64
+import hashlib
 import json
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -53,10 +53,7 @@ def found(df):
     return Counter(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("blocks", [False, True])
-def test_divergences_are_exact(spark, monkeypatch, blocks):
-    if blocks:  # the driver's values reach tasks only in the function itself, so call that
-        monkeypatch.setattr(divergence, "BLOCK", 8)
+def test_divergences_are_exact(spark):
     rng = np.random.default_rng(4)
     words = ["Alpha", "BETA", "gamma", "dél", "日本", "İx", "o'clock", "e2e", "x\x00y", "K"]
     rows = [(" ".join(rng.choice(words, rng.integers(0, 30), p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05, 0.05, 0.03, 0.02])), str(rng.choice(["en", "de", "日"])), f"s{min(9, int(rng.exponential(2)))}") for _ in range(400)]
@@ -65,9 +62,6 @@ def test_divergences_are_exact(spark, monkeypatch, blocks):
     got = found(divergence.audit(df))
     assert set(got) == audited(rows) and set(got.values()) == {1}
     assert {r[4] for r in got if r[0] == "xx"} == {0}
-    if blocks:
-        table = list(divergence.partial_counts(df).filter("lang = 'en' and term is not null").groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("counts")).toArrow().to_batches())
-        assert table
 
 
 def test_blocks_of_terms_add_up(spark, monkeypatch):
@@ -108,12 +102,10 @@ def test_divergences_of_odd_tables(spark):
     assert set(found(divergence.audit(nothing))) == {("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)}
 
 
-def test_a_crowded_task_passes_counts_on(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD", 4096)
-    monkeypatch.setattr(divergence, "PART", 64)
+def test_counts_of_parts_add_up(spark):
     texts = [f"w{'abcdefghij'[i % 10] * (1 + i % 40)} the" for i in range(300)]
     batches = documents(spark, texts).select("text", "lang", "source").toArrow().to_batches()
-    run = divergence.partial_counts(documents(spark, texts))  # as Spark runs it, and as one task would
+    run = divergence.partial_counts(documents(spark, texts))
     want = Counter()
     for r in run.collect():
         want[r["lang"], r["source"], r["term"]] += r["n"]
@@ -289,8 +281,6 @@ def test_the_scan_of_a_table(spark, tmp_path):
     docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
     for r in queries.op12_secrets(spark, str(tmp_path)).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         base, text = spelled_in(r["text"] or ""), r["text"] or ""
-        import hashlib
-
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(b[0] == k for b in base) for k in ("assign", "access", "hex")]
         assert r["spans"] == ",".join(f"{k}:{s}:{e}" for k, s, e, _ in credentials.find(text))
@@ -398,4 +388,4 @@ def test_registered_queries_give_what_the_operators_give(spark, tmp_path):
     spark.createDataFrame(rows, VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
     moved = [(k, v, (l + 1) % 10 if k % 7 == 0 else l) for k, v, l in rows]
     assert set(found(queries.op13_negatives(spark, str(tmp_path)))) == mined(moved)
-    assert zlib.crc32(b"x") and set(queries.oracle_sql()) <= set(queries.queries())
+    assert set(queries.oracle_sql()) <= set(queries.queries())
