@@ -200,12 +200,65 @@ def banded_grid(df: DataFrame, key: str, member: str, size: str, weight: str, li
     return out.withColumns({"cell_i": F.least("chunk", "_o"), "cell_j": F.greatest("chunk", "_o")}).drop("_g", "_o", "_to", "_band")
 
 
-def candidates(classes: DataFrame, ratio: Fraction, list_rows: int = 1024) -> DataFrame:
+def sketch_values(rows: DataFrame, least: float) -> DataFrame:
+    """(set_key, value, n_values, n_rarest), a row for each value of the sketches of ``rows``. Two sketches of
+    which the share ``least`` of the larger is in both have a value in common among each one's
+    ``n_rarest`` first values, in whatever order, if it is the same one for both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.frombuffer(x, dtype="<u4")) for x in batch.column(1).to_pylist()]
+            n, held = np.array([len(x) for x in found], dtype=np.int64), np.minimum(batch.column(2).to_numpy(), SKETCH)
+            rarest = n - np.ceil(least * held - 1e-9).astype(np.int64) + 1
+            values = np.concatenate([*found, np.empty(0, dtype="<u4")]).astype(np.int64)
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(values), pa.array(np.repeat(n, n)), pa.array(np.repeat(rarest, n))], ["set_key", "value", "n_values", "n_rarest"])
+
+    return rows.select("set_key", "sketch", "n_shingles").mapInArrow(run, "set_key binary, value long, n_values long, n_rarest long")
+
+
+def shortened(classes: DataFrame, least: float, most_rows: int) -> DataFrame:
+    """``classes`` with the lists that each set is to be on as ``listed``: those longer than ``most_rows`` are
+    left, where that loses nothing, for lists of values that are rare among the sets on them.
+
+    Of the sets on long lists all values of the sketches are counted. Two of them whose sketches share
+    enough to pass the estimate share one of the values that are each one's rarest (:func:`sketch_values`),
+    so each goes on the lists of those: values that no other set has need none. A set leaves the long
+    lists if no list of its rarest values is long, as such a set meets all others on these; sets whose
+    rarest values are common too (near copies in thousands) stay on both."""
+    long_lists = classes.select(F.explode("listed").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    long_lists = materialize(long_lists.filter(F.col("n") > most_rows), "long_lists")
+    if long_lists.isEmpty():
+        return classes
+    on = classes.select("set_key", F.explode("listed").alias("value")).join(rekeyed(long_lists, "n", "value"), "value")
+    on = on.groupBy("set_key").agg(F.collect_set("value").alias("long"))
+    values = sketch_values(classes.join(on.select("set_key"), "set_key"), least)
+    known = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).withColumn("m", F.col("n"))
+    near = values.join(rekeyed(known, "n", "value"), "value").groupBy("set_key", "n_values", "n_rarest")
+    near = near.agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("near"))
+    # values of this set alone come first in the order
+    first = F.slice("near", 1, F.greatest(F.col("n_rarest") - F.col("n_values") + F.size("near"), F.lit(0)).cast("int"))
+    near = near.select("set_key", first.alias("first")).select("set_key", F.forall("first", lambda x: x.m <= most_rows).alias("free"), F.filter("first", lambda x: x.m <= most_rows).alias("rare"))
+    lists = on.join(near, "set_key", "left").select("set_key", F.when(F.coalesce("free", F.lit(True)), F.col("long")).alias("left"), F.transform("rare", lambda x: -1 - x.value).alias("rare"))
+    none = F.array().cast("array<long>")
+    listed = F.concat(F.array_except("listed", F.coalesce("left", none)), F.coalesce("rare", none))
+    return classes.join(materialize(lists, "lists"), "set_key", "left").withColumn("listed", listed).drop("left", "rare")
+
+
+def candidate_cells(classes: DataFrame, ratio: Fraction, slack: float, list_rows: int, most_rows: int) -> DataFrame:
+    """The sets of each list, once for each cell in which they are compared. Lists longer than
+    ``list_rows`` are laid out by :func:`banded_grid`, after those longer than ``most_rows`` are
+    :func:`shortened`: at eight chunks, copies cost about what counting a sketch's values does."""
+    classes = shortened(classes, float(ratio) - slack, most_rows)
+    lists = classes.select("set_key", "n_shingles", "sketch", F.explode("listed").alias("value"), F.lit(1).alias("one"))
+    return banded_grid(lists, "value", "set_key", "n_shingles", "one", list_rows, ratio)
+
+
+def candidates(classes: DataFrame, ratio: Fraction, list_rows: int = 1024, most_rows: int = 8192) -> DataFrame:
     """(a, b): a forest of candidate links between set_keys, from the inverted lists of the
-    listed hashes. A list longer than ``list_rows`` is laid out by :func:`banded_grid`."""
+    listed hashes, as :func:`candidate_cells` lays them out."""
     slack = SLACK * float(np.sqrt(float(ratio) * (1 - float(ratio)) / SKETCH))
-    lists = classes.select("set_key", "n_shingles", "sketch", F.explode("listed").alias("value"), F.lit(1).alias("one"))
-    cells = by_cell(banded_grid(lists, "value", "set_key", "n_shingles", "one", list_rows, ratio), ["value", "band"])
+    cells = by_cell(candidate_cells(classes, ratio, slack, list_rows, most_rows), ["value", "band"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["value", "band", "cell_i", "cell_j"]):
@@ -294,8 +347,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Method: equal sets are one class. Each class's bottom-k sketch comes from one hash function;
     inverted lists of its smallest values bring classes together, overlaps and union-sketch
     estimates filter them, and clusters of what is left are compared by exact Jaccard on full
-    sets (of 64-bit shingle hashes). Long lists and large clusters are cut by bands of sizes and then
-    into pairs of chunks; tasks return forests of links, never all pairs.
+    sets (of 64-bit shingle hashes). Sets on very long lists go to lists of their rarest sketch values instead.
+    Long lists and large clusters are cut by bands of sizes and then into pairs of chunks; tasks
+    return forests of links, never all pairs.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id
     are compared each by its own text. A row with a null doc_id takes part as all others; it is

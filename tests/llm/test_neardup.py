@@ -66,6 +66,38 @@ def test_long_lists_and_large_clusters_are_cut_in_cells(spark, monkeypatch):
     assert sorted(tuple(r)[:4] for r in found.collect()) == brute_force(list(enumerate(texts)), 3, 85)
 
 
+@pytest.mark.parametrize("most_rows", [3, 25])
+@pytest.mark.parametrize(("seed", "width", "percent"), [(11, 3, 85), (12, 5, 80)])
+def test_long_lists_give_way_to_rarer_values(spark, monkeypatch, seed, width, percent, most_rows):
+    r = random.Random(seed)
+    line = r.choices([f"c{i}" for i in range(50)], k=60)
+    texts = corpus(seed, 10)
+    for _ in range(30):  # texts of one common line each, some in two or three near copies
+        own = r.choices([f"w{i}" for i in range(3000)], k=r.choice([20, 60, 150]))
+        texts += [" ".join([*line, *own[: len(own) - k]]) for k in range(r.choice([1, 1, 2, 3]))]
+    texts += [" ".join([*line[:k], "x", *line[k:]]) for k in range(0, 60, 2)]  # near copies of the line alone
+    cut = neardup.candidates
+    monkeypatch.setattr(neardup, "candidates", lambda classes, ratio: cut(classes, ratio, 20, most_rows))
+    found = neardup.near_duplicates(documents(spark, texts), width=width, percent=percent)
+    assert sorted(tuple(r)[:4] for r in found.collect()) == brute_force(list(enumerate(texts)), width, percent)
+
+
+def test_one_common_value_costs_no_copies(spark):
+    r = random.Random(1)
+    rows = []
+    for i in range(3000):  # all have the value 5; every two also share most of theirs with each other
+        own = sorted(r.sample(range(10, 2**32), 47)) if i % 2 == 0 else [*own[:46], own[46] + 1]
+        wide = [5, *own]
+        rows.append((i.to_bytes(16, "big"), 60, b"".join(v.to_bytes(4, "little") for v in wide), [v << 32 for v in wide[:8]]))
+    classes = spark.createDataFrame(rows, "set_key binary, n_shingles long, sketch binary, listed array<long>")
+    ratio = neardup.Fraction(85, 100)
+    cells = neardup.candidate_cells(classes, ratio, 0.3, 100, 800)
+    assert cells.filter("value = 5L << 32").count() == 0 and cells.count() < 30 * 3000
+    assert neardup.candidate_cells(classes, ratio, 0.3, 100, 5000).count() > 35 * 3000
+    links = {(bytes(a), bytes(b)) for a, b in neardup.candidates(classes, ratio, 100, 800).collect()}
+    assert {tuple(sorted(x)) for x in links} == {((i).to_bytes(16, "big"), (i + 1).to_bytes(16, "big")) for i in range(0, 3000, 2)}
+
+
 def test_odd_rows(spark):
     found = neardup.near_duplicates(clashing(odd_documents(spark)), width=3, percent=85).collect()
     rows = sorted((tuple(r)[:4] for r in found), key=str)
