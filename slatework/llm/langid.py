@@ -89,25 +89,29 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, moves: np.ndarray, fi
     return out / out.sum(axis=1, keepdims=True), alpha
 
 
-def sample(docs: DataFrame, per_lang: int, most_bytes: int = 8 << 20, most_langs: int = 200) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, per_lang: int, most_bytes: int = 64 << 20, most_langs: int | None = 200) -> list[tuple[str, str]]:
     """(text, lang) of at most ``per_lang`` different documents of each of the ``most_langs``
-    commonest languages, and of at most ``most_bytes`` of text of each.
+    commonest languages (all for None), and of at most ``most_bytes`` of text in all, to which each
+    language may add the same part.
 
     Taken are those with the smallest hashes of (doc_id, text). A share of rows that is wanted twice
-    over goes on to the ranking, so that no language's rows ever meet in a task; equal rows are one.
-    Texts that are null, or longer than ``most_bytes``, are left out. An empty table gives none."""
+    over goes on to the ranking, which sees hashes and lengths only, so neither a language's rows nor
+    many texts ever meet in a task; the texts that are taken are fetched afterwards. Equal rows are
+    one. Texts that are null, or longer than a language's part, are left out. An empty table gives none."""
     rows = docs.filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = (counts if most_langs is None else counts.limit(most_langs)).collect()
     if not counts:
         return []
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, (2 * per_lang + 50) / r["count"]))])
     drawn = rows.select("lang", F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(7), "doc_id", "text").alias("_draw"))
     drawn = drawn.filter(F.pmod("_draw", F.lit(1_000_000)) / 1_000_000.0 < F.element_at(share, F.col("lang")))
-    drawn = drawn.filter(F.octet_length("text") <= most_bytes).dropDuplicates(["lang", "_draw"])
+    keys = drawn.groupBy("lang", "_draw").agg(F.min(F.octet_length("text")).alias("_bytes")).filter(F.col("_bytes") <= most_bytes // len(counts))
     order = Window.partitionBy("lang").orderBy(F.pmod("_draw", F.lit(1_000_000)), "_draw")
-    ranked = drawn.withColumns({"_at": F.row_number().over(order), "_bytes": F.sum(F.octet_length("text")).over(order)})
-    picked = ranked.filter((F.col("_at") <= per_lang) & (F.col("_bytes") <= most_bytes)).select("text", "lang")
-    return [(r["text"], r["lang"]) for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["text"]))]
+    ranked = keys.withColumns({"_at": F.row_number().over(order), "_all": F.sum("_bytes").over(order)})
+    picked = ranked.filter((F.col("_at") <= per_lang) & (F.col("_all") <= most_bytes // len(counts))).select("lang", "_draw")
+    texts = drawn.join(picked, ["lang", "_draw"]).dropDuplicates(["lang", "_draw"]).select("text", "lang")
+    return [(r["text"], r["lang"]) for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["text"]))]
 
 
 def train(pairs: list[tuple[str, str]], steps: int = 400, sequences: int = 64, length: int = 32, rate: float = 0.3, seed: int = 1) -> Model:

@@ -171,10 +171,19 @@ def test_samples_are_bounded_whatever_the_ids(spark):
     assert Counter(lang for _, lang in got) == {"en": 50, "de": 50} and len(set(got)) == 100
     again = langid.sample(same.union(same).repartition(3), 50)
     assert again == got
-    assert sum(len(t) for t, _ in langid.sample(same, 50, most_bytes=100)) <= 200
+    few = langid.sample(same, 50, most_bytes=100)
+    assert {lang for _, lang in few} == {"en", "de"} and sum(len(t) for t, _ in few) <= 100
     assert langid.sample(documents(spark, ["same"] * 100, ids=[1] * 100), 50) == [("same", "en")]
 
 
+def test_samples_take_the_commonest_languages_or_all(spark):
+    docs = documents(spark, [f"text {i}" for i in range(60)], [f"l{int(i**0.5)}" for i in range(60)])
+    assert {lang for _, lang in langid.sample(docs, 3, most_langs=2)} == {"l5", "l6"}  # 11 and 13 texts, as l7 has 11 and a later name
+    assert {lang for _, lang in langid.sample(docs, 3, most_langs=None)} == {f"l{k}" for k in range(8)}
+    long = documents(spark, ["a" * 10_000, "b" * 40, "c" * 40], ["en", "en", "de"])
+    assert sorted(langid.sample(long, 5, most_bytes=1000)) == [("b" * 40, "en"), ("c" * 40, "de")]
+
+
 def test_languages_of_odd_rows(spark, model):
     rows = langid.predict(clashing(odd_documents(spark)), model, spans=True).collect()
     assert len(rows) == 9
