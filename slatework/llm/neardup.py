@@ -242,7 +242,8 @@ def shortened(classes: DataFrame, least: float, most_rows: int) -> DataFrame:
     lists = on.join(near, "set_key", "left").select("set_key", F.when(F.coalesce("free", F.lit(True)), F.col("long")).alias("left"), F.transform("rare", lambda x: -1 - x.value).alias("rare"))
     none = F.array().cast("array<long>")
     listed = F.concat(F.array_except("listed", F.coalesce("left", none)), F.coalesce("rare", none))
-    return classes.join(materialize(lists, "lists"), "set_key", "left").withColumn("listed", listed).drop("left", "rare")
+    # written, as laying them out reads them several times
+    return materialize(classes.join(lists, "set_key", "left").select("set_key", "n_shingles", "sketch", listed.alias("listed")), "lists")
 
 
 def candidate_cells(classes: DataFrame, ratio: Fraction, slack: float, list_rows: int, most_rows: int) -> DataFrame:
