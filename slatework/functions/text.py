@@ -148,7 +148,8 @@ def _fixed(c: Column, digits: int) -> Column:
 
 def display_value(c: Column, kind: str = "number", compact: bool = False) -> Column:
     """A number as text: currency in whole dollars, percentage times 100 with one decimal, and with
-    ``compact`` thousands, millions and billions with one decimal and a letter. Null stays null."""
+    ``compact`` thousands, millions and billions with one decimal and a letter, and no commas in currency.
+    Null stays null."""
     x, size = c.cast("double"), F.abs(c.cast("double"))
     front = "$" if kind == "currency" else ""
     if kind == "percentage":
@@ -159,4 +160,6 @@ def display_value(c: Column, kind: str = "number", compact: bool = False) -> Col
     if not compact:
         return plain
     scaled = [F.concat(sign, F.lit(front), _fixed(size / unit, 1), F.lit(letter)) for unit, letter in ((1e9, "B"), (1e6, "M"), (1e3, "K"))]
-    return F.when(size >= 1e9, scaled[0]).when(size >= 1e6, scaled[1]).when(size >= 1e3, scaled[2]).when(x.isNotNull(), plain)
+    # below a thousand, but what rounds up to it has four digits
+    rest = F.concat(sign, F.lit(front), _fixed(size, 0)) if kind == "currency" else plain
+    return F.when(size >= 1e9, scaled[0]).when(size >= 1e6, scaled[1]).when(size >= 1e3, scaled[2]).when(x.isNotNull(), rest)

@@ -220,6 +220,25 @@ def test_display(spark):
     assert [r[1] for r in shown.collect()] == ["1,234,567", "-1,500", "12.5", None]
 
 
+def test_compact_currency_that_rounds_up_to_a_thousand_has_no_comma(spark, tmp_path):
+    import duckdb
+
+    from slatework import catalog
+
+    df = spark.createDataFrame([(999.49,), (999.5,), (999.99,), (1000.0,), (-999.7,), (999999.99,)], "x double")
+    assert [r[0] for r in df.select(display_value(F.col("x"), "currency", True)).collect()] == ["$999", "$1000", "$1000", "$1.0K", "-$1000", "$1000.0K"]
+    assert [r[0] for r in df.select(display_value(F.col("x"), "currency")).collect()][1:4] == ["$1,000", "$1,000", "$1,000"]
+    path = str(tmp_path / "lineitem.parquet")
+    # every cent about the ends of the scales
+    cents = spark.range(99_000, 101_000).union(spark.range(99_994_000, 100_006_000))
+    cents.selectExpr("id as l_orderkey", "1 as l_linenumber", "id / 100 as l_extendedprice", "id % 11 / 100 as l_discount").write.parquet(path)
+    ours = catalog.QUERIES["display_values"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/*.parquet'")
+    wanted = con.sql(f"SELECT {', '.join(ours.columns)} FROM ({catalog.SQL['display_values']})").fetchall()
+    assert sorted(map(tuple, ours.collect())) == sorted(wanted)
+
+
 def test_csv(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("Name,Amount,Amount,When\nx,$5,1,2021-01-02\ny,NA,2,2021-01-03\n")
