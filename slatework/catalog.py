@@ -477,7 +477,8 @@ def impute_infinite(spark, sf_dir):
     ends = F.when(key % 50 == 1, -inf).otherwise(up)
     rows = table(spark, sf_dir, "events").select("event_id", F.when(key % 7 != 0, up).alias("up"), F.when(key % 7 != 0, ends).alias("ends"))
     done = clean.impute(rows, {"up": "metric", "ends": "metric"})
-    return done.df.withColumn("middle", F.lit(round(stats.median(rows, "ends", done.rows - done.missing["ends"]), 4)))
+    middle = stats.median(rows, "ends", done.rows - done.missing.get("ends", 0))
+    return done.df.withColumn("middle", F.lit(None if middle is None else stats.round_half_away(middle)).cast("double"))
 
 
 @query("""SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, coalesce(CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slatework.functions.text import DATE_OUTLINES, DATE_PATTERNS, any_time, bare_outline, outline_of_others, stripped_number, text_kind, to_fraction, to_number, to_time
-from slatework.operators.stats import col, distinct_counts, literal, median, modes, nan_to_null, one_pass
+from slatework.operators.stats import col, distinct_counts, literal, median, modes, nan_to_null, one_pass, round_half_away
 from slatework.operators.stats import is_number as is_numeric
 
 #: Parts of names, wherever they stand in the lower-cased name.
@@ -302,13 +302,13 @@ def impute(df: DataFrame, hints: Mapping[str, str] | None = None, parsed: Mappin
         elif n and sure and math.isnan(s["mean"]):
             log.append((c, f"Left {k} missing {c} values null (infinities of both signs have no mean)", k))
         elif n and sure:
-            fills[c] = round(float(s["mean"]), 4)
+            fills[c] = round_half_away(float(s["mean"]))
             what = "mean" if math.isfinite(fills[c]) else "mean, which is infinite"
             log.append((c, f"Filled {k} missing {c} values with the {what} (high-confidence metric)", k))
         else:
             log.append((c, f"Left {k} missing {c} values null (low-confidence imputation)", k))
     fills |= modes(df, [c for c, how in later.items() if how == "mode"])
-    fills |= {c: round(median(df, c, seen[c, "n"]), 4) for c, how in later.items() if how == "median"}
+    fills |= {c: round_half_away(median(df, c, seen[c, "n"])) for c, how in later.items() if how == "median"}
     wide = {c for c, v in fills.items() if isinstance(df.schema[c].dataType, T.IntegralType) and float(v) != int(v)}
     new = {c: F.coalesce(col(c).cast("double") if c in wide else col(c), F.lit(v) if c in wide else F.lit(v).cast(df.schema[c].dataType)) for c, v in fills.items()}
     return Cleaned(df.withColumns(new) if new else df, tuple(log), missing, rows, formats, hints)

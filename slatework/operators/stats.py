@@ -202,6 +202,17 @@ def median(df: DataFrame, name: str, n: int) -> float | None:
     return (upper + lower) / 2 if math.isfinite(upper + lower) else upper / 2 + lower / 2
 
 
+def round_half_away(x: float, digits: int = 4) -> float:
+    """``x`` to so many decimals as SQL's round gives it: halves of the scaled double go away from zero, where
+    Python's round goes by the exact binary value. Infinities and NaN stay."""
+    unit = 10.0**digits
+    size = abs(x) * unit
+    if not math.isfinite(size):
+        return x
+    whole = math.floor(size)
+    return math.copysign((whole + (size - whole >= 0.5)) / unit, x)
+
+
 def distinct_counts(df: DataFrame, bars: Mapping[str, Iterable[float]], about: Mapping[str, int]) -> dict[str, int]:
     """The estimates ``about``, replaced by exact counts for columns near one of their ``bars``."""
     near = [c for c, b in bars.items() if any(0.8 * x <= about[c] <= 1.25 * x for x in b)]

@@ -188,6 +188,32 @@ def test_medians_of_extremes(spark, values):
     assert got == (statistics.median(values) if len(values) != 2 or max(values) < 1.7e308 else 1.35e308) if values else got is None
 
 
+def test_halves_are_rounded_as_sql_rounds_them():
+    import duckdb
+
+    values = [sign * (2 * k + 1) / 2e4 for sign in (1, -1) for k in range(0, 3_000_000, 377)] + [0.0, 34.69, 1e12 + 0.00005, 2.0**52 + 1, 1e305, float("inf"), -float("inf")]
+    wanted = duckdb.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, 4))", [values]).fetchone()[0]
+    assert [S.round_half_away(v) for v in values] == wanted
+    assert [round(v, 4) for v in values] != wanted
+
+
+@pytest.mark.parametrize("case", ["tie", "no gaps", "no rows"])
+def test_infinite_query_equals_its_sql_where_the_median_ends_in_a_half(spark, tmp_path, case):
+    import duckdb
+
+    from slatework import catalog
+
+    ids = {"tie": range(1, 61), "no gaps": [1, 2, 50, 51, 100], "no rows": []}[case]
+    path = str(tmp_path / "events.parquet")
+    # 24 values of 145.9267 and 25 of 145.9268 between two -inf and one inf: the median is 145.92675
+    frame(spark, [(i, (1_459_267 + (i % 2 == 0)) / 1e4) for i in ids], "event_id long, value double").write.parquet(path)
+    ours = catalog.QUERIES["impute_infinite"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    wanted = con.execute(f"SELECT {', '.join(ours.columns)} FROM ({catalog.SQL['impute_infinite']})").fetchall()
+    assert sorted(map(str, map(tuple, ours.collect()))) == sorted(map(str, wanted)) and len(wanted) == len(ids)
+
+
 def test_modes_take_two_jobs_and_are_exact(spark):
     rows = [(i % 3, f"v{i % 50}", float(i), None, "b" if i % 2 else "a") for i in range(1000)] + [(None, "v7", None, None, None)]
     df = frame(spark, rows, "few int, `some name` string, all_once double, nothing string, tie string")
