@@ -156,10 +156,10 @@ def block_grid(df: DataFrame, keys: list[str], member: str, weight: str, limit:
     return out.withColumns({"cell_i": F.least("chunk", "_o"), "cell_j": F.greatest("chunk", "_o")}).drop("_g", "_o")
 
 
-def by_cell(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Deal cells of :func:`block_grid` to tasks, sorted for :func:`whole_groups`."""
+def by_cell(df: DataFrame, keys: list[str], *within: str) -> DataFrame:
+    """Deal cells of :func:`block_grid` to tasks, sorted for :func:`whole_groups`, and ``within`` cells."""
     cols = [*keys, "cell_i", "cell_j"]
-    return df.repartition(*cols).sortWithinPartitions(*cols)
+    return df.repartition(*cols).sortWithinPartitions(*cols, *within)
 
 
 def forest(linked: np.ndarray) -> np.ndarray:

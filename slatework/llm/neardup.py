@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slatework.llm.common import by_cell, materialize, rekeyed, unused, whole_groups
@@ -177,24 +177,28 @@ def _candidate_roots(rows: pa.Table, ratio: Fraction, slack: float) -> np.ndarra
 
 def banded_grid(df: DataFrame, key: str, member: str, size: str, weight: str, limit: int, ratio: Fraction) -> DataFrame:
     """Lay the sets of each ``key`` out in cells so that all pairs whose sizes allow ``ratio`` meet in
-    some cell, and no cell has much more than twice ``limit`` total ``weight``.
+    some cell, and no cell has much more than twice ``limit`` total ``weight``. Rows that are alone
+    with their key meet nothing and go.
 
     Adds ``band``, ``cell_i <= cell_j`` and ``chunk`` (the row's own chunk, one of the two). A key within
     the limit is the single cell (0, 0, 0). The sets of another are told by bands of sizes, so wide that
     sets that can be linked are in the same or in neighbouring bands; every two neighbours are a group,
     and a group over the limit is cut into chunks, of which each pair is a cell. Bands are weighed by a
-    partial aggregate; only those of large keys enter the join, whose skewed side Spark splits."""
+    partial aggregate, and a key's few bands are a map in its row; in the join Spark splits skewed sides."""
     # a little narrower steps than the ratio, so that rounding never puts linked sets two bands apart
     band = F.floor(F.log(F.col(size)) / float(np.log(float(1 / ratio)) * 1.0001)).cast("int")
     df = df.withColumn("_band", band)
     sums = df.groupBy(key, "_band").agg(F.sum(F.col(weight).cast("long")).alias("_w"), F.count(F.lit(1)).alias("_n"))
-    large = sums.groupBy(key).agg(F.sum("_w").alias("_all"), F.sum("_n").alias("_k")).filter((F.col("_all") > limit) & (F.col("_k") > 1))
-    sums = sums.join(rekeyed(large.drop("_all"), "_k", key), key).withColumn("band", F.explode(F.array(F.col("_band"), F.col("_band") + 1)))
-    groups = sums.groupBy(key, "band").agg(F.sum("_w").alias("_g"), F.count(F.lit(1)).alias("_k"))
-    groups = rekeyed(groups, "_k", key, "band").select(key, "band", F.greatest(F.ceil(F.col("_g") / limit), F.lit(1)).cast("int").alias("_g"))
-    plan = sums.join(groups, [key, "band"]).groupBy(key, "_band").agg(F.collect_list(F.struct("band", "_g")).alias("_to"), F.count(F.lit(1)).alias("_k"))
-    out = df.join(rekeyed(plan, "_k", key, "_band"), [key, "_band"], "left")
-    out = out.withColumn("_to", F.explode(F.coalesce("_to", F.array(F.struct(F.lit(0).alias("band"), F.lit(1).alias("_g"))))))
+    keys = sums.groupBy(key).agg(F.sum("_w").alias("_all"), F.sum("_n").alias("_k"), F.map_from_entries(F.collect_list(F.struct("_band", "_w"))).alias("_in")).filter("_k > 1")
+
+    def group(at: Column) -> Column:
+        total = sum((F.coalesce(F.try_element_at("_in", x), F.lit(0)) for x in (at, at - 1)), F.lit(0))
+        return F.struct(at.alias("band"), F.greatest(F.ceil(total / limit), F.lit(1)).cast("int").alias("_g"))
+
+    plan = keys.select("*", F.explode(F.map_keys("_in")).alias("_band"))
+    to = F.when(F.col("_all") > limit, F.array(group(F.col("_band")), group(F.col("_band") + 1))).otherwise(F.array(F.struct(F.lit(0).alias("band"), F.lit(1).alias("_g"))))
+    out = df.join(rekeyed(plan.select(key, "_band", "_k", to.alias("_to")), "_k", key, "_band"), [key, "_band"])
+    out = out.withColumn("_to", F.explode("_to"))
     out = out.select("*", F.col("_to.band").alias("band"), F.col("_to._g").alias("_g")).withColumn("chunk", F.pmod(F.xxhash64(member), F.col("_g")).cast("int"))
     out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     return out.withColumns({"cell_i": F.least("chunk", "_o"), "cell_j": F.greatest("chunk", "_o")}).drop("_g", "_o", "_to", "_band")
@@ -249,17 +253,20 @@ def shortened(classes: DataFrame, least: float, most_rows: int) -> DataFrame:
 def candidate_cells(classes: DataFrame, ratio: Fraction, slack: float, list_rows: int, most_rows: int) -> DataFrame:
     """The sets of each list, once for each cell in which they are compared. Lists longer than
     ``list_rows`` are laid out by :func:`banded_grid`, after those longer than ``most_rows`` are
-    :func:`shortened`: at eight chunks, copies cost about what counting a sketch's values does."""
+    :func:`shortened`: at eight chunks, copies cost about what counting a sketch's values does. Most
+    values are on one set's list only, so sketches join after the layout."""
     classes = shortened(classes, float(ratio) - slack, most_rows)
-    lists = classes.select("set_key", "n_shingles", "sketch", F.explode("listed").alias("value"), F.lit(1).alias("one"))
-    return banded_grid(lists, "value", "set_key", "n_shingles", "one", list_rows, ratio)
+    lists = classes.select("set_key", "n_shingles", F.explode("listed").alias("value"), F.lit(1).alias("one"))
+    cells = banded_grid(lists, "value", "set_key", "n_shingles", "one", list_rows, ratio)
+    return cells.join(classes.select("set_key", "sketch"), "set_key")
 
 
 def candidates(classes: DataFrame, ratio: Fraction, list_rows: int = 1024, most_rows: int = 8192) -> DataFrame:
     """(a, b): a forest of candidate links between set_keys, from the inverted lists of the
-    listed hashes, as :func:`candidate_cells` lays them out."""
+    listed hashes, as :func:`candidate_cells` lays them out. Rows of a cell are in order of set_key, so
+    that the trees of a cluster in different cells mostly have one root: fewer rounds find the components."""
     slack = SLACK * float(np.sqrt(float(ratio) * (1 - float(ratio)) / SKETCH))
-    cells = by_cell(candidate_cells(classes, ratio, slack, list_rows, most_rows), ["value", "band"])
+    cells = by_cell(candidate_cells(classes, ratio, slack, list_rows, most_rows), ["value", "band"], "set_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["value", "band", "cell_i", "cell_j"]):
@@ -322,7 +329,7 @@ def verified(docs: DataFrame, clusters: DataFrame, width: int, ratio: Fraction,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["set_key", "cluster", "full", "size", "weight"])
 
     sets = materialize(texts.select("text", "set_key", "cluster").mapInArrow(full, "set_key binary, cluster binary, full binary, size long, weight long"), "sets")
-    cells = by_cell(banded_grid(sets, "cluster", "set_key", "size", "weight", cell_weight, ratio), ["cluster", "band"])
+    cells = by_cell(banded_grid(sets, "cluster", "set_key", "size", "weight", cell_weight, ratio), ["cluster", "band"], "set_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["cluster", "band", "cell_i", "cell_j"]):

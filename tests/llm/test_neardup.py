@@ -98,6 +98,23 @@ def test_one_common_value_costs_no_copies(spark):
     assert {tuple(sorted(x)) for x in links} == {((i).to_bytes(16, "big"), (i + 1).to_bytes(16, "big")) for i in range(0, 3000, 2)}
 
 
+def test_only_lists_of_several_sets_are_laid_out(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(300):  # every tenth set is one of a cluster of near copies, the others share nothing
+        own = sorted(r.sample(range(100, 2**32), 48))
+        wide = [*range(1, 48), own[-1]] if i % 10 == 0 else own
+        rows.append(((300 - i).to_bytes(16, "big"), 60, b"".join(v.to_bytes(4, "little") for v in wide), [v << 32 for v in wide[:8]]))
+    classes = spark.createDataFrame(rows, "set_key binary, n_shingles long, sketch binary, listed array<long>")
+    ratio = neardup.Fraction(85, 100)
+    cells = neardup.candidate_cells(classes, ratio, 0.3, 100, 800)
+    assert cells.count() == 30 * 8
+    # every shuffle leaves files of each task until the driver's garbage is collected
+    assert cells._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 6
+    links = {(bytes(a), bytes(b)) for a, b in neardup.candidates(classes, ratio, 100, 800).collect()}
+    assert links == {((300 - i).to_bytes(16, "big"), (10).to_bytes(16, "big")) for i in range(0, 290, 10)}
+
+
 def test_odd_rows(spark):
     found = neardup.near_duplicates(clashing(odd_documents(spark)), width=3, percent=85).collect()
     rows = sorted((tuple(r)[:4] for r in found), key=str)
